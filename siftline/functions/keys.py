@@ -188,7 +188,7 @@ def framed_hash(*fragments: Column) -> Column:
 
 def int_list(c: Column) -> Column:
     """Comma-separated integers as an array; empty items are skipped."""
-    items = F.transform(F.split(c, ","), F.trim)
+    items = F.transform(F.split(c, ","), lambda x: F.trim(x))
     return F.transform(F.filter(items, lambda x: x != ""), lambda x: x.cast("int"))
 
 

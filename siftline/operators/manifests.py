@@ -409,3 +409,18 @@ def job_outcomes(jobs: DataFrame, files: DataFrame, worker_error: str | None = N
         status.alias("status"),
         F.when(~ok, F.lit(worker_error or None).cast("string")).alias("error"),
     )
+
+
+def resolve_tasks(
+    tasks: DataFrame, order: Sequence[str], lookups: Mapping[str, tuple[DataFrame, str, str]]
+) -> DataFrame:
+    """Replace task columns by looked-up values and number the tasks from 1.
+
+    ``lookups`` maps a column to (table, key, value), where the table has one row
+    per key. A null or unknown key gives null.
+    """
+    out = add_index(tasks, order, 1, "index")
+    for column, (table, key, value) in lookups.items():
+        side = table.select(F.col(key).alias(column), F.col(value).alias("_value"))
+        out = out.join(side, column, "left").drop(column).withColumnRenamed("_value", column)
+    return out

@@ -46,7 +46,7 @@ def read_fasta(spark: SparkSession, path: str | list[str], preamble: bool = True
     lines = F.split(body, "\n")
     return raw.filter(F.trim(body) != "").select(
         F.trim(lines[0]).alias("header"),
-        F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), F.trim), "").alias("sequence"),
+        F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x)), "").alias("sequence"),
         "source_file",
     )
 

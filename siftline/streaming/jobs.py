@@ -6,7 +6,7 @@ micro-batch by key before the shuffle, so a hot key costs one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,28 +160,32 @@ def incremental_audit(
     rules: Mapping[str, object],
     filename_col: str,
     stage: str,
+    score_order: Sequence[str],
     path: str,
     checkpoint: str,
-) -> Callable[[], DataFrame]:
-    """Audit score files as they land against a static manifest.
+) -> DataFrame:
+    """Audit the score files that have landed against a static manifest.
 
-    Starts the query, runs it to the end of the available files and returns a
-    reader of the audit rows written so far. Candidates without a score are
-    those of ``unscored``.
+    Runs to the end of the available files; calling again with the same folders
+    takes up only new files. Returns all audit rows so far, with their batch:
+    the last batch of a candidate counts. Candidates without a score are those
+    of ``unscored``.
     """
     spark = scores.sparkSession
+    order = F.struct(*score_order).alias("_order")
 
     def save(batch: DataFrame, number: int) -> None:
         scored = attach_candidate_ids(batch, filename_col, manifest)
+        latest = last_per_key(scored.select("candidate_id", *rules, order), ["candidate_id"], ["_order"])
         known = manifest.select("candidate_id", F.lit(True).alias("_known"))
-        joined = scored.join(known, "candidate_id", "left")
-        passed = F.coalesce(F.when(F.col("_known"), compile_rules(scored, rules)), F.lit(False))
-        joined.withColumn("passed", passed).select(
+        passed = F.when(F.col("_known"), compile_rules(latest, rules))
+        joined = latest.join(known, "candidate_id", "left").withColumn("_passed", passed)
+        joined.select(
             "candidate_id",
             F.lit(stage).alias("stage_name"),
-            "passed",
+            F.coalesce("_passed", F.lit(False)).alias("passed"),
             F.when(F.col("_known").isNull(), "missing_manifest")
-            .when(F.col("passed"), "passed")
+            .when(F.col("_passed"), "passed")
             .otherwise("filtered")
             .alias("reason"),
         ).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -194,7 +198,7 @@ def incremental_audit(
     )
     query.awaitTermination()
     schema = "candidate_id string, stage_name string, passed boolean, reason string, batch bigint"
-    return lambda: spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def unscored(manifest: DataFrame, audit: DataFrame) -> DataFrame:
