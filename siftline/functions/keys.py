@@ -23,7 +23,7 @@ ID_COLUMNS = (
 # Suffixes come off from the end at most once each, outermost last in this list.
 _REPLICATE = r"_seed-[0-9]+_sample-[0-9]+_model\z"
 _SUFFIXES = (
-    r"(?:_model)?(?:_scores)?(?:_ranking_scores)?(?:_confidences)?(?:_summary_confidences)?\z"
+    r"(?=_)(?:_model)?(?:_scores)?(?:_ranking_scores)?(?:_confidences)?(?:_summary_confidences)?\z"
 )
 
 
@@ -51,7 +51,10 @@ def basename(c: Column) -> Column:
 
 def stem(c: Column) -> Column:
     """Last part of a slash path without its last suffix."""
-    name = F.coalesce(F.try_element_at(_parts(c), F.lit(-1)), F.when(c.isNotNull(), ""))
+    # only a path that ends in "/" or "/." needs to be taken apart
+    last = F.substring_index(c, "/", -1)
+    slow = F.coalesce(F.try_element_at(_parts(c), F.lit(-1)), F.lit(""))
+    name = F.when(last.isin("", "."), slow).otherwise(last)
     return F.regexp_replace(name, r"(?s)\A(.+)\.[^.]+\z", "$1")
 
 

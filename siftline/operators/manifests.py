@@ -40,7 +40,7 @@ def key_lookup(manifest: DataFrame, order: Sequence[str] = ("candidate_id",)) ->
     if "files" in manifest.columns:
         fields = set(manifest.schema["files"].dataType.elementType.names)
         names += [
-            F.coalesce(F.transform("files", lambda f, p=p: f[p]), F.array().cast("array<string>"))
+            F.coalesce(F.col(f"files.{p}"), F.array().cast("array<string>"))
             for p in ("path", "app_volume_path", "workflow_path")
             if p in fields
         ]
@@ -63,17 +63,48 @@ def attach_candidate_ids(
     """Scores with a candidate id, mapped from the file name or derived from it."""
     if "candidate_id" in scores.columns:
         return scores
+    return _map_keys(_with_key(scores, filename_col), manifest, order)
+
+
+def _with_key(scores: DataFrame, filename_col: str) -> DataFrame:
     require_columns(scores, [filename_col])
-    keyed = scores.withColumn("candidate_key", candidate_key(F.col(filename_col).cast("string")))
+    return scores.withColumn("candidate_key", candidate_key(F.col(filename_col).cast("string")))
+
+
+def _map_keys(keyed: DataFrame, manifest: DataFrame | None, order: Sequence[str]) -> DataFrame:
     if manifest is None:
         return keyed.withColumnRenamed("candidate_key", "candidate_id")
-    return (
-        keyed.join(key_lookup(manifest, order), "candidate_key", "left")
-        .withColumn("candidate_id", F.coalesce("candidate_id", "candidate_key"))
-        .select(*scores.columns, "candidate_id")
+    others = [c for c in keyed.columns if c != "candidate_key"]
+    return keyed.join(key_lookup(manifest, order), "candidate_key", "left").select(
+        *others, F.coalesce("candidate_id", "candidate_key").alias("candidate_id")
     )
 
 
+def latest_scores(
+    scores: DataFrame,
+    metrics: Sequence[str],
+    filename_col: str,
+    score_order: Sequence[Column | str],
+    manifest: DataFrame | None = None,
+    order: Sequence[str] = ("candidate_id",),
+) -> DataFrame:
+    """Last score row of every candidate: (candidate_id, metrics).
+
+    Rows are reduced to one per file key before the key look-up, so neither the
+    look-up nor the second reduction sees how often a candidate was scored.
+    """
+    kept = [c for c in metrics if c != "candidate_id"]
+    place = F.struct(*score_order).alias("_order")
+    if "candidate_id" in scores.columns:
+        rows = scores.select("candidate_id", *kept, place)
+    else:
+        keyed = _with_key(scores, filename_col).select("candidate_key", *kept, place)
+        rows = _map_keys(last_per_key(keyed, ["candidate_key"], ["_order"]), manifest, order)
+        if manifest is None:
+            return rows.drop("_order")
+    return last_per_key(rows, ["candidate_id"], ["_order"]).drop("_order")
+
+
 def filter_with_audit(
     manifest: DataFrame,
     scores: DataFrame,
@@ -84,20 +115,10 @@ def filter_with_audit(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(retained manifest, retained scores, audit) of one filtering stage.
 
-    Of several score rows per candidate the last in ``score_order`` counts. It
-    is picked by an aggregate before the outer join, so that join is one row to
-    one row however often a candidate was scored.
+    Of several score rows per candidate the last in ``score_order`` counts; the
+    outer join is one row to one row.
     """
-    scored = attach_candidate_ids(scores, filename_col, manifest)
-    latest = last_per_key(
-        scored.select(
-            "candidate_id",
-            *[c for c in rules if c != "candidate_id"],
-            F.struct(*score_order).alias("_order"),
-        ),
-        ["candidate_id"],
-        ["_order"],
-    ).drop("_order")
+    latest = latest_scores(scores, list(rules), filename_col, score_order, manifest)
     verdict = compile_rules(latest, rules)
     both = (
         manifest.select("candidate_id", F.lit(True).alias("_known"))
@@ -117,6 +138,7 @@ def filter_with_audit(
         *[F.when(shown, F.col(m)).alias(f"metric_{m}") for m in rules],
     )
     retained = audit.filter("passed").select("candidate_id")
+    scored = attach_candidate_ids(scores, filename_col, manifest)
     return keep_ids(manifest, retained), keep_ids(scored, retained), audit
 
 

@@ -71,15 +71,16 @@ def parse_hits(lines: DataFrame, line: str = "value") -> DataFrame:
 
     Fields 1-15 are positional, the rest of the line stays in one piece.
     """
-    text = F.col(line)
-    fields = F.split(F.regexp_replace(text, r"\A\s+", ""), r"\s+", 16)
+    text, keep = F.col(line), [c for c in lines.columns if c != line]
     short = F.raise_error(F.concat(F.lit("invalid hit row: "), text))
-    checked = F.when(F.size(fields) < 14, short.cast("array<string>")).otherwise(fields)
+    fields = F.split(F.ltrim(text), r"\s+", 16)
+    # explode: a filter on a parsed column must not repeat the split below it
     return (
         lines.filter((text != "") & ~text.startswith("#"))
-        .withColumn("_f", checked)
+        .select(*keep, line, F.explode(F.array(fields)).alias("_f"))
+        .select(*keep, F.when(F.size("_f") < 14, short.cast("array<string>")).otherwise(F.col("_f")).alias("_f"))
         .select(
-            *[c for c in lines.columns if c != line],
+            *keep,
             hit_id(F.col("_f")).alias("hit_id"),
             F.col("_f")[12].cast("double").alias("e_value"),
             F.col("_f")[13].cast("double").alias("score"),

@@ -69,21 +69,19 @@ def residue_positions(
     energy: str = "energy",
     **sizes: int,
 ) -> DataFrame:
-    """Residues whose lowest energy is under a threshold: (structure, segment, fixed_positions).
+    """Residues whose lowest energy is under a threshold.
 
-    Positions are ordered by chain and residue, ``NONE`` if there are none.
+    Rows are (structure, chain, segment, fixed_positions), ordered by chain and
+    residue, ``NONE`` if there are none. A structure is one row with null chain
+    unless it exceeds ``limit`` positions.
     """
     lowest = energies.groupBy(structure, chain, residue).agg(F.min(energy).alias("_min"))
     label = F.concat(F.col(chain), F.col(residue).cast("string"))
     listed = ordered_groups(
-        lowest.filter(F.col("_min") < below), [structure], residue, label, prefix=[chain], **sizes
-    )
-    every = energies.select(structure).distinct()
-    return every.join(listed, structure, "left").select(
-        structure,
-        F.coalesce("segment", F.lit(0)).cast("bigint").alias("segment"),
-        F.coalesce(F.array_join("items", ","), F.lit("NONE")).alias("fixed_positions"),
+        lowest, [structure], residue, label, [chain], F.col("_min") < below, **sizes
     )
+    text = F.when(F.size("items") > 0, F.array_join("items", ",")).otherwise("NONE")
+    return listed.select(structure, chain, "segment", text.alias("fixed_positions"))
 
 
 _XYZ = ("x", "y", "z")

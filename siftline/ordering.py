@@ -144,45 +144,37 @@ def ordered_groups(
     position: str,
     item: Column,
     prefix: Sequence[str] = (),
+    wanted: Column | None = None,
     block: int = 4096,
     limit: int = 65536,
 ) -> DataFrame:
-    """Items of each key as an ordered array, in one or more ``segment`` rows.
+    """Items of each key as an ordered array: (keys, prefix, segment, items).
 
-    A key of at most ``limit`` items gives one row with segment 0. A larger one
-    gives a row per block of positions, segments 1, 2, ... in order, so that no
-    array grows with the data and no item is lost. ``position`` must be unique
-    within (keys, prefix).
+    Rows that are not ``wanted`` add no item, but a key with only such rows
+    still gets its row, with an empty array.
+
+    A key of at most ``limit`` items is one row with segment 0 and null prefix.
+    A larger one gives a row per prefix and block of positions, so that no array
+    grows with the data and no item is lost; its rows are in order by (prefix,
+    segment). ``position`` must be unique within (keys, prefix).
     """
-    placed = df.withColumn("_item", item).withColumn(
-        "_block", F.floor(F.col(position) / F.lit(block)).cast("bigint")
-    )
-    place = [*prefix, "_block"]
-    blocks = placed.groupBy(*keys, *place).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), "_item"))).alias("_items")
-    )
-    # Numbering sees one narrow row per block; the items stay where they are.
-    across = Window.partitionBy(*keys)
-    total = F.sum("_n").over(across)
-    segment = F.when(total <= limit, F.lit(0)).otherwise(
-        F.row_number().over(across.orderBy(*place))
-    )
-    numbered = (
-        placed.groupBy(*keys, *place)
-        .agg(F.count("*").alias("_n"))
-        .select(*keys, *place, segment.cast("bigint").alias("segment"))
-    )
+    place = [F.col(c).alias(f"_p{i}") for i, c in enumerate([*prefix, position])]
+    wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    placed = df.select(*keys, *place, item.alias("_item"), wanted.alias("_wanted"))
+    at = [f"_p{i}" for i in range(len(place))]
+    # at most rows / limit keys
+    large = (
+        placed.groupBy(*keys).agg(F.count_if("_wanted").alias("_n")).filter(F.col("_n") > limit)
+    ).select(*keys, F.lit(True).alias("_large"))
+    flagged = _null_safe_join(placed, F.broadcast(large), keys)
+    split = F.coalesce("_large", F.lit(False))
+    segment = F.when(split, F.floor(F.col(at[-1]) / F.lit(block)) + 1).otherwise(F.lit(0))
+    groups = [F.when(split, F.col(p)).alias(c) for p, c in zip(at, prefix)]
+    listed = F.array_sort(F.collect_list(F.when(F.col("_wanted"), F.struct(*at, "_item"))))
     return (
-        _null_safe_join(blocks, numbered, [*keys, *place])
-        .groupBy(*keys, "segment")
-        .agg(F.array_sort(F.collect_list(F.struct(*place, "_items"))).alias("_blocks"))
-        .select(
-            *keys,
-            "segment",
-            F.transform(
-                F.flatten(F.transform("_blocks", lambda b: b["_items"])), lambda x: x["_item"]
-            ).alias("items"),
-        )
+        flagged.groupBy(*keys, *groups, segment.cast("bigint").alias("segment"))
+        .agg(F.transform(listed, lambda x: x["_item"]).alias("items"))
+        .filter((F.col("segment") == 0) | (F.size("items") > 0))
     )
 
 

@@ -254,7 +254,7 @@ def session_expiry(t: Tables) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT event_id, epoch_us(ts) AS t, (user_id - 75) * 60000000 AS off, value FROM events),
-w AS (SELECT event_id, t + off AS since, t + off + (value * 6000000)::BIGINT AS until, t - 60000000 AS started, t + 600000000 AS ended FROM e),
+w AS (SELECT event_id, t + off AS since, t + off + floor(value * 6)::BIGINT * 1000000 AS until, t - 60000000 AS started, t + 600000000 AS ended FROM e),
 p AS (SELECT *, greatest(since, started - 1000000) AS lo, least(until, ended + 1000000) AS hi FROM w),
 q AS (SELECT *, CASE WHEN since >= until THEN 'invalid' WHEN until - since > 900000000 THEN 'too_long' WHEN lo >= hi THEN 'outside' END AS problem FROM p)
 SELECT event_id, problem, CASE WHEN problem IS NULL THEN lo END AS bounded_since, CASE WHEN problem IS NULL THEN hi END AS bounded_until FROM q"""
@@ -265,7 +265,7 @@ def log_windows(t: Tables) -> DataFrame:
     rows = t.events.select(
         "event_id",
         F.timestamp_micros(since).alias("since"),
-        F.timestamp_micros(since + (F.col("value") * 6_000_000).cast("bigint")).alias("until"),
+        F.timestamp_micros(since + F.floor(F.col("value") * 6) * 1_000_000).alias("until"),
         F.timestamp_micros(at - 60_000_000).alias("started"),
         F.timestamp_micros(at + 600_000_000).alias("ended"),
     )

@@ -199,7 +199,7 @@ WITH lows AS (SELECT l_orderkey, l_returnflag, l_partkey, min(-l_extendedprice /
 
 @query(
     _MINS
-    + """SELECT 'order-' || l_orderkey AS structure, 0::BIGINT AS segment,
+    + """SELECT 'order-' || l_orderkey AS structure, NULL::VARCHAR AS chain, 0::BIGINT AS segment,
   coalesce(string_agg(l_returnflag || l_partkey, ',' ORDER BY l_returnflag, l_partkey) FILTER (e < -5), 'NONE') AS fixed_positions
 FROM lows GROUP BY l_orderkey"""
 )

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from siftline.functions.keys import redact
 from siftline.functions.rules import compile_rules
-from siftline.operators.manifests import attach_candidate_ids, drop_ids, keep_ids
+from siftline.operators.manifests import drop_ids, keep_ids, latest_scores
 from siftline.ordering import last_per_key
 from siftline.schemas import TERMINAL_STATES
 from siftline.session import new_path
@@ -172,11 +172,9 @@ def incremental_audit(
     of ``unscored``.
     """
     spark = scores.sparkSession
-    order = F.struct(*score_order).alias("_order")
 
     def save(batch: DataFrame, number: int) -> None:
-        scored = attach_candidate_ids(batch, filename_col, manifest)
-        latest = last_per_key(scored.select("candidate_id", *rules, order), ["candidate_id"], ["_order"])
+        latest = latest_scores(batch, list(rules), filename_col, score_order, manifest)
         known = manifest.select("candidate_id", F.lit(True).alias("_known"))
         passed = F.when(F.col("_known"), compile_rules(latest, rules))
         joined = latest.join(known, "candidate_id", "left").withColumn("_passed", passed)
