@@ -37,24 +37,24 @@ def record_digest(header: Column, sequence: Column) -> Column:
     )
 
 
-def word(digest: Column, index: int) -> Column:
-    """The 32-bit little-endian word ``index`` of a hex digest, as bigint."""
-    first = 8 * index + 1
-    swapped = F.concat(*[F.substring(digest, first + i, 2) for i in (6, 4, 2, 0)])
-    return F.conv(swapped, 16, 10).cast("bigint")
+def word(digest: str, index: int) -> Column:
+    """The 32-bit little-endian word ``index`` of a hex digest column, as bigint."""
+    pairs = ", ".join(f"substring({digest}, {8 * index + 1 + i}, 2)" for i in (6, 4, 2, 0))
+    return F.expr(f"cast(conv(concat({pairs}), 16, 10) as bigint)")
 
 
-def square_words(high: Column, low: Column) -> tuple[Column, Column]:
-    """(high, low) 32-bit words of the square modulo 2^64, without overflow."""
-    a = F.shiftright(low, 16)
-    b = low.bitwiseAND(F.lit(_MASK16))
-    cross = 2 * a * b
-    bottom = b * b + F.shiftleft(cross.bitwiseAND(F.lit(_MASK16)), 16)
-    product = high.bitwiseAND(F.lit(_MASK16)) * low + F.shiftleft(
-        (F.shiftright(high, 16) * b).bitwiseAND(F.lit(_MASK16)), 16
-    )
-    top = F.shiftright(bottom, 32) + F.shiftright(cross, 16) + a * a + 2 * product
-    return top.bitwiseAND(F.lit(_MASK32)), bottom.bitwiseAND(F.lit(_MASK32))
+def square_words(high: str, low: str) -> tuple[Column, Column]:
+    """(high, low) 32-bit words of the square of ``high * 2^32 + low`` modulo 2^64.
+
+    ``high`` and ``low`` name bigint columns below 2^32. With low = a * 2^16 + b,
+    every product stays below 2^63.
+    """
+    a, b = f"shiftright({low}, 16)", f"({low} & {_MASK16}L)"
+    cross = f"(2 * {a} * {b})"
+    bottom = f"({b} * {b} + shiftleft({cross} & {_MASK16}L, 16))"
+    product = f"(({high} & {_MASK16}L) * {low} + shiftleft((shiftright({high}, 16) * {b}) & {_MASK16}L, 16))"
+    top = f"(shiftright({bottom}, 32) + shiftright({cross}, 16) + {a} * {a} + 2 * {product})"
+    return F.expr(f"{top} & {_MASK32}L"), F.expr(f"{bottom} & {_MASK32}L")
 
 
 def wrapped_sum(high: Column, low: Column) -> Column:

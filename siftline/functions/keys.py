@@ -20,10 +20,11 @@ ID_COLUMNS = (
     "id",
 )
 
-# Suffixes come off from the end at most once each, outermost last in this list.
-_REPLICATE = r"_seed-[0-9]+_sample-[0-9]+_model\z"
-_SUFFIXES = (
-    r"(?=_)(?:_model)?(?:_scores)?(?:_ranking_scores)?(?:_confidences)?(?:_summary_confidences)?\z"
+# The end of a lower-case file name that is not part of its key: score suffixes,
+# each at most once, then a replicate mark, then the file suffix.
+_KEY_END = (
+    r"(?=[_.])(?:_model)?(?:_scores)?(?:_ranking_scores)?(?:_confidences)?(?:_summary_confidences)?"
+    r"(?:_seed-[0-9]+_sample-[0-9]+_model)?(?:(?<!\A)\.[^.]+)?\z"
 )
 
 
@@ -49,19 +50,21 @@ def basename(c: Column) -> Column:
     return F.coalesce(F.try_element_at(_parts(F.replace(c, F.lit("\\"), F.lit("/"))), F.lit(-1)), F.when(c.isNotNull(), ""))
 
 
-def stem(c: Column) -> Column:
-    """Last part of a slash path without its last suffix."""
+def _file_name(c: Column) -> Column:
     # only a path that ends in "/" or "/." needs to be taken apart
     last = F.substring_index(c, "/", -1)
     slow = F.coalesce(F.try_element_at(_parts(c), F.lit(-1)), F.lit(""))
-    name = F.when(last.isin("", "."), slow).otherwise(last)
-    return F.regexp_replace(name, r"(?s)\A(.+)\.[^.]+\z", "$1")
+    return F.when(last.isin("", "."), slow).otherwise(last)
+
+
+def stem(c: Column) -> Column:
+    """Last part of a slash path without its last suffix."""
+    return F.regexp_replace(_file_name(c), r"(?<!\A)\.[^.]+\z", "")
 
 
 def candidate_key(c: Column) -> Column:
     """Structure stem behind a collision-safe file name."""
-    key = F.regexp_replace(F.lower(stem(c)), _REPLICATE, "")
-    key = F.regexp_replace(key, _SUFFIXES, "")
+    key = F.regexp_replace(F.lower(_file_name(c)), _KEY_END, "")
     return F.substring_index(F.substring_index(key, "__", -1), "_refold-", -1)
 
 

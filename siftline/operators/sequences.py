@@ -109,9 +109,9 @@ def multiset_signature(
     )
     squares, sums, xors, finals = {}, [], [], []
     for lane in range(LANES):
-        low, high = F.col(f"_w{2 * lane}"), F.col(f"_w{2 * lane + 1}")
+        low, high = f"_w{2 * lane}", f"_w{2 * lane + 1}"
         squares[f"_qh{lane}"], squares[f"_ql{lane}"] = square_words(high, low)
-        for name, part in (("sh", high), ("sl", low), ("qh", F.col(f"_qh{lane}")), ("ql", F.col(f"_ql{lane}"))):
+        for name, part in (("sh", high), ("sl", low), ("qh", f"_qh{lane}"), ("ql", f"_ql{lane}")):
             sums.append(F.sum(part).alias(f"_{name}{lane}_"))
         for name, part in (("xh", high), ("xl", low)):
             xors.append(F.bit_xor(part).alias(f"_{name}{lane}_"))

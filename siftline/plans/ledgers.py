@@ -411,7 +411,7 @@ SELECT user_id, epoch_us(min(ts)) AS session_start, least(epoch_us(max(ts)) + 43
 HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 )
 def stream_sessions(t: Tables) -> DataFrame:
-    closed = streams.session_windows(event_stream(t), "user_id", "ts", "12 hours")
+    closed = streams.session_windows(event_stream(t), "user_id", "ts", 12 * 3600)
     capped = streams.cap_sessions(streams.drain(closed, "sessions"), "24 hours")
     return capped.select(
         "user_id", *[F.unix_micros(c).alias(c) for c in ("session_start", "expires_at")], "events"

@@ -13,13 +13,15 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Test tables of one folder: ``t.orders`` is the orders DataFrame."""
+    """Test tables of one folder: ``t.orders`` is the orders DataFrame, read once."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self.__dict__[name] = table
+        return table
 
 
 def query(sql: str | None = None) -> Callable:

@@ -128,13 +128,23 @@ def rejected_events(events: DataFrame, states: DataFrame, key: str, order: Seque
     return events.join(ends, key).filter(F.struct(*order) > F.col("_end")).drop("_end")
 
 
-def session_windows(stream: DataFrame, user: str, ts: str, idle: str = "30 days", late: str = "1 hour") -> DataFrame:
-    """Idle-gap sessions per user, emitted once they are closed."""
+def session_windows(stream: DataFrame, user: str, ts: str, idle_seconds: int = 30 * 86400, late: str = "1 hour") -> DataFrame:
+    """Idle-gap sessions per user, emitted once they are closed.
+
+    An event exactly one idle gap after the last one opens a new session, while
+    Spark's windows would still touch; hence the gap is a microsecond shorter.
+    """
+    micros = idle_seconds * 1_000_000 - 1
     return (
         stream.withWatermark(ts, late)
-        .groupBy(F.session_window(ts, idle).alias("_w"), user)
+        .groupBy(F.session_window(ts, f"{micros} microseconds").alias("_w"), user)
         .agg(F.count("*").alias("events"))
-        .select(user, F.col("_w.start").alias("session_start"), F.col("_w.end").alias("idle_expiry"), "events")
+        .select(
+            user,
+            F.col("_w.start").alias("session_start"),
+            (F.col("_w.end") + F.expr("INTERVAL 0.000001 SECOND")).alias("idle_expiry"),
+            "events",
+        )
     )
 
 

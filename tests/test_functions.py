@@ -35,6 +35,15 @@ def one(spark, column):
         (".hidden", ".hidden"),
         ("trailing.", "trailing."),
         ("", ""),
+        ("a.b_model.pdb", "a.b"),
+        ("x.tar_model", "x"),
+        ("x_model.tar_scores", "x"),
+        ("_model.pdb", ""),
+        (".pdb_model", ".pdb"),
+        ("a_model.", "a_model."),
+        ("a..b", "a."),
+        ("..b", "."),
+        ("s_scores_seed-1_sample-2_model.cif", "s"),
     ],
 )
 def test_candidate_key(spark, name, key):
@@ -183,7 +192,7 @@ def test_digest_words_and_squares(frame):
     random.seed(5)
     values = [0, 1, (1 << 64) - 1, 1 << 32, (1 << 32) - 1] + [random.getrandbits(64) for _ in range(50)]
     df = frame("h bigint, l bigint", *[(v >> 32, v & 0xFFFFFFFF) for v in values])
-    high, low = digest.square_words(F.col("h"), F.col("l"))
+    high, low = digest.square_words("h", "l")
     got = [(r[0] << 32) | r[1] for r in df.select(high, low).collect()]
     assert got == [v * v % (1 << 64) for v in values]
 
@@ -195,5 +204,5 @@ def test_record_digest(spark):
     want = hashlib.sha256(data)
     assert one(spark, digest.record_digest(F.lit(header), F.lit(body))) == want.hexdigest()
     first = struct.unpack("<Q", want.digest()[:8])[0]
-    hexed = F.lit(want.hexdigest())
+    hexed = f"'{want.hexdigest()}'"
     assert (one(spark, digest.word(hexed, 1)) << 32) | one(spark, digest.word(hexed, 0)) == first
