@@ -13,7 +13,8 @@ from siftline.functions.numbers import complement, sequence_flags
 from siftline.ordering import add_index, index_by_hash
 
 MAX_IMBALANCE = 0.05
-_SALTS = 1024
+_SALTS = 1024  # word sums stay below 2^63 up to 2^31 records per salt
+_PIECE = 1024
 
 
 def seq_stats(df: DataFrame, by: str, sequence: str = "sequence") -> DataFrame:
@@ -200,12 +201,9 @@ def permute_to_shards(df: DataFrame, ordinal: str, shards: int, seed: int = 23)
 
 def chunk(df: DataFrame, order: Sequence[Column | str], k: int, name: str = "chunk") -> DataFrame:
     """At most ``k`` contiguous chunks of ceil(n / k) rows."""
-    indexed = add_index(df, order, 0, "_i")
-    total = df.agg(F.greatest(F.ceil(F.count("*") / F.lit(k)), F.lit(1)).alias("_size"))
-    # one row
-    return indexed.withColumn("_one", F.lit(1)).join(
-        F.broadcast(total.withColumn("_one", F.lit(1))), "_one"
-    ).select(*df.columns, F.floor(F.col("_i") / F.col("_size")).cast("bigint").alias(name))
+    indexed = add_index(df, order, 0, "_i", total="_n")
+    size = F.ceil(F.col("_n") / F.lit(k))
+    return indexed.select(*df.columns, F.floor(F.col("_i") / size).cast("bigint").alias(name))
 
 
 def stride(df: DataFrame, order: Sequence[Column | str], k: int, name: str = "worker") -> DataFrame:
@@ -217,18 +215,27 @@ def stride(df: DataFrame, order: Sequence[Column | str], k: int, name: str = "wo
 def tile_windows(df: DataFrame, keys: Sequence[str], sequence: str = "sequence", k: int = 19) -> DataFrame:
     """Every window of ``k`` letters with its one-based position and sense strand.
 
-    The window is the guide strand; targets shorter than ``k`` have none.
+    The window is the guide strand; targets shorter than ``k`` have none. A
+    target is cut into overlapping pieces first: finding a letter in UTF-8 text
+    takes time proportional to its position.
     """
-    long = df.filter(F.length(sequence) >= k)
-    return long.select(
-        *keys,
-        sequence,
-        F.explode(F.sequence(F.lit(1), F.length(sequence) - k + 1)).alias("pos"),
-    ).select(
-        *keys,
-        F.col("pos").cast("bigint").alias("pos"),
-        F.substring(F.col(sequence), F.col("pos"), F.lit(k)).alias("siRNA"),
-        complement(F.substring(F.col(sequence), F.col("pos"), F.lit(k))).alias("sense"),
+    last = F.length(sequence) - k + 1
+    pieces = (
+        df.filter(last >= 1)
+        .select(*keys, sequence, F.explode(F.sequence(F.lit(1), last, F.lit(_PIECE))).alias("_start"))
+        .select(
+            *keys, "_start", F.substring(F.col(sequence), F.col("_start"), F.lit(_PIECE + k - 1)).alias("_piece")
+        )
+    )
+    return (
+        pieces.select("*", F.explode(F.sequence(F.lit(1), F.length("_piece") - k + 1)).alias("_at"))
+        .select(*keys, "_start", "_at", F.substring(F.col("_piece"), F.col("_at"), F.lit(k)).alias("siRNA"))
+        .select(
+            *keys,
+            (F.col("_start") + F.col("_at") - 1).cast("bigint").alias("pos"),
+            "siRNA",
+            complement(F.col("siRNA")).alias("sense"),
+        )
     )
 
 
@@ -277,24 +284,19 @@ def blocks(df: DataFrame, order: Sequence[Column | str], count: int) -> DataFram
     return chunk(df, order, count, "block")
 
 
-def tile_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def tile_pairs(left: DataFrame, right: DataFrame, right_blocks: int) -> DataFrame:
     """Work list of block pairs with their sizes; rows are never paired up.
 
-    Both sides carry ``block``. The list has one row per pair of blocks, a
-    number set by the caller's block counts. A tile's rows are the rows of its
-    two blocks.
+    Both sides carry ``block``; the right side was cut into ``right_blocks``. The
+    list has one row per pair of blocks, a number set by the caller's block
+    counts. A tile's rows are the rows of its two blocks.
     """
     sizes = [
         t.groupBy("block").agg(F.count("*").alias(f"n_{p}")).withColumnRenamed("block", f"{p}_block")
         for p, t in (("left", left), ("right", right))
     ]
-    count = sizes[1].agg((F.max("right_block") + 1).alias("_count"))
-    # one row: how many blocks the right side has
-    spread = (
-        sizes[0]
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(count.withColumn("_one", F.lit(1))), "_one")
-        .withColumn("right_block", F.explode(F.expr("sequence(0L, _count - 1)")))
+    spread = sizes[0].withColumn(
+        "right_block", F.explode(F.expr(f"sequence(0L, {right_blocks - 1}L)"))
     )
     return spread.join(sizes[1], "right_block").select(
         "left_block", "right_block", "n_left", "n_right", (F.col("n_left") * F.col("n_right")).alias("pairs")

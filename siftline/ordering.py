@@ -53,25 +53,35 @@ def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Dat
 
 
 def add_index(
-    df: DataFrame, order: Sequence[Column | str], start: int = 1, name: str = "index"
+    df: DataFrame,
+    order: Sequence[Column | str],
+    start: int = 1,
+    name: str = "index",
+    total: str | None = None,
 ) -> DataFrame:
     """Position of every row in a total order, without a single-task window.
 
     The sorted rows are written once with their partition and row number, so
     the per-partition counts and the rows always agree. ``order`` must end in a
-    unique column for the result to be reproducible.
+    unique column for the result to be reproducible. ``total`` names a column
+    for the number of rows.
     """
     placed = materialise(
         df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "index"
     ).withColumn("_part", F.shiftright("_at", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per written partition: bounded by the number of tasks
+    whole = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
+        "_part",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("_total"),
     )
     within = F.col("_at").bitwiseAND(F.lit(_LOW_BITS))
     return placed.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_before") + within + F.lit(start)).cast("bigint").alias(name)
+        *df.columns,
+        (F.col("_before") + within + F.lit(start)).cast("bigint").alias(name),
+        *([F.col("_total").alias(total)] if total else []),
     )
 
 
@@ -118,23 +128,28 @@ def with_previous(
     """``lag(value)`` per key over an integer ``position`` that is unique per key.
 
     Rows are grouped by (key, block of positions), at most ``block`` rows each.
-    The last value of each block is carried to the next block of the same key.
+    The last value of each block enters the key's next block as an extra first
+    row, so the rows are shuffled once and a hot key is spread over its blocks.
     """
     value = F.col(value) if isinstance(value, str) else value
     blocked = df.withColumn("_value", value).withColumn(
         "_block", F.floor(F.col(position) / F.lit(block)).cast("bigint")
     )
-    here = Window.partitionBy(*keys, "_block").orderBy(position)
-    inside = blocked.withColumn("_prev", F.lag("_value").over(here)).withColumn(
-        "_first", F.row_number().over(here) == 1
-    )
     ends = blocked.groupBy(*keys, "_block").agg(
         F.max_by(F.struct("_value"), F.col(position)).alias("_last")
     )
     chain = Window.partitionBy(*keys).orderBy("_block")
-    carry = ends.select(*keys, "_block", F.lag("_last._value").over(chain).alias("_carry"))
-    return _null_safe_join(inside, carry, [*keys, "_block"]).select(
-        *df.columns, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")).alias(name)
+    carried = (
+        ends.withColumn("_carried", F.lag("_last").over(chain))
+        .filter("_carried is not null")
+        .select(*keys, "_block", F.col("_carried._value").alias("_value"), F.lit(True).alias("_extra"))
+    )
+    here = Window.partitionBy(*keys, "_block").orderBy(F.col("_extra").desc_nulls_last(), position)
+    return (
+        blocked.unionByName(carried, allowMissingColumns=True)
+        .withColumn(name, F.lag("_value").over(here))
+        .filter("_extra is null")
+        .select(*df.columns, name)
     )
 
 
@@ -162,11 +177,15 @@ def ordered_groups(
     wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
     placed = df.select(*keys, *place, item.alias("_item"), wanted.alias("_wanted"))
     at = [f"_p{i}" for i in range(len(place))]
-    # at most rows / limit keys
-    large = (
-        placed.groupBy(*keys).agg(F.count_if("_wanted").alias("_n")).filter(F.col("_n") > limit)
-    ).select(*keys, F.lit(True).alias("_large"))
-    flagged = _null_safe_join(placed, F.broadcast(large), keys)
+    # Written out first, so that Spark knows its size and can choose the join by it.
+    large = materialise(
+        placed.groupBy(*keys)
+        .agg(F.count_if("_wanted").alias("_n"))
+        .filter(F.col("_n") > limit)
+        .select(*keys, F.lit(True).alias("_large")),
+        "large",
+    )
+    flagged = _null_safe_join(placed, large, keys)
     split = F.coalesce("_large", F.lit(False))
     segment = F.when(split, F.floor(F.col(at[-1]) / F.lit(block)) + 1).otherwise(F.lit(0))
     groups = [F.when(split, F.col(p)).alias(c) for p, c in zip(at, prefix)]
@@ -183,10 +202,11 @@ def top_k_per_group(
 ) -> DataFrame:
     """Best ``k`` rows of each key; Spark cuts to ``k`` before the shuffle too."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
+    kept = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
+    return kept.withColumn(name, F.col(name).cast("bigint"))
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """Best ``k`` rows overall, numbered from 1; only ``k`` rows are numbered."""
     best = df.orderBy(*order).limit(k)
-    return best.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return best.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

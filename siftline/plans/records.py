@@ -146,9 +146,9 @@ _RNA = "translate(regexp_replace(text, '[^acgt]', '', 'g'), 'acgt', 'ACGU')"
 
 
 @query(
-    f"""WITH r AS (SELECT item_id, {_RNA} AS rna FROM benchmark),
-w AS (SELECT item_id, i AS pos, substr(rna, i, 19) AS w FROM (SELECT item_id, rna, unnest(range(1, greatest(length(rna) - 17, 1))) AS i FROM r))
-SELECT item_id, pos, w AS "siRNA", translate(w, 'ACGU', 'UGCA') AS sense, gc AS gc_flag, run AS run_flag, gcr AS gc_run_flag,
+    f"""WITH r AS (SELECT doc_id, {_RNA} AS rna FROM documents),
+w AS (SELECT doc_id, i AS pos, substr(rna, i, 19) AS w FROM (SELECT doc_id, rna, unnest(range(1, greatest(length(rna) - 17, 1))) AS i FROM r))
+SELECT doc_id, pos, w AS "siRNA", translate(w, 'ACGU', 'UGCA') AS sense, gc AS gc_flag, run AS run_flag, gcr AS gc_run_flag,
   pal AS palindrome_flag, greatest(gc, run, gcr, pal) AS func_filter FROM (
   SELECT *, (length(regexp_replace(w, '[^GC]', '', 'g')) / 19 < 0.3 OR length(regexp_replace(w, '[^GC]', '', 'g')) / 19 > 0.65)::INT AS gc,
     regexp_matches(w, 'AAAAA|CCCCC|GGGGG|UUUUU')::INT AS run, regexp_matches(w, '[GC]{{6}}')::INT AS gcr,
@@ -156,8 +156,8 @@ SELECT item_id, pos, w AS "siRNA", translate(w, 'ACGU', 'UGCA') AS sense, gc AS
 )
 def windows_tiling(t: Tables) -> DataFrame:
     rna = F.translate(F.regexp_replace("text", "[^acgt]", ""), "acgt", "ACGU")
-    targets = t.benchmark.select("item_id", rna.alias("sequence"))
-    return s.add_sequence_flags(s.tile_windows(targets, ["item_id"]).drop("sequence"))
+    targets = t.documents.select("doc_id", rna.alias("sequence"))
+    return s.add_sequence_flags(s.tile_windows(targets, ["doc_id"]))
 
 
 @query(
@@ -261,7 +261,7 @@ def frame_gyration(t: Tables) -> DataFrame:
 
 @query(
     _FRAMES_SQL
-    + "SELECT atom AS residue_index, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) AS rmsf FROM f GROUP BY atom"
+    + "SELECT atom::INTEGER AS residue_index, round(sqrt(var_pop(x) + var_pop(y) + var_pop(z)), 6) AS rmsf FROM f GROUP BY atom"
 )
 def residue_rmsf(t: Tables) -> DataFrame:
     frames = _frames(t).withColumnRenamed("atom", "residue_index")
@@ -368,7 +368,7 @@ SELECT left_block, right_block, n_left, n_right, n_left * n_right AS pairs FROM
 )
 def tile_pairs(t: Tables) -> DataFrame:
     return s.tile_pairs(
-        s.blocks(t.part.select("p_partkey"), ["p_partkey"], 4), s.blocks(t.supplier.select("s_suppkey"), ["s_suppkey"], 3)
+        s.blocks(t.part.select("p_partkey"), ["p_partkey"], 4), s.blocks(t.supplier.select("s_suppkey"), ["s_suppkey"], 3), 3
     )
 
 

@@ -92,7 +92,7 @@ def _toxicity(t: Tables) -> DataFrame:
     return (
         t.part.filter("p_type <> 'PROMO'")
         .groupBy(F.substring("p_type", 2, 6).alias("Seed"))
-        .agg((F.min("p_size") * 20 + F.max(F.length("p_type")) * 5).alias("cell_viability"))
+        .agg((F.min("p_size") * 20 + F.max(F.length("p_type")) * 5).cast("bigint").alias("cell_viability"))
     )
 
 

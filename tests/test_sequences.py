@@ -94,7 +94,7 @@ def test_chunks(spark):
 def test_tiles_cover_every_pair(frame):
     left, right = frame("l int", (1,), (2,), (3,)), frame("r int", (1,), (2,))
     a, b = s.blocks(left, ["l"], 2), s.blocks(right, ["r"], 2)
-    tiles = s.tile_pairs(a, b)
+    tiles = s.tile_pairs(a, b, 2)
     assert tiles.count() == 4
     assert tiles.agg(F.sum("pairs")).first()[0] == 6
     pairs = s.tile_of(a, tiles, "left").join(s.tile_of(b, tiles, "right"), ["left_block", "right_block"])
@@ -106,6 +106,9 @@ def test_windows(frame):
     got = s.tile_windows(df, ["id"]).collect()
     assert [(r["id"], r["pos"]) for r in got] == [(1, 1), (1, 2), (1, 3), (3, 1)]
     assert got[3]["sense"] == "U" * 19
+    text = "".join(random.Random(2).choices("ACGU", k=5000))
+    tiled = s.tile_windows(frame("id int, sequence string", (1, text)), ["id"]).collect()
+    assert [(r["pos"], r["siRNA"]) for r in tiled] == [(i + 1, text[i : i + 19]) for i in range(5000 - 18)]
     assert [r["run_flag"] for r in s.add_sequence_flags(s.tile_windows(df, ["id"])).collect()] == [0, 0, 0, 1]
 
 
