@@ -144,13 +144,15 @@ def novel_sequences(
     sequence: str = "sequence",
     order: Sequence[str] = ("sequence_id",),
 ) -> DataFrame:
-    """New sequences without banned letters; the last row of each sequence counts."""
+    """New sequences without banned letters; the last row of each sequence counts.
+
+    Copies are reduced to one row before the join with what was seen.
+    """
     kept = df
     if banned:
         letters = "".join(f"\\{x}" if not x.isalnum() else x for x in banned.upper())
         kept = kept.filter(~F.upper(sequence).rlike(f"[{letters}]"))
-    fresh = kept.join(seen.select(sequence), sequence, "left_anti")
-    return last_per_key(fresh, [sequence], order)
+    return last_per_key(kept, [sequence], order).join(seen.select(sequence), sequence, "left_anti")
 
 
 def rule_failures(designs: DataFrame, failed: str = "failed_rules") -> DataFrame:

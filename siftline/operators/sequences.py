@@ -315,12 +315,17 @@ def repeats(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.join(first, [key, order], "left_anti")
 
 
-def table_facts(df: DataFrame, name: str) -> DataFrame:
-    """Row count and column list of a table."""
-    return df.agg(F.count("*").alias("n")).select(
-        F.lit(name).alias("table_name"),
-        F.col("n").alias("row_count"),
-        F.lit(",".join(df.columns)).alias("columns"),
+def table_facts(df: DataFrame, name: str, content: bool = False) -> DataFrame:
+    """Row count and column list of a table; with ``content`` an order-free hash too."""
+    facts = [F.lit(name).alias("table_name"), F.col("n").alias("row_count")]
+    facts.append(F.lit(",".join(df.columns)).alias("columns"))
+    if not content:
+        return df.agg(F.count("*").alias("n")).select(*facts)
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    signed = multiset_signature(df.select(F.lit("").alias("header"), row.alias("sequence")))
+    lanes = [F.col(c).cast("string") for c in signed.columns]
+    return signed.withColumnRenamed("records", "n").select(
+        *facts, F.sha2(F.concat_ws(",", *[F.col("n").cast("string"), *lanes[1:]]), 256).alias("content_hash")
     )
 
 

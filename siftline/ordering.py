@@ -130,6 +130,8 @@ def with_previous(
     Rows are grouped by (key, block of positions), at most ``block`` rows each.
     The last value of each block enters the key's next block as an extra first
     row, so the rows are shuffled once and a hot key is spread over its blocks.
+    Positions should be dense, like row numbers or event ids: the ends of one
+    key's blocks are ordered together, one row per block.
     """
     value = F.col(value) if isinstance(value, str) else value
     blocked = df.withColumn("_value", value).withColumn(

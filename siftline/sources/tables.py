@@ -58,6 +58,20 @@ def read_positional(
     return named.select(*[F.col(f"c{i}").alias(name) for i, name in positions.items()])
 
 
+def read_reference_table(
+    spark: SparkSession, path: str | list[str], species: str, transcript: int, species_at: int, sequence: int
+) -> DataFrame:
+    """RNA records of one species from a tab-separated dump with a header row.
+
+    Columns are given by position; a row too short for them is skipped.
+    """
+    from siftline.operators.sequences import convert_reference_table
+
+    rows = spark.read.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    named = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    return convert_reference_table(named, species, f"c{transcript}", f"c{species_at}", f"c{sequence}")
+
+
 def read_manifest(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Candidate manifest with its columns and ids checked; extra columns stay."""
     df = spark.read.parquet(path)
