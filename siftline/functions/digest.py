@@ -57,9 +57,9 @@ def square_words(high: str, low: str) -> tuple[Column, Column]:
     return F.expr(f"{top} & {_MASK32}L"), F.expr(f"{bottom} & {_MASK32}L")
 
 
-def wrapped_sum(high: Column, low: Column) -> Column:
-    """``high * 2^32 + low`` modulo 2^64 for decimal word sums."""
-    two32 = F.lit(1 << 32).cast("decimal(20,0)")
-    two64 = F.lit(str(1 << 64)).cast("decimal(20,0)")
-    wide = F.pmod(high, two32).cast("decimal(20,0)") * two32
-    return F.pmod(wide.cast("decimal(38,0)") + low.cast("decimal(38,0)"), two64).cast("decimal(20,0)")
+def wrapped(high: str, low: str) -> Column:
+    """``high * 2^32 + low`` modulo 2^64 of two non-negative SQL numbers, as decimal."""
+    two32 = f"cast({1 << 32} as decimal(11,0))"
+    top = f"cast(pmod(cast({high} as decimal(30,0)), {two32}) as decimal(11,0))"
+    whole = f"cast({top} * {two32} as decimal(32,0)) + cast({low} as decimal(30,0))"
+    return F.expr(f"cast(pmod({whole}, cast({1 << 64} as decimal(20,0))) as decimal(20,0))")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.digest import LANES, record_digest, square_words, word, wrapped_sum
+from siftline.functions.digest import LANES, record_digest, square_words, word, wrapped
 from siftline.functions.keys import basename, safe_name
 from siftline.functions.numbers import complement, sequence_flags
 from siftline.ordering import add_index, index_by_hash
@@ -108,42 +108,32 @@ def multiset_signature(
         F.pmod(F.xxhash64("_digest"), F.lit(_SALTS)).alias("_salt"),
         *[word("_digest", i).alias(f"_w{i}") for i in range(2 * LANES)],
     )
-    squares, sums, xors, finals = {}, [], [], []
-    for lane in range(LANES):
-        low, high = f"_w{2 * lane}", f"_w{2 * lane + 1}"
-        squares[f"_qh{lane}"], squares[f"_ql{lane}"] = square_words(high, low)
-        for name, part in (("sh", high), ("sl", low), ("qh", f"_qh{lane}"), ("ql", f"_ql{lane}")):
-            sums.append(F.sum(part).alias(f"_{name}{lane}_"))
-        for name, part in (("xh", high), ("xl", low)):
-            xors.append(F.bit_xor(part).alias(f"_{name}{lane}_"))
-    salted = words.withColumns(squares).groupBy(*by, "_salt").agg(
-        F.count("*").alias("_n"),
-        F.sum("_header").alias("_header"),
-        F.sum("_sequence").alias("_sequence"),
-        *sums,
-        *xors,
+    lanes = [(f"_w{2 * i + 1}", f"_w{2 * i}") for i in range(LANES)]  # high and low word
+    parts = {}
+    for i, (high, low) in enumerate(lanes):
+        parts[f"_qh{i}"], parts[f"_ql{i}"] = square_words(high, low)
+    squares = [(f"_qh{i}", f"_ql{i}") for i in range(LANES)]
+    sums = [c for pair in (*lanes, *squares) for c in pair]
+    xors = [c for pair in lanes for c in pair]
+    salted = words.withColumns(parts).groupBy(*by, "_salt").agg(
+        F.expr("count(*) as _n"),
+        *[F.expr(f"sum({c}) as {c}") for c in ("_header", "_sequence", *sums)],
+        *[F.expr(f"bit_xor({c}) as _x{c}") for c in xors],
     )
 
-    def wide(c: str) -> Column:
-        return F.coalesce(F.sum(F.col(c).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+    def total(c: str) -> str:
+        return f"coalesce(sum(cast({c} as decimal(20,0))), 0)"
 
-    def xor(c: str) -> Column:
-        return F.coalesce(F.bit_xor(c), F.lit(0))
+    def xor(c: str) -> str:
+        return f"coalesce(bit_xor(_x{c}), 0)"
 
-    for lane in range(LANES):
-        finals.append(wrapped_sum(wide(f"_sh{lane}_"), wide(f"_sl{lane}_")).alias(f"sum_{lane}"))
-    for lane in range(LANES):
-        joined = wrapped_sum(
-            xor(f"_xh{lane}_").cast("decimal(30,0)"), xor(f"_xl{lane}_").cast("decimal(30,0)")
-        )
-        finals.append(joined.alias(f"xor_{lane}"))
-    for lane in range(LANES):
-        finals.append(wrapped_sum(wide(f"_qh{lane}_"), wide(f"_ql{lane}_")).alias(f"square_{lane}"))
+    finals = {f"sum_{i}": wrapped(total(h), total(w)) for i, (h, w) in enumerate(lanes)}
+    finals |= {f"xor_{i}": wrapped(xor(h), xor(w)) for i, (h, w) in enumerate(lanes)}
+    finals |= {f"square_{i}": wrapped(total(h), total(w)) for i, (h, w) in enumerate(squares)}
+    counts = {"records": "_n", "header_bytes": "_header", "sequence_bytes": "_sequence"}
     return salted.groupBy(*by).agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("records"),
-        F.coalesce(F.sum("_header"), F.lit(0)).alias("header_bytes"),
-        F.coalesce(F.sum("_sequence"), F.lit(0)).alias("sequence_bytes"),
-        *finals,
+        *[F.expr(f"coalesce(sum({c}), 0) as {name}") for name, c in counts.items()],
+        *[value.alias(name) for name, value in finals.items()],
     )
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from siftline.session import materialise
 
 BLOCK = 1 << 16
+_PUSHED_LIMIT = 1000  # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
+_SALTS = 1024
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | row
 
 
@@ -202,7 +204,16 @@ def ordered_groups(
 def top_k_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank"
 ) -> DataFrame:
-    """Best ``k`` rows of each key; Spark cuts to ``k`` before the shuffle too."""
+    """Best ``k`` rows of each key; every task cuts its rows to ``k`` first.
+
+    Spark does that by itself for a small ``k``. For a larger one a key is first
+    cut per group of input partitions, so that no task sorts a whole hot key.
+    """
+    if k > _PUSHED_LIMIT:
+        salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        part = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
+        df = part.withColumn("_cut", F.row_number().over(salted)).filter(F.col("_cut") <= k)
+        df = df.drop("_salt", "_cut")
     window = Window.partitionBy(*keys).orderBy(*order)
     kept = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
     return kept.withColumn(name, F.col(name).cast("bigint"))

@@ -39,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    set_by_code = spark.sparkContext.getCheckpointDir()
+    if set_by_code:
+        return set_by_code.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     made = getattr(spark, "_siftline_dir", None)

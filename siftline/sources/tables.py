@@ -85,9 +85,15 @@ def empty_manifest(spark: SparkSession) -> DataFrame:
 _SCALARS = (T.StringType, T.LongType, T.IntegerType, T.DoubleType, T.BooleanType)
 
 
-def read_metric_json(spark: SparkSession, path: str | list[str], stage: str) -> DataFrame:
-    """One JSON object per file: its top-level scalars with candidate id and file name."""
-    docs = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+def read_metric_json(
+    spark: SparkSession, path: str | list[str], stage: str, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """One JSON object per file: its top-level scalars with candidate id and file name.
+
+    Without a ``schema`` Spark reads the files once more to find the fields.
+    """
+    reader = spark.read.option("multiLine", True).option("pathGlobFilter", "*.json")
+    docs = (reader.schema(schema) if schema else reader).json(path)
     scalars = [
         f.name
         for f in docs.schema.fields

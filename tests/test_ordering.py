@@ -98,5 +98,8 @@ def test_top_k(skewed):
     assert got.count() == 3 * skewed.select("k").distinct().count()
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan  # cut before the shuffle as well
+    many = o.top_k_per_group(skewed.repartition(6), ["k"], order, 1500)
+    want = skewed.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    assert rows(many) == rows(want.filter("rank <= 1500"))
     best = o.top_k(skewed, order, 5)
     assert [r["rank"] for r in best.orderBy("rank").collect()] == [1, 2, 3, 4, 5]

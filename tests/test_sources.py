@@ -99,6 +99,8 @@ def test_metric_json(spark, tmp_path):
     got = tb.read_metric_json(spark, str(tmp_path), "refold")
     assert rows(got, "candidate_id", "stage_name", "iptm", "ranking_score") == [("d1", "refold", 0.8, 0.7)]
     assert "nested" not in got.columns and "l" not in got.columns
+    fixed = tb.read_metric_json(spark, str(tmp_path), "refold", "iptm double, nested struct<skip:boolean>")
+    assert rows(fixed, "candidate_id", "iptm") == [("d1", 0.8)]
 
 
 def test_jsonl(spark, tmp_path):
