@@ -106,7 +106,7 @@ def nest_children(
     A parent without children has an empty array; one with more than ``limit``
     children has several segments.
     """
-    grouped = ordered_groups(children, [key], order, item, **sizes).withColumnRenamed("items", name)
+    grouped = ordered_groups(children, [key], [order], item, **sizes).withColumnRenamed("items", name)
     kind = grouped.schema[name].dataType
     return parents.join(grouped, key, "left").select(
         *parents.columns,

@@ -63,7 +63,7 @@ def missing(planned: DataFrame, cached: DataFrame, on: Sequence[str]) -> DataFra
 
 def group_chains(tasks: DataFrame, identity: str, index: str = "chain_index", **sizes: int) -> DataFrame:
     """Ordered chain indices per task identity: (identity, segment, items)."""
-    return ordered_groups(tasks, [identity], index, F.col(index), **sizes)
+    return ordered_groups(tasks, [identity], [index], F.col(index), **sizes)
 
 
 def parse_hits(lines: DataFrame, line: str = "value") -> DataFrame:

@@ -42,7 +42,7 @@ def chain_sequences(
     given in consecutive segments.
     """
     code = translate_residues(F.col(residue), overrides)
-    grouped = ordered_groups(residues, list(keys), position, code, **sizes)
+    grouped = ordered_groups(residues, list(keys), [position], code, **sizes)
     return grouped.select(*keys, "segment", F.array_join("items", "").alias("sequence"))
 
 
@@ -69,19 +69,18 @@ def residue_positions(
     energy: str = "energy",
     **sizes: int,
 ) -> DataFrame:
-    """Residues whose lowest energy is under a threshold.
+    """Residues whose lowest energy is under a threshold: (structure, segment, fixed_positions).
 
-    Rows are (structure, chain, segment, fixed_positions), ordered by chain and
-    residue, ``NONE`` if there are none. A structure is one row with null chain
-    unless it exceeds ``limit`` positions.
+    Positions are ordered by chain and residue, ``NONE`` if there are none. A
+    structure is one row with segment 0 unless it exceeds ``limit`` positions.
     """
     lowest = energies.groupBy(structure, chain, residue).agg(F.min(energy).alias("_min"))
     label = F.concat(F.col(chain), F.col(residue).cast("string"))
     listed = ordered_groups(
-        lowest, [structure], residue, label, [chain], F.col("_min") < below, **sizes
+        lowest, [structure], [chain, residue], label, F.col("_min") < below, **sizes
     )
     text = F.when(F.size("items") > 0, F.array_join("items", ",")).otherwise("NONE")
-    return listed.select(structure, chain, "segment", text.alias("fixed_positions"))
+    return listed.select(structure, "segment", text.alias("fixed_positions"))
 
 
 _XYZ = ("x", "y", "z")

@@ -43,15 +43,17 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
     return _edge(df, keys, order, F.max_by)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join on ``on`` in which null matches null; keeps one copy of ``on``."""
+def _null_safe_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join on ``on`` in which null matches null; keeps one copy of ``on``."""
     renamed = right.select(
         *[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns]
     )
     same = F.lit(True)
     for c in on:
         same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return left.join(renamed, same, "left").drop(*[f"_r_{c}" for c in on])
+    return left.join(renamed, same, how).drop(*[f"_r_{c}" for c in on])
 
 
 def add_index(
@@ -160,45 +162,50 @@ def with_previous(
 def ordered_groups(
     df: DataFrame,
     keys: Sequence[str],
-    position: str,
+    order: Sequence[str],
     item: Column,
-    prefix: Sequence[str] = (),
     wanted: Column | None = None,
     block: int = 4096,
     limit: int = 65536,
 ) -> DataFrame:
-    """Items of each key as an ordered array: (keys, prefix, segment, items).
-
-    Rows that are not ``wanted`` add no item, but a key with only such rows
-    still gets its row, with an empty array.
+    """Items of each key as an ordered array: (keys, segment, items).
 
-    A key of at most ``limit`` items is one row with segment 0 and null prefix.
-    A larger one gives a row per prefix and block of positions, so that no array
-    grows with the data and no item is lost; its rows are in order by (prefix,
-    segment). ``position`` must be unique within (keys, prefix).
+    A key of at most ``limit`` items is one row with segment 0. A larger one gives
+    segments 1, 2, ... of ``block`` items, so that no array grows with the data
+    and no item is lost. Rows that are not ``wanted`` add no item, but a key with
+    only such rows still gets its row, with an empty array.
     """
-    place = [F.col(c).alias(f"_p{i}") for i, c in enumerate([*prefix, position])]
     wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
-    placed = df.select(*keys, *place, item.alias("_item"), wanted.alias("_wanted"))
-    at = [f"_p{i}" for i in range(len(place))]
-    # Written out first, so that Spark knows its size and can choose the join by it.
+    at = [f"_p{i}" for i in range(len(order))]
+    placed = df.select(
+        *keys,
+        *[F.col(c).alias(p) for c, p in zip(order, at)],
+        item.alias("_item"),
+        wanted.alias("_wanted"),
+    )
+    # Written out, so that Spark knows its size and can choose the joins by it.
     large = materialise(
         placed.groupBy(*keys)
         .agg(F.count_if("_wanted").alias("_n"))
         .filter(F.col("_n") > limit)
-        .select(*keys, F.lit(True).alias("_large")),
+        .select(*keys),
         "large",
     )
-    flagged = _null_safe_join(placed, large, keys)
-    split = F.coalesce("_large", F.lit(False))
-    segment = F.when(split, F.floor(F.col(at[-1]) / F.lit(block)) + 1).otherwise(F.lit(0))
-    groups = [F.when(split, F.col(p)).alias(c) for p, c in zip(at, prefix)]
+    some = not large.isEmpty()
     listed = F.array_sort(F.collect_list(F.when(F.col("_wanted"), F.struct(*at, "_item"))))
-    return (
-        flagged.groupBy(*keys, *groups, segment.cast("bigint").alias("segment"))
-        .agg(F.transform(listed, lambda x: x["_item"]).alias("items"))
-        .filter((F.col("segment") == 0) | (F.size("items") > 0))
+    items = F.transform(listed, lambda x: x["_item"]).alias("items")
+    small = _null_safe_join(placed, large, keys, "left_anti") if some else placed
+    whole = small.groupBy(*keys).agg(items).select(*keys, F.lit(0).cast("bigint").alias("segment"), "items")
+    if not some:
+        return whole
+    rows = _null_safe_join(placed.filter("_wanted"), large, keys, "left_semi")
+    indexed = add_index(rows, [*keys, *at, "_item"], 0, "_i")
+    starts = indexed.groupBy(*keys).agg(F.min("_i").alias("_start"))
+    segment = F.floor((F.col("_i") - F.col("_start")) / F.lit(block)) + 1
+    split = _null_safe_join(indexed, starts, keys).groupBy(
+        *keys, segment.cast("bigint").alias("segment")
     )
+    return whole.unionByName(split.agg(items))
 
 
 def top_k_per_group(

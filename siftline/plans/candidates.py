@@ -532,7 +532,7 @@ def _line_manifest(t: Tables) -> DataFrame:
     files = ordered_groups(
         t.lineitem,
         ["l_orderkey"],
-        "l_linenumber",
+        ["l_linenumber"],
         m.file_record(
             role=F.when(F.col("l_linestatus") == "F", "score").otherwise("log"),
             volume_name=F.lit("app"),

@@ -63,32 +63,34 @@ def test_with_previous_null_key_and_no_key(frame):
     assert rows(o.with_previous(df, [], "p", "v", block=10), "p", "previous") == [(1, None), (200, 7), (3, 5)]
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
-def test_ordered_groups_hold_everything(skewed, limit):
-    got = o.ordered_groups(skewed, ["k"], "p", F.col("v"), block=64, limit=limit).collect()
-    assert max(len(r["items"]) for r in got) <= max(limit, 64) or limit == 100_000
+@pytest.mark.parametrize("limit", [10, 300, 100_000])
+@pytest.mark.parametrize("order", ["p", "v"])
+def test_ordered_groups_hold_everything(skewed, limit, order):
+    """Also where the order column has many ties."""
+    item = F.struct("v", "p")
+    got = o.ordered_groups(skewed, ["k"], [order], item, block=64, limit=limit).collect()
+    assert max(len(r["items"]) for r in got) <= max(limit, 64)
     joined = {}
     for r in sorted(got, key=lambda r: (r["k"], r["segment"])):
-        joined.setdefault(r["k"], []).extend(r["items"])
+        joined.setdefault(r["k"], []).extend(tuple(x) for x in r["items"])
     want = {}
-    for r in skewed.orderBy("k", "p").collect():
-        want.setdefault(r["k"], []).append(r["v"])
+    for r in skewed.orderBy("k", order, "v", "p").collect():
+        want.setdefault(r["k"], []).append((r["v"], r["p"]))
     assert joined == want
     if limit == 100_000:
         assert {r["segment"] for r in got} == {0}
 
 
-def test_ordered_groups_prefix_and_wanted(frame):
-    df = frame("k string, c string, p int", *[("a", c, p) for c in "BA" for p in range(5)], ("z", "A", 1))
+def test_ordered_groups_wanted_and_null_key(frame):
+    df = frame("k string, c string, p int", *[(k, c, p) for k in ("a", None) for c in "BA" for p in range(5)], ("z", "A", 1))
     label = F.concat("c", F.col("p").cast("string"))
-    whole = o.ordered_groups(df, ["k"], "p", label, ["c"], F.col("p") > 2)
-    assert rows(whole, "k", "c", "segment", "items") == [
-        ("a", None, 0, ["A3", "A4", "B3", "B4"]),
-        ("z", None, 0, []),
-    ]
-    split = o.ordered_groups(df, ["k"], "p", label, ["c"], F.col("p") > 2, block=4, limit=2)
-    assert rows(split, "k", "c", "segment", "items") == [
-        ("a", "A", 1, ["A3"]), ("a", "A", 2, ["A4"]), ("a", "B", 1, ["B3"]), ("a", "B", 2, ["B4"]), ("z", None, 0, []),
+    whole = o.ordered_groups(df, ["k"], ["c", "p"], label, F.col("p") > 2)
+    assert rows(whole) == [
+        (None, 0, ["A3", "A4", "B3", "B4"]), ("a", 0, ["A3", "A4", "B3", "B4"]), ("z", 0, []),
+    ]
+    split = o.ordered_groups(df, ["k"], ["c", "p"], label, F.col("p") > 2, block=3, limit=2)
+    assert rows(split) == [
+        (None, 1, ["A3", "A4", "B3"]), (None, 2, ["B4"]), ("a", 1, ["A3", "A4", "B3"]), ("a", 2, ["B4"]), ("z", 0, []),
     ]
 
 

@@ -20,10 +20,8 @@ def test_residue_positions(frame):
     assert rows(st.residue_positions(rows_), "structure", "segment", "fixed_positions") == [
         ("design-1", 0, "A7,A30,B5"), ("other_x", 0, "NONE"),
     ]
-    split = st.residue_positions(rows_, block=16, limit=2)
-    assert rows(split) == [
-        ("design-1", "A", 1, "A7"), ("design-1", "A", 2, "A30"), ("design-1", "B", 1, "B5"), ("other_x", None, 0, "NONE"),
-    ]
+    split = st.residue_positions(rows_, block=2, limit=2)
+    assert rows(split) == [("design-1", 1, "A7,A30"), ("design-1", 2, "B5"), ("other_x", 0, "NONE")]
     with pytest.raises(Exception):
         st.mapping_rows(frame("c string", ("nonsense",)), "c", []).collect()
 
