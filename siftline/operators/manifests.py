@@ -44,14 +44,10 @@ def key_lookup(manifest: DataFrame, order: Sequence[str] = ("candidate_id",)) ->
             for p in ("path", "app_volume_path", "workflow_path")
             if p in fields
         ]
-    keys = F.transform(F.array_compact(F.concat(*names)), candidate_key)
-    pairs = manifest.select(
-        F.explode(F.array_distinct(F.filter(keys, lambda k: k != ""))).alias("candidate_key"),
-        "candidate_id",
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-    )
-    ordinal = [f"_o{i}" for i in range(len(order))]
-    return first_per_key(pairs, ["candidate_key"], ordinal).drop(*ordinal)
+    place = F.struct(*order).alias("_order")
+    paths = manifest.select(F.explode(F.array_compact(F.concat(*names))).alias("_path"), "candidate_id", place)
+    pairs = paths.select(candidate_key(F.col("_path")).alias("candidate_key"), "candidate_id", "_order")
+    return first_per_key(pairs.filter("candidate_key <> ''"), ["candidate_key"], ["_order"]).drop("_order")
 
 
 def attach_candidate_ids(

@@ -25,22 +25,30 @@ def _columns(names: Sequence[Column | str]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
-def _edge(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], pick) -> DataFrame:
+def _edge(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], last: bool) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    row = pick(F.struct(*rest), F.struct(*_columns(order))).alias("_row")
-    return df.groupBy(*keys).agg(row).select(*keys, "_row.*").select(*df.columns)
+    place, row = F.struct(*_columns(order)).alias("p"), F.struct(*rest).alias("r")
+    if any("map<" in kind or "variant" in kind for _, kind in df.dtypes):
+        # such columns cannot be compared, so rows cannot break ties of the order
+        best = (F.max_by if last else F.min_by)(F.struct(row), place)
+    else:
+        best = (F.max if last else F.min)(F.struct(place, row))
+    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.r.*").select(*df.columns)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """First row of each key in ``order``; combines on the map side."""
-    return _edge(df, keys, order, F.min_by)
+    """First row of each key in ``order``; combines on the map side.
+
+    Rows that tie in ``order`` are taken by their other columns.
+    """
+    return _edge(df, keys, order, last=False)
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Last row of each key in ``order``; combines on the map side."""
-    return _edge(df, keys, order, F.max_by)
+    """Last row of each key in ``order``; otherwise like ``first_per_key``."""
+    return _edge(df, keys, order, last=True)
 
 
 def _null_safe_join(

@@ -29,6 +29,11 @@ def test_first_per_key_keeps_nulls(frame):
     assert rows(o.first_per_key(df, ["k"], ["o"])) == [(None, 0, "m"), ("a", 1, None)]
 
 
+def test_last_per_key_with_a_map(frame):
+    df = frame("k string, o int, v map<string,int>", ("a", 1, {"x": 1}), ("a", 2, {"x": 2}))
+    assert o.last_per_key(df, ["k"], ["o"]).first()["v"] == {"x": 2}
+
+
 @pytest.mark.parametrize("parts", [1, 8])
 def test_add_index(skewed, parts):
     order = [F.desc("v"), F.asc("p")]
