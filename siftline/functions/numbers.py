@@ -70,17 +70,14 @@ def sequence_flags(
     gc_run: int = 6,
     palindrome: int = 4,
 ) -> dict[str, Column]:
-    """Rule flags of a short RNA sequence; the limits are parameters."""
+    """Rule flags of a short RNA sequence; the limits are parameters.
+
+    A sequence can fold if it shares a stretch of ``palindrome`` letters with its
+    own reverse complement.
+    """
     share = gc_share(c)
-    arms = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c) - palindrome + 1, F.lit(1))),
-        lambda i: F.substring(c, i, F.lit(palindrome)),
-    )
-    folded = F.exists(
-        arms,
-        lambda a: (F.length(a) == palindrome)
-        & (F.instr(c, F.reverse(complement(a))) > 0),
-    )
+    both = F.concat(c, F.lit("|"), F.reverse(complement(c)))
+    folded = both.rlike(rf"([^|]{{{palindrome}}})[^|]*+\|.*?\1")
     return {
         "gc_flag": ((share < gc_min) | (share > gc_max)).cast("int"),
         "run_flag": c.rlike(rf"(.)\1{{{run - 1}}}").cast("int"),
