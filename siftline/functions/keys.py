@@ -51,10 +51,11 @@ def basename(c: Column) -> Column:
 
 
 def _file_name(c: Column) -> Column:
-    # only a path that ends in "/" or "/." needs to be taken apart
+    # No array functions here: they would take the expression out of code generation.
     last = F.substring_index(c, "/", -1)
-    slow = F.coalesce(F.try_element_at(_parts(c), F.lit(-1)), F.lit(""))
-    return F.when(last.isin("", "."), slow).otherwise(last)
+    cut = F.substring_index(F.regexp_replace(c, r"(?:/+\.?)+\z", ""), "/", -1)
+    cut = F.when(cut == ".", F.lit("")).otherwise(cut)
+    return F.when(last.isin("", "."), cut).otherwise(last)
 
 
 def stem(c: Column) -> Column:

@@ -32,6 +32,11 @@ def one(spark, column):
         ("x_summary_confidences_confidences.json", "x_summary_confidences"),
         ("A/B/Deep.Name.pdb", "deep.name"),
         ("dir/./", "dir"),
+        ("a/d.x//./", "d"),
+        ("./", ""),
+        (".", ""),
+        ("/", ""),
+        ("a/..", ".."),
         (".hidden", ".hidden"),
         ("trailing.", "trailing."),
         ("", ""),
