@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import backoff, simhash
+from siftline.llm import backoff, lengths, mixing, secret_scan, simhash, toxicity
 from siftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,50 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"), toxicity.not_held_out())
+    place = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"),
+        "score",
+        "predicted",
+        F.array_join(place, ",").alias("spans"),
+    )
+
+
+@query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "flow")
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_of(F.col("spans"), k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query
+def op6_length_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return lengths.length_table(table(spark, folder, "documents"), TOKENIZER)
+
+
+@query
+def op7_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+ORACLES["op7_poisson_mix"] = (
+    f"WITH docs AS (SELECT * FROM documents), mixed AS ({mixing.mix_sql('docs.*')}) SELECT * FROM mixed"
+)
+
+
 @query
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"), "text", shingle=4, bits=4)
