@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import backoff, lengths, mixing, secret_scan, simhash, toxicity
+from siftline.llm import backoff, decontam, lengths, mixing, secret_scan, simhash, toxicity
 from siftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,8 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_backoff_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return backoff.score_texts(docs, fold("doc_id") == 1)
+
+
+@query
+def op4_template_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
