@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import backoff, decontam, lengths, mixing, secret_scan, simhash, toxicity
+from siftline.llm import backoff, decontam, lengths, line_dedup, mixing, secret_scan, simhash, toxicity
 from siftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,15 @@ def op10_backoff_score(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_template_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op5_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id",
+        "n_lines",
+        "n_kept",
+        F.concat_ws(",", F.transform("removed", lambda i: i.cast("string"))).alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
