@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import backoff, decontam, lengths, line_dedup, mixing, secret_scan, simhash, toxicity
+from siftline.llm import backoff, collision_search, decontam, lengths, line_dedup, mixing, secret_scan, simhash, toxicity, weak_quality
 from siftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,14 @@ def op5_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws(",", F.transform("removed", lambda i: i.cast("string"))).alias("removed_lines"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
     )
+
+
+@query
+def op3_collision_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return collision_search.search(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op9_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_quality.score(table(spark, folder, "documents"))
