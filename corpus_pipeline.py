@@ -1,4 +1,9 @@
-"""Cleaning of a corpus in stages, each a table of documents that the next one reads."""
+"""Cleaning of a corpus in five stages, each a table of documents that the next one reads.
+
+Every stage works on all rows that its predecessor kept. Rows with nulls, empty
+texts, repeated rows and extra columns go through; what each does with them is
+said in the operators' docstrings.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +11,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import simhash
+from siftline.llm import decontam, line_dedup, mixing, simhash, toxicity
 from siftline.session import materialise
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it is learnt from their labels."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels, toxicity.not_held_out())
+    names = [f"_own_{c}" if c in ("score", "predicted", "spans") else c for c in docs.columns]
+    return toxicity.score(docs.toDF(*names), model).filter("predicted = 0").select(*names).toDF(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-equal lines one stays in the corpus; texts left without a line go."""
+    return line_dedup.clean(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("simhash", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated towards the sources' target weights, in shuffled order."""
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("simhash_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+]
+#: The first stages are no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
