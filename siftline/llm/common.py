@@ -31,6 +31,15 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it.
+
+    Spark puts a column's expression wherever the column is used, also into
+    filters that it moves down; a function's argument is bound instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
