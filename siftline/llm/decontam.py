@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import join_small, saved
+from siftline.llm.common import join_small, let, saved
 
 _SPACES = r"[\x09-\x0D\x20\x85\xA0]+"
 #: Units that follow a number and stand for one another.
@@ -15,18 +15,26 @@ UNITS = (
     "usd|eur|degrees?|mph|kmh|km/h|watts?|kw|volts?|joules?|newtons?|bytes?|kb|mb|gb|tb"
 )
 _NUMBER = r"(?<=^|\x20)[$€£#(]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?(?=\x20|$)"
+_EDGES = r"(?<=[\p{L}\p{N}%>])[.,;:!?\"'’”)\]}]+(?=\x20|$)|(?<=^|\x20)[\"'‘“(\[{]+(?=[\p{L}\p{N}])"
 _NAME = r"(?<=[^.!?:\x20]\x20)\p{Lu}[\p{Ll}'’-]+(?=[.,;:!?\"'’”)\]}]*(?:\x20|$))"
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text without marks at their edges; words of marks alone stay. Null has none."""
-    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _SPACES, " "))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(_bare(spaced), " "))
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _SPACES, " "))
 
 
 def _bare(spaced: Column) -> Column:
     """Quotes, brackets and sentence marks go where they stand next to a word's letter or digit."""
-    return F.regexp_replace(spaced, r"(?<=[\p{L}\p{N}%>])[.,;:!?\"'’”)\]}]+(?=\x20|$)|(?<=^|\x20)[\"'‘“(\[{]+(?=[\p{L}\p{N}])", "")
+    return F.regexp_replace(spaced, _EDGES, "")
+
+
+def _split(spaced: Column) -> Column:
+    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
+
+
+def tokens(text: Column) -> Column:
+    """Words of a text without marks at their edges; words of marks alone stay. Null has none."""
+    return let(_bare(_spaced(text)), _split)
 
 
 def template(text: Column) -> Column:
@@ -36,34 +44,38 @@ def template(text: Column) -> Column:
     does not begin a sentence <name>; all else is lower-cased. Replacements stay
     within words, so both arrays have the same length.
     """
-    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _SPACES, " "))
-    named = _bare(F.regexp_replace(spaced, _NAME, "<name>"))
-    numbered = F.when(named.rlike(r"\d"), F.regexp_replace(F.regexp_replace(named, _NUMBER, "<num>"), rf"(?<=<num>\x20)(?i:{UNITS})(?=\x20|$)", "<unit>")).otherwise(named)
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(F.lower(numbered), " "))
 
+    def numbered(named: Column) -> Column:
+        placed = F.regexp_replace(F.regexp_replace(named, _NUMBER, "<num>"), rf"(?<=<num>\x20)(?i:{UNITS})(?=\x20|$)", "<unit>")
+        return F.when(named.rlike(r"\d"), placed).otherwise(named)
+
+    named = _bare(F.regexp_replace(_spaced(text), _NAME, "<name>"))
+    return let(F.lower(let(named, numbered)), _split)
 
-def with_windows(df: DataFrame, words: str, size: int = 5, name: str = "hashes") -> DataFrame:
-    """Add the hashes of all windows of ``size`` words, in order; null without words.
+
+def windows(words: Column, size: int = 5) -> Column:
+    """Hashes of all windows of ``size`` words, in order; null without words.
 
     A text shorter than that has one window, of all its words. Built by doubling:
     hashes of 1, 2, 4 ... words are zipped with themselves further on, so each
-    word is hashed about log(size) times. Every step is a column of its own, so
-    that none is computed twice.
+    word is hashed about log(size) times.
     """
 
-    def paired(df: DataFrame, left: str, right: str, shift: int, to: str) -> DataFrame:
+    def paired(left: Column, right: Column, shift: int) -> Column:
         n = F.greatest(F.size(right) - F.lit(shift), F.lit(0))
-        return df.withColumn(to, F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(shift + 1), n), lambda a, b: F.xxhash64(a, b)))
+        return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(shift + 1), n), lambda a, b: F.xxhash64(a, b))
 
-    df = df.withColumn("_h1", F.transform(words, lambda w: F.xxhash64(w)))
-    made, length = ["_h1"], 1
-    while length < size:
+    def longer(made: Column, ones: Column, length: int) -> Column:
+        if length == size:
+            return made
         step = length if 2 * length <= size else 1
-        df = paired(df, made[-1], made[-1] if step == length else "_h1", length, f"_h{length + step}")
-        length += step
-        made.append(f"_h{length}")
-    short = F.when(F.size(words) > 0, F.array(F.xxhash64(words)))
-    return df.withColumn(name, F.when(F.size(words) < size, short).otherwise(F.col(made[-1]))).drop(*made)
+        return let(paired(made, made if step == length else ones, length), lambda h: longer(h, ones, length + step))
+
+    def whole(w: Column) -> Column:
+        short = F.when(F.size(w) > 0, F.array(F.xxhash64(w)))
+        return F.when(F.size(w) < size, short).otherwise(let(F.transform(w, lambda x: F.xxhash64(x)), lambda ones: longer(ones, ones, 1)))
+
+    return let(words, whole)
 
 
 def _is_slot(word: Column) -> Column:
@@ -92,8 +104,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
     listed = saved(
-        with_windows(items.select("item_id", tokens(F.col("text")).alias("words"), template(F.col("text")).alias("form")), "form", size).filter(
-            "hashes is not null"
+        items.select("item_id", tokens(F.col("text")).alias("words"), template(F.col("text")).alias("form")).withColumn(
+            "hashes", windows(F.col("form"), size)
         ),
         "items",
     )
@@ -105,8 +117,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     )
     wanted = saved(placed.select("h").distinct(), "window_hashes")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    formed = with_windows(texts.select("doc_id", template(F.col("text")).alias("form")), "form", size)
-    exploded = formed.select("doc_id", F.posexplode("hashes").alias("pos", "h"))
+    # the outer form, as Spark would compute the array twice to drop rows without any
+    exploded = texts.select("doc_id", F.posexplode_outer(windows(template(F.col("text")), size)).alias("pos", "h")).filter("h is not null")
     hits = saved(join_small(exploded, wanted, "h", rows=broadcast_rows), "window_hits")
     met = hits.groupBy("doc_id", "h").agg(F.min("pos").alias("pos")).join(placed, "h")
     found = (
@@ -133,22 +145,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
         F.transform(F.slice("words", lead + 1, reach), F.lower).alias("x"),
         F.transform(F.slice("d_words", first, reach), F.lower).alias("y"),
     )
+    def judge(s: Column) -> Column:
+        kinds = [
+            F.size(F.array_distinct(s)),
+            F.size(F.array_distinct(F.transform(s, lambda r: F.struct(r["a"], r["x"])))),
+            F.size(F.array_distinct(F.transform(s, lambda r: F.struct(r["a"], r["y"])))),
+        ]
+        return F.struct(
+            ((kinds[0] == kinds[1]) & (kinds[0] == kinds[2])).alias("ok"),
+            F.size(s).cast("bigint").alias("n"),
+            F.forall(s, lambda r: r["x"] == r["y"]).alias("same"),
+        )
+
     slots = F.filter(rows, lambda r: _is_slot(r["a"]) & (r["a"] == r["b"]))
-    judged = both.select("doc_id", "item_id", "windows", "matched", F.transform(slots, lambda r: F.struct(r["a"].alias("a"), r["x"].alias("x"), r["y"].alias("y"))).alias("s"))
-    kinds = [
-        F.size(F.array_distinct("s")),
-        F.size(F.array_distinct(F.transform("s", lambda r: F.struct(r["a"], r["x"])))),
-        F.size(F.array_distinct(F.transform("s", lambda r: F.struct(r["a"], r["y"])))),
-    ]
+    judged = both.select("doc_id", "item_id", "windows", "matched", let(F.transform(slots, lambda r: F.struct(r["a"].alias("a"), r["x"].alias("x"), r["y"].alias("y"))), judge).alias("v"))
     return (
-        judged.filter((kinds[0] == kinds[1]) & (kinds[0] == kinds[2]))
-        .withColumn("same_slots", F.forall("s", lambda r: r["x"] == r["y"]))
+        judged.filter("v.ok")
         .groupBy("doc_id", "item_id")
         .agg(
             F.max("windows").cast("bigint").alias("windows"),
             F.max("matched").cast("bigint").alias("matched"),
-            F.max(F.size("s")).cast("bigint").alias("n_slots"),
-            F.max("same_slots").alias("same_slots"),
+            F.max("v.n").alias("n_slots"),
+            F.max("v.same").alias("same_slots"),
         )
         .select("doc_id", "item_id", "windows", "matched", (F.col("matched") / F.col("windows")).alias("coverage"), "n_slots", "same_slots")
     )
