@@ -40,6 +40,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def whole(df: DataFrame) -> Column:
+    """A row of ``df`` as one struct, so that its columns meet no others' names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 

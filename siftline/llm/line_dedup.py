@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import join_small, let, saved
+from siftline.llm.common import join_small, let, saved, whole
 from siftline.llm.components import components
 from siftline.session import new_path
 
@@ -27,6 +27,11 @@ def _mask(i: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _named(key: Column) -> Column:
+    """A text's id and key as one value that joins nulls like others."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), key.alias("t"))
+
+
 def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
@@ -187,22 +192,22 @@ def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     64-bit hash.
     """
     docs = docs.drop("n_lines", "n_kept", "removed")
-    kept = removals(docs, shingle, similarity, count, rows).select(
-        F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "t").alias("_k"), "kept"
-    )
-    here = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), _key(F.col("text")).alias("t"))
-    joined = docs.withColumn("_k", here).join(kept, "_k", "left").withColumn("_lines", F.split("text", "\n"))
-    filled = F.transform("_lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"), (normal(x) != "").alias("f"), F.coalesce(F.array_contains("kept", i), F.lit(False)).alias("k")))
-    marked = joined.withColumn("_lines", filled)
-    stay = F.filter("_lines", lambda r: ~r["f"] | r["k"])
-    gone = F.filter("_lines", lambda r: r["f"] & ~r["k"])
-    columns = [F.array_join(F.transform(stay, lambda r: r["x"]), "\n").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return marked.select(
-        *columns,
-        F.coalesce(F.size(F.filter("_lines", lambda r: r["f"])), F.lit(0)).cast("bigint").alias("n_lines"),
-        F.coalesce(F.size(F.filter("_lines", lambda r: r["k"] & r["f"])), F.lit(0)).cast("bigint").alias("n_kept"),
-        F.transform(gone, lambda r: r["i"]).alias("removed"),
-    )
+    kept = removals(docs, shingle, similarity, count, rows).select(_named(F.col("t")).alias("k"), "kept")
+    split = docs.select(whole(docs).alias("d"), _named(_key(F.col("text").cast("string"))).alias("k"), F.split(F.col("text").cast("string"), "\n").alias("raw"))
+    joined = split.join(kept, "k", "left")
+    told = F.transform("raw", lambda x, i: F.struct(x.alias("x"), i.alias("i"), (normal(x) != "").alias("f"), F.coalesce(F.array_contains("kept", i), F.lit(False)).alias("k")))
+
+    def judge(lines: Column) -> Column:
+        return F.struct(
+            F.array_join(F.transform(F.filter(lines, lambda r: ~r["f"] | r["k"]), lambda r: r["x"]), "\n").alias("text"),
+            F.coalesce(F.size(F.filter(lines, lambda r: r["f"])), F.lit(0)).cast("bigint").alias("n_lines"),
+            F.coalesce(F.size(F.filter(lines, lambda r: r["f"] & r["k"])), F.lit(0)).cast("bigint").alias("n_kept"),
+            F.transform(F.filter(lines, lambda r: r["f"] & ~r["k"]), lambda r: r["i"]).alias("removed"),
+        )
+
+    done = joined.select("d", let(told, judge).alias("v"))
+    columns = [F.col("v.text").alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
+    return done.select(*columns, "v.n_lines", "v.n_kept", "v.removed")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -211,6 +216,7 @@ def clean(docs: DataFrame) -> DataFrame:
     A document goes only if all its lines stay in another place. Columns are
     those of ``docs``; ``n_chars``, if there is one, is counted anew.
     """
-    done = dedup_lines(docs).filter("n_lines = 0 or n_kept > 0")
+    own = docs.toDF(*[f"own_{c}" if c in ("n_lines", "n_kept", "removed") else c for c in docs.columns])
+    done = dedup_lines(own).filter("n_lines = 0 or n_kept > 0")
     counted = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
-    return counted.select(*docs.columns)
+    return counted.select(*[F.col(f"`{c}`") for c in own.columns]).toDF(*docs.columns)

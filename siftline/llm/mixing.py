@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import join_small, saved
+from siftline.llm.common import join_small, saved, whole
 
 _PART = 32.0  # larger means are sums of Poisson variables with at most this mean
 
@@ -74,22 +74,27 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     docs = docs.drop("copy", "shuffle_key")
     table = saved(rates(docs, tempered(docs) if weights is None else weights, total), "rates")
     look = table.select(F.coalesce("source", F.lit("")).alias("_k"), F.col("source").isNull().alias("_none"), "parts", "cdf")
-    keyed = docs.withColumn("_k", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
+    keyed = docs.select(
+        whole(docs).alias("d"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"),
+        F.coalesce("source", F.lit("")).alias("_k"),
+        F.col("source").isNull().alias("_none"),
+    )
     joined = join_small(keyed, look, ["_k", "_none"], rows=50_000)
     draws = F.transform(
         F.sequence(F.lit(1), F.col("parts")),
-        lambda part: F.size(F.filter(F.col("cdf"), lambda c: c < uniform(F.lit(seed), F.col("doc_id"), part))),
+        lambda part: F.size(F.filter(F.col("cdf"), lambda c: c < uniform(F.lit(seed), F.col("id"), part))),
     )
     count = F.aggregate(draws, F.lit(0), lambda a, x: a + x)
+    digest = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), "id", "copy"))
     copies = (
-        joined.withColumn("_count", count)
-        .filter("_count > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-        .withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "copy")), 1, 15), 16, 10).cast("bigint"))
-        .drop("_k", "_none", "parts", "cdf", "_count")
+        joined.select("d", "id", count.alias("n"))
+        .filter("n > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        .select("d", "copy", F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("shuffle_key"))
     )
     dealt = copies.repartition(partitions, "shuffle_key") if partitions else copies.repartition("shuffle_key")
-    return dealt.sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    return dealt.sortWithinPartitions("shuffle_key", "d.doc_id", "copy").select("d.*", "copy", "shuffle_key")
 
 
 def mix_sql(columns: str, seed: int = 17, power: float = 0.5) -> str:

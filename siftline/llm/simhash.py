@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import as_bytes, bottom_sample, popcount, saved, words
+from siftline.llm.common import as_bytes, bottom_sample, popcount, saved, whole, words
 from siftline.llm.components import components
 
 SEED = 42
@@ -201,14 +201,13 @@ def hex16(fp: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", shingle: int = 5, bits: int = 4) -> DataFrame:
-    """Documents of which none with a smaller id is a near-duplicate, one of each component.
+def keep_one(docs: DataFrame, text: str = "text", shingle: int = 5, bits: int = 6) -> DataFrame:
+    """The document of the smallest id of each component of near-duplicates.
 
     Of rows that share the kept id, the first by their other columns stays. Rows
     with a null id cannot be named as kept or gone, so all of them stay.
     """
     marked = near_duplicates(docs, text, shingle, bits)
     lone = marked.filter("doc_id = component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = docs.join(lone, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("_r"))
-    return kept.select("doc_id", "_r.*").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    kept = docs.join(lone, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole(docs)).alias("d")).select("d.*")
+    return kept.unionByName(docs.filter("doc_id is null"))
