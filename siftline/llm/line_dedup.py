@@ -14,7 +14,7 @@ from siftline.session import new_path
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 7, 3
-_SKETCH, _AGREE = 21, 10
+_SKETCH, _AGREE = 21, 11
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -106,59 +106,76 @@ def _agreeing(a: str, b: str) -> Column:
     return F.lit(_SKETCH) - F.bit_count(any_)
 
 
-def verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` whose shingle sets have at least the Jaccard similarity."""
+def compared(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` with ``near``, whether their Jaccard similarity is that high, and ``far``.
+
+    ``far`` is the exact Jaccard distance of the two shingle sets, in thousandths.
+    """
     pairs = saved(pairs, "pairs")
     ids = saved(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "pair_ids")
     texts = saved(join_small(lines.select("h", "line"), ids, "h"), "pair_texts")
     left = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("left")), "a")
     both = left.join(texts.select(F.col("h").alias("b"), F.col("line").alias("right")), "b")
 
-    def near(s: Column) -> Column:
-        sizes, common = F.size(s["x"]) + F.size(s["y"]), F.size(F.array_intersect(s["x"], s["y"]))
-        alike = F.least(F.size(s["x"]), F.size(s["y"])) >= F.lit(similarity) * F.greatest(F.size(s["x"]), F.size(s["y"]))
-        # common / (sizes - common) >= similarity, in whole numbers of thousandths
-        return F.when(alike, let(common, lambda c: c * 1000 >= F.lit(round(similarity * 1000)) * (sizes - c))).otherwise(False)
+    def judge(s: Column) -> Column:
+        sizes = F.size(s["x"]) + F.size(s["y"])
+        return let(F.size(F.array_intersect(s["x"], s["y"])), lambda c: F.struct(c.alias("c"), (sizes - c).alias("n")))
 
     sets = F.struct(_shingles("left", shingle).alias("x"), _shingles("right", shingle).alias("y"))
-    return both.filter(let(sets, near)).select("a", "b")
+    return both.select("a", "b", let(sets, judge).alias("v")).select(
+        "a",
+        "b",
+        (F.col("v.c") * 1000 >= F.lit(round(similarity * 1000)) * F.col("v.n")).alias("near"),
+        (F.lit(1000.0) - F.lit(1000.0) * F.col("v.c") / F.col("v.n")).alias("far"),
+    )
 
 
 def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(h, root)`` of the lines that have a near-duplicate; the others are not listed.
 
-    Lines that share a band are candidates. First each line is compared with one
-    head, the least line of its bands, then with the heads of those bands whose
-    head it has not been connected with. That joins most of a large group at a
-    few pairs per line. Only in bands that then still hold several components
-    are the remaining pairs compared, those across components whose sketches
-    agree in at least ``_AGREE`` of 21 minima: at a similarity of 0.8 one pair in
-    5000 is lost by that, fewer above.
+    Lines that share a band are candidates. A band's head is the line whose bands
+    hold most lines in all: of a text and its variants that is the text itself,
+    as changes make bands of their own. Each line is compared with its best head,
+    then with the heads of those bands whose head it has not been connected
+    with. That joins a large group at a few pairs per line. Only in bands that
+    then still hold several components are other pairs compared, those across
+    components that can be near: their distances from the head differ by no
+    more than the limit (the triangle rule of the Jaccard distance), and their
+    sketches agree in at least ``_AGREE`` of 21 minima (at a similarity of 0.8
+    all but one pair in 2000 do).
     """
     coded = saved(bands(lines, shingle, count, rows), "bands")
     members = coded.select("h", "sketch", F.explode("keys").alias("band"))
-    heads = saved(members.groupBy("band").agg(F.min("h").alias("head"), F.max("h").alias("z")).filter("head <> z").select("band", "head"), "heads")
-    shared = saved(join_small(members, heads, "band"), "shared_bands")
-    first = shared.filter("head <> h").groupBy("h").agg(F.min("head").alias("head"))
-    links = saved(verified(first.select(F.col("head").alias("a"), F.col("h").alias("b")), lines, shingle, similarity), "links")
-
-    def rooted(links: DataFrame) -> DataFrame:
-        roots = components(links).withColumnRenamed("node", "h")
-        rows = shared.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-        of_head = rows.filter("head = h").select("band", F.col("root").alias("head_root"))
-        mixed = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-        return saved(rows.join(mixed.join(of_head, "band"), "band"), "mixed_bands")
-
-    mixed = rooted(links)
-    stars = mixed.filter("root <> head_root").select(F.col("head").alias("a"), F.col("h").alias("b")).distinct()
-    links = saved(links.unionByName(verified(stars, lines, shingle, similarity)), "links")
-    mixed = rooted(links)
-    one = mixed.select("band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), "head")
-    two = mixed.select("band", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"))
-    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("a") != F.col("head"))
+    shared_bands = saved(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared_bands")
+    joined = saved(join_small(members, shared_bands, "band"), "members")
+    weights = joined.groupBy("h").agg(F.sum("n").alias("weight"))
+    weighed = joined.join(weights, "h").select("band", "h", "sketch", "weight")
+    best = weighed.groupBy("band").agg(F.max(F.struct("weight", "h")).alias("best"))
+    shared = saved(weighed.join(best, "band").select("band", "h", "sketch", F.col("best.h").alias("head"), F.col("best.weight").alias("head_weight")), "headed")
+    first = shared.groupBy("h").agg(F.max(F.struct("head_weight", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("h").alias("b"))
+    seen = saved(compared(first.filter("a <> b"), lines, shingle, similarity), "stars")
+
+    def rooted(seen: DataFrame) -> DataFrame:
+        """Rows of the bands that hold several components."""
+        roots = components(seen.filter("near")).withColumnRenamed("node", "h")
+        placed = shared.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+        mixed = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.when(F.col("head") == F.col("h"), F.col("root"))).alias("head_root"))
+        return saved(placed.join(mixed.filter("lo <> hi").select("band", "head_root"), "band"), "mixed_bands")
+
+    mixed = rooted(seen)
+    others = mixed.filter("root <> head_root").select(F.col("head").alias("a"), F.col("h").alias("b")).distinct()
+    known = seen.select("a", "b")
+    seen = saved(seen.unionByName(compared(others.join(known, ["a", "b"], "left_anti"), lines, shingle, similarity)), "stars")
+    mixed = rooted(seen)
+    distances = seen.select(F.col("a").alias("head"), F.col("b").alias("h"), "far")
+    spaced = saved(mixed.join(distances, ["head", "h"], "left").filter("h <> head"), "spaced")
+    one = spaced.select("band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("far").alias("fa"))
+    two = spaced.select("band", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("far").alias("fb"))
+    limit = 1000.0 - 1000.0 * similarity + 1e-6
+    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.coalesce(F.abs(F.col("fa") - F.col("fb")), F.lit(0.0)) <= limit)
     across = one.join(two, "band").filter(apart & (_agreeing("sa", "sb") >= _AGREE)).select("a", "b").distinct()
-    links = links.unionByName(verified(across, lines, shingle, similarity))
-    return components(links).select(F.col("node").alias("h"), "root")
+    rest = compared(across, lines, shingle, similarity)
+    return components(seen.unionByName(rest).filter("near")).select(F.col("node").alias("h"), "root")
 
 
 def removals(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, count: int = BANDS, rows: int = ROWS) -> DataFrame:
