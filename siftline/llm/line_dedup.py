@@ -174,7 +174,8 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = S
     limit = 1000.0 - 1000.0 * similarity + 1e-6
     apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.coalesce(F.abs(F.col("fa") - F.col("fb")), F.lit(0.0)) <= limit)
     across = one.join(two, "band").filter(apart & (_agreeing("sa", "sb") >= _AGREE)).select("a", "b").distinct()
-    rest = compared(across, lines, shingle, similarity)
+    # written, as a filter on the result would compute it again
+    rest = saved(compared(across, lines, shingle, similarity), "across")
     return components(seen.unionByName(rest).filter("near")).select(F.col("node").alias("h"), "root")
 
 
