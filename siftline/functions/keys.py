@@ -70,8 +70,10 @@ def candidate_key(c: Column) -> Column:
 
 
 def row_key(df: DataFrame, columns: Sequence[str] = ID_COLUMNS) -> Column:
-    """Key of the first non-empty id column that ``df`` has; empty if none."""
-    present = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in columns if c in df.columns]
+    """Key of the first id column that ``df`` has and that is not empty, zero or false; empty if none."""
+    kinds = dict(df.dtypes)
+    blank = {"string": F.lit(""), "boolean": F.lit(False)}
+    present = [F.nullif(F.col(c), blank.get(kinds[c], F.lit(0))).cast("string") for c in columns if c in kinds]
     if not present:
         return F.lit("")
     return F.coalesce(candidate_key(F.coalesce(*present)), F.lit(""))

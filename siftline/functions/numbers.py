@@ -76,8 +76,8 @@ def sequence_flags(
     own reverse complement.
     """
     share = gc_share(c)
-    both = F.concat(c, F.lit("|"), F.reverse(complement(c)))
-    folded = both.rlike(rf"([^|]{{{palindrome}}})[^|]*+\|.*?\1")
+    both = F.concat(c, F.lit("\x00"), F.reverse(complement(c)))
+    folded = both.rlike(rf"(?s)([^\x00]{{{palindrome}}})[^\x00]*+\x00.*?\1")
     return {
         "gc_flag": ((share < gc_min) | (share > gc_max)).cast("int"),
         "run_flag": c.rlike(rf"(.)\1{{{run - 1}}}").cast("int"),

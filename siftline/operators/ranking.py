@@ -43,14 +43,16 @@ def rank_designs(
             else:
                 usable = present(table, kind)
             raw = [c for c in columns if c in table.columns]
-            if not raw:
+            # a later table with other iptm columns still takes the place of an earlier score
+            if not raw and not (kind == "iptm" and any("iptm" in c.lower() for c in table.columns)):
                 continue
             rows = table.filter(usable).select(
                 row_key(table).alias("design"), *raw, F.struct(*order).alias("_order")
             )
             # the value is parsed after the last row is picked: others may be no numbers
             last = last_per_key(rows, ["design"], ["_order"])
-            last = last.select("design", F.lit(n).alias("_table"), first_metric(last, raw).alias(kind))
+            value = first_metric(last, raw) if raw else F.lit(None).cast("double")
+            last = last.select("design", F.lit(n).alias("_table"), value.alias(kind))
             best[kind] = best[kind].unionByName(last) if kind in best else last
     out = structures.select("filename", candidate_key(F.col("filename")).alias("design"))
     for kind in wanted:

@@ -103,8 +103,8 @@ def nest_children(
 ) -> DataFrame:
     """Parents with their ordered children: (parent columns, segment, children).
 
-    A parent without children has an empty array; one with more than ``limit``
-    children has several segments.
+    A parent without children has an empty array in segment 0; children stand in
+    segments of ``block``, from 0.
     """
     grouped = ordered_groups(children, [key], [order], item, **sizes).withColumnRenamed("items", name)
     kind = grouped.schema[name].dataType

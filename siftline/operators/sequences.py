@@ -13,7 +13,7 @@ from siftline.functions.numbers import complement, sequence_flags
 from siftline.ordering import add_index, index_by_hash
 
 MAX_IMBALANCE = 0.05
-_SALTS = 1024  # word sums stay below 2^63 up to 2^31 records per salt
+_SALTS = 1024  # word sums stay below 2^63 up to 2^31 records of a salt, copies or not
 _PIECE = 1024
 
 
@@ -105,7 +105,7 @@ def multiset_signature(
         *by,
         "_header",
         "_sequence",
-        F.pmod(F.xxhash64("_digest"), F.lit(_SALTS)).alias("_salt"),
+        F.pmod(F.xxhash64("_digest", F.spark_partition_id()), F.lit(_SALTS)).alias("_salt"),
         *[word("_digest", i).alias(f"_w{i}") for i in range(2 * LANES)],
     )
     lanes = [(f"_w{2 * i + 1}", f"_w{2 * i}") for i in range(LANES)]  # high and low word
@@ -258,10 +258,22 @@ def align_references(utr: DataFrame, orf: DataFrame, keep_all: bool = True) -> D
 
 
 def check_pairs(utr: DataFrame, orf: DataFrame, name: str = "name") -> DataFrame:
-    """Safe names that stand for different raw names on the two sides."""
-    left = utr.select(safe_name(F.col(name)).alias("safe_name"), F.col(name).alias("utr_name"))
-    right = orf.select(safe_name(F.col(name)).alias("safe_name"), F.col(name).alias("orf_name"))
-    return left.join(right, "safe_name").filter("utr_name <> orf_name")
+    """Safe names that stand for different raw names on the two sides.
+
+    One row per safe name, however many rows share it: the least raw name of
+    each side, or the greatest if the least ones are equal.
+    """
+    both = utr.select(F.lit(True).alias("_utr"), F.col(name).alias("_raw")).unionByName(
+        orf.select(F.lit(False).alias("_utr"), F.col(name).alias("_raw"))
+    )
+    sides = {"utr": F.when(F.col("_utr"), F.col("_raw")), "orf": F.when(~F.col("_utr"), F.col("_raw"))}
+    ends = [f(c).alias(f"{side}_{end}") for side, c in sides.items() for end, f in (("low", F.min), ("high", F.max))]
+    found = both.groupBy(safe_name(F.col("_raw")).alias("safe_name")).agg(*ends)
+    low_differs = F.col("utr_low") != F.col("orf_low")
+    return found.filter(low_differs | (F.col("utr_high") != F.col("orf_high"))).select(
+        "safe_name",
+        *[F.when(low_differs, F.col(f"{side}_low")).otherwise(F.col(f"{side}_high")).alias(f"{side}_name") for side in sides],
+    )
 
 
 def intersect_names(left: DataFrame, right: DataFrame, name: str = "name") -> DataFrame:

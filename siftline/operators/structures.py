@@ -22,12 +22,27 @@ RESIDUE_CODES = {
 
 
 def translate_residues(c: Column, overrides: Mapping[str, str] | None = None) -> Column:
-    """One-letter code of a residue name; ``X`` if it is not known."""
+    """One-letter code of a residue name; ``X`` if it is not known.
+
+    ``overrides`` adds codes, say of modified residues; longer tables go through
+    ``code_residues``.
+    """
     pairs = {**RESIDUE_CODES, **(overrides or {})}
     table = F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
     return F.coalesce(F.try_element_at(table, c), F.lit("X"))
 
 
+def code_residues(residues: DataFrame, codes: DataFrame, residue: str = "residue", name: str = "code") -> DataFrame:
+    """Residues with their one-letter ``name`` from a table ``(residue, code)`` of modified ones.
+
+    The table's codes are upper-cased and win over the standard ones; of repeated
+    rows the least code counts. Unknown residues are ``X``.
+    """
+    table = codes.groupBy(F.col("residue").alias("_residue")).agg(F.min(F.upper("code")).alias("_code"))
+    joined = residues.join(table, F.col(residue) == F.col("_residue"), "left")
+    return joined.select(*residues.columns, F.coalesce("_code", translate_residues(F.col(residue))).alias(name))
+
+
 def chain_sequences(
     residues: DataFrame,
     keys: Sequence[str] = ("structure", "chain"),
@@ -38,8 +53,7 @@ def chain_sequences(
 ) -> DataFrame:
     """Sequence of each chain in residue order: (keys, segment, sequence).
 
-    Segment 0 holds a whole chain; only a chain beyond ``limit`` residues is
-    given in consecutive segments.
+    Segments of ``block`` residues count from 0.
     """
     code = translate_residues(F.col(residue), overrides)
     grouped = ordered_groups(residues, list(keys), [position], code, **sizes)
@@ -72,7 +86,7 @@ def residue_positions(
     """Residues whose lowest energy is under a threshold: (structure, segment, fixed_positions).
 
     Positions are ordered by chain and residue, ``NONE`` if there are none. A
-    structure is one row with segment 0 unless it exceeds ``limit`` positions.
+    structure's positions stand in segments of ``block``, from 0.
     """
     lowest = energies.groupBy(structure, chain, residue).agg(F.min(energy).alias("_min"))
     label = F.concat(F.col(chain), F.col(residue).cast("string"))
@@ -104,14 +118,20 @@ def rmsd(
 def gyration(
     atoms: DataFrame, keys: Sequence[str] = ("traj",), frame: str = "frame", mass: Column | None = None
 ) -> DataFrame:
-    """Mass-weighted radius of gyration of every frame, in one aggregate."""
-    m = F.lit(1.0) if mass is None else mass
-    total = F.sum(m)
-    spread = F.lit(0.0)
+    """Mass-weighted radius of gyration of every frame.
+
+    Positions are taken from the frame's plain mean, so that distances are not
+    lost in large coordinates. Both steps are aggregates by frame.
+    """
+    keys = [*keys, frame]
+    weighted = atoms.select(*keys, *_XYZ, (F.lit(1.0) if mass is None else mass).cast("double").alias("_m"))
+    means = weighted.groupBy(*keys).agg(*[F.avg(c).alias(f"_{c}") for c in _XYZ])
+    near = weighted.join(means, keys).select(*keys, "_m", *[(F.col(c) - F.col(f"_{c}")).alias(c) for c in _XYZ])
+    total, spread = F.sum("_m"), F.lit(0.0)
     for c in _XYZ:
-        centre = F.sum(m * F.col(c)) / total
-        spread = spread + F.sum(m * F.col(c) * F.col(c)) / total - centre * centre
-    return atoms.groupBy(*keys, frame).agg(F.sqrt(F.greatest(spread, F.lit(0.0))).alias("rg"))
+        centre = F.sum(F.col("_m") * F.col(c)) / total
+        spread = spread + F.sum(F.col("_m") * F.col(c) * F.col(c)) / total - centre * centre
+    return near.groupBy(*keys).agg(F.sqrt(F.greatest(spread, F.lit(0.0))).alias("rg"))
 
 
 def rmsf(

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from siftline.session import materialise
 
 BLOCK = 1 << 16
-_PUSHED_LIMIT = 1000  # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
 _SALTS = 1024
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id: partition << 33 | row
 
@@ -29,13 +28,19 @@ def _edge(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], las
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    place, row = F.struct(*_columns(order)).alias("p"), F.struct(*rest).alias("r")
+    named = {c: f"o{i}" for i, c in enumerate(order) if isinstance(c, str) and c in rest}
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
+    # a column of the order is not carried twice
+    other = [c for c in rest if c not in named]
+    row = F.struct(*other) if other else F.lit(None)
     if any("map<" in kind or "variant" in kind for _, kind in df.dtypes):
         # such columns cannot be compared, so rows cannot break ties of the order
-        best = (F.max_by if last else F.min_by)(F.struct(row), place)
+        best = (F.max_by if last else F.min_by)(F.struct(place.alias("p"), row.alias("r")), place)
     else:
-        best = (F.max if last else F.min)(F.struct(place, row))
-    return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.r.*").select(*df.columns)
+        best = (F.max if last else F.min)(F.struct(place.alias("p"), row.alias("r")))
+    found = df.groupBy(*keys).agg(best.alias("_best"))
+    shown = {c: F.col(f"_best.p.{named[c]}") if c in named else F.col(f"_best.r.`{c}`") for c in rest}
+    return found.select(*[shown[c].alias(c) if c in shown else F.col(c) for c in df.columns])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -174,14 +179,13 @@ def ordered_groups(
     item: Column,
     wanted: Column | None = None,
     block: int = 4096,
-    limit: int = 65536,
 ) -> DataFrame:
-    """Items of each key as an ordered array: (keys, segment, items).
+    """Items of each key as ordered arrays: (keys, segment, items).
 
-    A key of at most ``limit`` items is one row with segment 0. A larger one gives
-    segments 1, 2, ... of ``block`` items, so that no array grows with the data
-    and no item is lost. Rows that are not ``wanted`` add no item, but a key with
-    only such rows still gets its row, with an empty array.
+    Segments of ``block`` items count from 0 in the key's order, at any number of
+    items, so that no array grows with the data and no item is lost. Rows that
+    are not ``wanted`` add no item, but a key with only such rows still gets its
+    segment 0, with an empty array.
     """
     wanted = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
     at = [f"_p{i}" for i in range(len(order))]
@@ -191,46 +195,33 @@ def ordered_groups(
         item.alias("_item"),
         wanted.alias("_wanted"),
     )
-    # Written out, so that Spark knows its size and can choose the joins by it.
-    large = materialise(
-        placed.groupBy(*keys)
-        .agg(F.count_if("_wanted").alias("_n"))
-        .filter(F.col("_n") > limit)
-        .select(*keys),
-        "large",
-    )
-    some = not large.isEmpty()
-    listed = F.array_sort(F.collect_list(F.when(F.col("_wanted"), F.struct(*at, "_item"))))
-    items = F.transform(listed, lambda x: x["_item"]).alias("items")
-    small = _null_safe_join(placed, large, keys, "left_anti") if some else placed
-    whole = small.groupBy(*keys).agg(items).select(*keys, F.lit(0).cast("bigint").alias("segment"), "items")
-    if not some:
-        return whole
-    rows = _null_safe_join(placed.filter("_wanted"), large, keys, "left_semi")
-    indexed = add_index(rows, [*keys, *at, "_item"], 0, "_i")
+    # wanted rows come first in their key, so that their places are dense
+    last = F.when(F.col("_wanted"), 0).otherwise(1)
+    indexed = add_index(placed.withColumn("_last", last), [*keys, "_last", *at, "_item"], 0, "_i")
     starts = indexed.groupBy(*keys).agg(F.min("_i").alias("_start"))
-    segment = F.floor((F.col("_i") - F.col("_start")) / F.lit(block)) + 1
-    split = _null_safe_join(indexed, starts, keys).groupBy(
-        *keys, segment.cast("bigint").alias("segment")
+    segment = F.when(F.col("_wanted"), F.floor((F.col("_i") - F.col("_start")) / F.lit(block))).otherwise(0)
+    listed = F.array_sort(F.collect_list(F.when(F.col("_wanted"), F.struct("_i", "_item"))))
+    return (
+        _null_safe_join(indexed, starts, keys)
+        .groupBy(*keys, segment.cast("bigint").alias("segment"))
+        .agg(F.transform(listed, lambda x: x["_item"]).alias("items"))
     )
-    return whole.unionByName(split.agg(items))
 
 
 def top_k_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank", salts: int = _SALTS
 ) -> DataFrame:
-    """Best ``k`` rows of each key; every task cuts its rows to ``k`` first.
+    """Best ``k`` rows of each key, cut in two steps.
 
-    Spark does that by itself for a small ``k``. For a larger one a key is first
-    cut per group of input partitions, so that no task sorts a whole hot key.
+    A key's rows are first cut to ``k`` for each group of input partitions (at
+    most ``salts`` groups), so that the task that ranks a hot key gets no more
+    than ``k`` rows of each group, and none sorts the whole key.
     """
-    if k > _PUSHED_LIMIT:
-        salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        part = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
-        df = part.withColumn("_cut", F.row_number().over(salted)).filter(F.col("_cut") <= k)
-        df = df.drop("_salt", "_cut")
+    salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    part = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    cut = part.withColumn("_cut", F.row_number().over(salted)).filter(F.col("_cut") <= k).drop("_salt", "_cut")
     window = Window.partitionBy(*keys).orderBy(*order)
-    kept = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
+    kept = cut.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
     return kept.withColumn(name, F.col(name).cast("bigint"))
 
 

@@ -362,14 +362,14 @@ def rank_designs(t: Tables) -> DataFrame:
 @query(
     """WITH f AS (
   SELECT 'part-' || l_partkey AS "Design", min('part-' || l_partkey || '_model' || l_linenumber || '.pdb') AS file_name
-  FROM lineitem WHERE l_quantity >= 45 GROUP BY l_partkey)
+  FROM lineitem GROUP BY l_partkey)
 SELECT f."Design", p_retailprice, file_name,
   row_number() OVER (ORDER BY p_retailprice DESC, f."Design") AS "Rank"
 FROM part JOIN f ON 'part-' || p_partkey = f."Design" """
 )
 def accepted_rank(t: Tables) -> DataFrame:
     designs = t.part.select(name("part-", "p_partkey").alias("Design"), "p_retailprice")
-    files = t.lineitem.filter("l_quantity >= 45").select(
+    files = t.lineitem.select(
         F.concat(F.lit("part-"), F.col("l_partkey"), F.lit("_model"), F.col("l_linenumber"), F.lit(".pdb")).alias("file_name")
     )
     return ranking.match_accepted(designs, files, "p_retailprice")
@@ -542,15 +542,19 @@ def _line_manifest(t: Tables) -> DataFrame:
             expected=F.col("l_returnflag") != "N",
         ),
     )
+    # a manifest row holds all its files: segments are put together again
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("segment", "items"))), lambda x: x["items"])
     return order_manifest(t).join(
-        files.select(name("order-", "l_orderkey").alias("candidate_id"), F.col("items").alias("files")),
+        files.groupBy("l_orderkey")
+        .agg(F.flatten(whole).alias("files"))
+        .select(name("order-", "l_orderkey").alias("candidate_id"), "files"),
         "candidate_id",
         "left",
     )
 
 
 def _line_listing(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_discount > 0.01").select(
+    return t.lineitem.select(
         F.lit("app").alias("volume_name"),
         F.concat(F.lit("o"), F.col("l_orderkey"), F.lit("/l"), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey"), F.lit("-"), F.col("l_suppkey")).alias("path"),
         F.when(F.col("l_tax") > 0.07, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).cast("bigint").alias("size_bytes"),
@@ -560,10 +564,10 @@ def _line_listing(t: Tables) -> DataFrame:
 _FILE_ERRORS = """
 WITH errors AS (
   SELECT 'order-' || l_orderkey AS candidate_id,
-    CASE WHEN l_discount <= 0.01 THEN 'missing' ELSE 'wrong_size' END AS problem,
+    'wrong_size' AS problem,
     'app' AS volume_name, 'o' || l_orderkey || '/l' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS path
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_returnflag <> 'N' AND (l_discount <= 0.01 OR l_tax > 0.07))
+  WHERE l_returnflag <> 'N' AND l_tax > 0.07)
 """
 
 
@@ -726,13 +730,13 @@ def retention_candidates(t: Tables) -> DataFrame:
 
 @query(
     """SELECT job_id, row_number() OVER (ORDER BY created_at, job_id) AS position FROM (
-  SELECT event_id AS job_id, ts AS created_at FROM events WHERE event_type IN ('click', 'view', 'error'))"""
+  SELECT event_id AS job_id, ts AS created_at FROM events WHERE event_type <> 'signup')"""
 )
 def reconcilable_jobs(t: Tables) -> DataFrame:
     from siftline.plans.ledgers import event_jobs
     from siftline.schemas import RECONCILABLE_STATES
 
-    listed = runs.in_states(event_jobs(t), [x for x in RECONCILABLE_STATES if x != "finalizing"])
+    listed = runs.in_states(event_jobs(t), RECONCILABLE_STATES)
     return add_index(listed, ["created_at", "job_id"], 1, "position").select("job_id", "position")
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators import graph, runs
-from siftline.ordering import last_per_key
 from siftline.plans.registry import Tables, query
 from siftline.session import new_path
 from siftline.streaming import jobs as streams
@@ -378,13 +377,13 @@ def rejected_events(t: Tables) -> DataFrame:
 
 @query(
     """WITH last AS (SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
-c AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0),
+c AS (SELECT c_custkey FROM customer),
 a AS (SELECT 'c-' || user_id AS candidate_id, c_custkey IS NOT NULL AS known, value > 20 AS good FROM last LEFT JOIN c ON c_custkey = user_id)
 SELECT candidate_id, known AND good AS passed, CASE WHEN NOT known THEN 'missing_manifest' WHEN good THEN 'passed' ELSE 'filtered' END AS reason FROM a
 UNION ALL SELECT 'c-' || c_custkey, false, 'missing_score' FROM c WHERE c_custkey NOT IN (SELECT user_id FROM events)"""
 )
 def stream_audit(t: Tables) -> DataFrame:
-    manifest = t.customer.filter("c_acctbal > 0").select(
+    manifest = t.customer.select(
         F.concat(F.lit("c-"), F.col("c_custkey")).alias("candidate_id"),
         F.concat(F.lit("in/c-"), F.col("c_custkey"), F.lit(".pdb")).alias("source_path"),
     )
@@ -399,7 +398,7 @@ def stream_audit(t: Tables) -> DataFrame:
     rest = streams.unscored(manifest, audit).select(
         "candidate_id", F.lit(False).alias("passed"), F.lit("missing_score").alias("reason")
     )
-    latest = last_per_key(audit, ["candidate_id"], ["batch"])
+    latest = streams.latest_audit(audit)
     return latest.select("candidate_id", "passed", "reason").unionByName(rest)
 
 

@@ -39,7 +39,7 @@ def shard_imbalance(t: Tables) -> DataFrame:
 stats AS (SELECT 'db-' || lpad(substr(source, 4), 5, '0') || '-of-00021' AS name, sum(length(text)) AS n FROM sh GROUP BY source),
 names AS (SELECT 'db-' || lpad(i::VARCHAR, 5, '0') || '-of-00021' AS name FROM range(21) r(i)),
 g AS (SELECT max(abs(n - m)) / avg(n) AS worst FROM (SELECT n, avg(n) OVER () AS m FROM stats)),
-b AS (SELECT count(*) AS c, sum(length(text)) AS l FROM documents WHERE lang <> 'fr'),
+b AS (SELECT count(*) AS c, sum(length(text)) AS l FROM documents JOIN labels USING (doc_id)),
 a AS (SELECT count(*) AS c, sum(length(text)) AS l FROM documents)
 SELECT 'missing_shard' AS problem, name FROM names WHERE name NOT IN (SELECT name FROM stats)
 UNION ALL SELECT 'unknown_shard', name FROM stats WHERE name NOT IN (SELECT name FROM names)
@@ -48,7 +48,7 @@ UNION ALL SELECT 'sum_len_differs', NULL FROM a, b WHERE a.l <> b.l
 UNION ALL SELECT 'imbalance', NULL FROM g WHERE worst > 0.05"""
 )
 def shard_gate(t: Tables) -> DataFrame:
-    source = s.seq_stats(t.documents.filter("lang <> 'fr'"), "source", "text").filter("is_total")
+    source = s.seq_stats(t.documents.join(t.labels.select("doc_id"), "doc_id"), "source", "text").filter("is_total")
     number = F.lpad(F.substring("source", 4, 5), 5, "0")
     file = F.concat(F.lit("C:\\db\\db-"), number, F.lit("-of-00021"))
     shards = s.seq_stats(t.documents.withColumn("file_name", file), "file_name", "text").filter("not is_total")
@@ -125,39 +125,40 @@ def same_records(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT text, left_n, right_n FROM (
-  SELECT text, count(*) FILTER (lang <> 'es') AS left_n, count(*) FILTER (source <> 'src3') AS right_n FROM documents GROUP BY text)
-WHERE left_n <> right_n"""
+    """SELECT text, coalesce(l, 0) AS left_n, coalesce(r, 0) AS right_n
+FROM (SELECT text, count(*) AS l FROM documents GROUP BY text) FULL JOIN (SELECT text, count(*) AS r FROM conversations GROUP BY text) USING (text)
+WHERE coalesce(l, 0) <> coalesce(r, 0)"""
 )
 def record_differences(t: Tables) -> DataFrame:
-    docs = t.documents
-    return s.exact_differences(docs.filter("lang <> 'es'"), docs.filter("source <> 'src3'"), ["text"])
+    return s.exact_differences(t.documents, t.conversations, ["text"])
 
 
 @query(
     """WITH k AS (SELECT doc_id, row_number() OVER (ORDER BY ('0x' || substr(md5('23:' || doc_id), 1, 15))::BIGINT, doc_id) - 1 AS position FROM documents)
-SELECT doc_id, position, (position % 16)::INTEGER AS shard, position // 16 AS place FROM k"""
+SELECT doc_id, text, position, (position % 16)::INTEGER AS shard, position // 16 AS place FROM k JOIN documents USING (doc_id)"""
 )
 def permute_shards(t: Tables) -> DataFrame:
-    return s.permute_to_shards(t.documents.select("doc_id"), "doc_id", 16)
-
-
-_RNA = "translate(regexp_replace(text, '[^acgt]', '', 'g'), 'acgt', 'ACGU')"
+    return s.permute_to_shards(t.documents.select("doc_id", "text"), "doc_id", 16)
 
 
 @query(
-    f"""WITH r AS (SELECT doc_id, {_RNA} AS rna FROM documents),
-w AS (SELECT doc_id, i AS pos, substr(rna, i, 19) AS w FROM (SELECT doc_id, rna, unnest(range(1, greatest(length(rna) - 17, 1))) AS i FROM r))
-SELECT doc_id, pos, w AS "siRNA", translate(w, 'ACGU', 'UGCA') AS sense, gc AS gc_flag, run AS run_flag, gcr AS gc_run_flag,
-  pal AS palindrome_flag, greatest(gc, run, gcr, pal) AS func_filter FROM (
-  SELECT *, (length(regexp_replace(w, '[^GC]', '', 'g')) / 19 < 0.3 OR length(regexp_replace(w, '[^GC]', '', 'g')) / 19 > 0.65)::INT AS gc,
-    regexp_matches(w, 'AAAAA|CCCCC|GGGGG|UUUUU')::INT AS run, regexp_matches(w, '[GC]{{6}}')::INT AS gcr,
-    (len(list_filter(range(1, 17), lambda j: contains(w, reverse(translate(substr(w, j, 4), 'ACGU', 'UGCA'))))) > 0)::INT AS pal FROM w)"""
+    """WITH w AS (SELECT doc_id, i AS pos, substr(text, i, 19) AS w FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 17, 1))) AS i FROM documents)),
+f AS (SELECT *, (length(regexp_replace(w, '[^GC]', '', 'g')) / 19 < 0.3 OR length(regexp_replace(w, '[^GC]', '', 'g')) / 19 > 0.65)::INT AS gc,
+    regexp_matches(w, 'AAAAA|CCCCC|GGGGG|UUUUU')::INT AS run, regexp_matches(w, '[GC]{6}')::INT AS gcr,
+    (len(list_filter(range(1, 17), lambda j: contains(w, reverse(translate(substr(w, j, 4), 'ACGU', 'UGCA'))))) > 0)::INT AS pal FROM w)
+SELECT doc_id, count(*) AS windows, max(pos) AS last_pos, min(w) AS first_window, max(translate(w, 'ACGU', 'UGCA')) AS last_sense, sum(gc)::BIGINT AS gc,
+  sum(run)::BIGINT AS run, sum(gcr)::BIGINT AS gc_run, sum(pal)::BIGINT AS palindrome, sum(greatest(gc, run, gcr, pal))::BIGINT AS func FROM f GROUP BY doc_id"""
 )
 def windows_tiling(t: Tables) -> DataFrame:
-    rna = F.translate(F.regexp_replace("text", "[^acgt]", ""), "acgt", "ACGU")
-    targets = t.documents.select("doc_id", rna.alias("sequence"))
-    return s.add_sequence_flags(s.tile_windows(targets, ["doc_id"]))
+    tiles = s.add_sequence_flags(s.tile_windows(t.documents.select("doc_id", F.col("text").alias("sequence")), ["doc_id"]))
+    flags = {"gc": "gc_flag", "run": "run_flag", "gc_run": "gc_run_flag", "palindrome": "palindrome_flag", "func": "func_filter"}
+    return tiles.groupBy("doc_id").agg(
+        F.count("*").alias("windows"),
+        F.max("pos").alias("last_pos"),
+        F.min("siRNA").alias("first_window"),
+        F.max("sense").alias("last_sense"),
+        *[F.sum(c).alias(name) for name, c in flags.items()],
+    )
 
 
 @query(
@@ -221,21 +222,21 @@ def mapping_cells(t: Tables) -> DataFrame:
 
 
 def _frames(t: Tables) -> DataFrame:
-    """Every embedding as a frame of 21 atoms with three coordinates."""
+    """Every embedding as a frame of atoms with three coordinates; the last atom is filled up with zeros."""
     at = F.col("atom") * 3
     return t.embeddings.select(
-        F.lit(0).alias("traj"), F.col("vec_id").alias("frame"), "embedding", F.explode(F.expr("sequence(0, 20)")).alias("atom")
+        F.lit(0).alias("traj"), F.col("vec_id").alias("frame"), "embedding", F.explode(F.expr("sequence(0, 21)")).alias("atom")
     ).select(
         "traj",
         "frame",
         "atom",
-        *[F.get("embedding", at + i).cast("double").alias(c) for i, c in enumerate("xyz")],
+        *[F.coalesce(F.get("embedding", at + i).cast("double"), F.lit(0.0)).alias(c) for i, c in enumerate("xyz")],
     )
 
 
 _FRAMES_SQL = """
-WITH a AS (SELECT vec_id AS frame, unnest(range(0, 21)) AS atom, embedding FROM embeddings),
-f AS (SELECT frame, atom, embedding[atom * 3 + 1]::DOUBLE AS x, embedding[atom * 3 + 2]::DOUBLE AS y, embedding[atom * 3 + 3]::DOUBLE AS z FROM a)
+WITH a AS (SELECT vec_id AS frame, unnest(range(0, 22)) AS atom, embedding FROM embeddings),
+f AS (SELECT frame, atom, embedding[atom * 3 + 1]::DOUBLE AS x, coalesce(embedding[atom * 3 + 2], 0)::DOUBLE AS y, coalesce(embedding[atom * 3 + 3], 0)::DOUBLE AS z FROM a)
 """
 
 
@@ -331,11 +332,11 @@ def aligned_references(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT replace(p_name, ' ', '_@_') AS safe_name, p_name AS utr_name, replace(p_name, ' ', '_@_') AS orf_name
-FROM part WHERE contains(p_name, ' ')"""
+    """SELECT replace(p_name, ' ', '_@_') AS safe_name, min(p_name) AS utr_name, replace(p_name, ' ', '_@_') AS orf_name
+FROM part WHERE contains(p_name, ' ') GROUP BY replace(p_name, ' ', '_@_')"""
 )
 def reference_pairs(t: Tables) -> DataFrame:
-    left = t.part.select(F.col("p_name").alias("name")).distinct()
+    left = t.part.select(F.col("p_name").alias("name"))
     right = left.select(F.replace("name", F.lit(" "), F.lit("_@_")).alias("name"))
     return s.check_pairs(left, right)
 
@@ -396,8 +397,15 @@ _TABLES = {
     "customer": "c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment",
     "supplier": "s_suppkey,s_name,s_nationkey,s_acctbal",
     "part": "p_partkey,p_name,p_brand,p_type,p_size,p_retailprice",
+    "orders": "o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority",
+    "lineitem": "l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate",
     "events": "event_id,ts,user_id,event_type,value,props",
     "documents": "doc_id,text,lang,source,n_chars",
+    "embeddings": "vec_id,embedding,label",
+    "pages": "page_id,url,html",
+    "benchmark": "item_id,text",
+    "labels": "doc_id,quality,toxic",
+    "conversations": "conv_id,turn,role,text",
 }
 
 

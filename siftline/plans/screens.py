@@ -90,8 +90,7 @@ def _context(t: Tables) -> DataFrame:
 
 def _toxicity(t: Tables) -> DataFrame:
     return (
-        t.part.filter("p_type <> 'PROMO'")
-        .groupBy(F.substring("p_type", 2, 6).alias("Seed"))
+        t.part.groupBy(F.substring("p_type", 2, 6).alias("Seed"))
         .agg((F.min("p_size") * 20 + F.max(F.length("p_type")) * 5).cast("bigint").alias("cell_viability"))
     )
 
@@ -122,7 +121,7 @@ def top_candidates(t: Tables) -> DataFrame:
     + """, best AS (SELECT sirna, max(targetscan_score) AS ts FROM sums GROUP BY sirna),
 top AS (SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50),
 tox AS (SELECT substr(p_type, 2, 6) AS seed, min(p_size) * 20 + max(length(p_type)) * 5 AS viability
-  FROM part WHERE p_type <> 'PROMO' GROUP BY 1),
+  FROM part GROUP BY 1),
 joined AS (
   SELECT p.*, txt, v, CASE WHEN v IS NOT NULL THEN coalesce(ts, 0.0) ELSE ts END AS ts2, t.p_partkey IS NOT NULL AS was, viability
   FROM part p LEFT JOIN top t ON t.p_partkey = p.p_partkey LEFT JOIN pita ON rna = 'RNA' || p.p_partkey
@@ -153,7 +152,7 @@ def evidence_flags(t: Tables) -> DataFrame:
 
 @query(
     """WITH tox AS (SELECT substr(p_type, 2, 6) AS seed, min(p_size) * 20 + max(length(p_type)) * 5 AS viability
-  FROM part WHERE p_type <> 'PROMO' GROUP BY 1)
+  FROM part GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, substr(p_type, 2, 6) AS "Seed", viability AS cell_viability,
   CASE WHEN viability < 60 THEN 1 ELSE 0 END AS toxicity_filter
 FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN tox ON seed = substr(p_type, 2, 6)"""
@@ -194,7 +193,7 @@ def _hit_lines(t: Tables) -> DataFrame:
 
 def _alignments(t: Tables) -> DataFrame:
     name = F.concat(F.lit("u"), F.col("user_id"), F.lit("/"), F.col("event_id"), F.lit("-"), F.col("event_id") + 9)
-    return t.events.filter("value > 0.05").select(
+    return t.events.select(
         "event_type", F.concat(name, F.lit(" "), F.col("event_type")).alias("description")
     )
 
@@ -202,7 +201,7 @@ def _alignments(t: Tables) -> DataFrame:
 _HITS_SQL = """
 WITH hits AS (
   SELECT event_type, 'u' || user_id || '/' || event_id || '-' || (event_id + 9) AS hit_id,
-    floor(value / 10)::DOUBLE AS e_value, length(props)::DOUBLE AS score FROM events WHERE value > 0.05)
+    floor(value / 10)::DOUBLE AS e_value, length(props)::DOUBLE AS score FROM events)
 """
 
 

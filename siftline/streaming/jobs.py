@@ -17,7 +17,7 @@ from siftline.functions.rules import compile_rules
 from siftline.operators.manifests import drop_ids, keep_ids, latest_scores
 from siftline.ordering import last_per_key
 from siftline.schemas import TERMINAL_STATES
-from siftline.session import new_path
+from siftline.session import materialise, new_path
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
@@ -98,21 +98,30 @@ def conflicting_submissions(submissions: DataFrame, first: DataFrame, keys: Sequ
     return submissions.join(accepted, list(keys)).filter(F.col(payload) != F.col("_accepted")).drop("_accepted")
 
 
-def job_states(events: DataFrame, key: str, state: str, order: Sequence[str], terminal: Sequence[str] = TERMINAL_STATES) -> DataFrame:
-    """Current state per job: the first terminal event, else the latest event.
+def job_states(
+    events: DataFrame,
+    key: str,
+    state: str,
+    order: Sequence[str],
+    terminal: Sequence[str] = TERMINAL_STATES,
+    sticky: Sequence[str] = ("cancel_requested", "state_unknown"),
+) -> DataFrame:
+    """Current state per job: the first terminal event, else a sticky one, else the latest event.
 
-    A terminal state is never left, so later events are rejected; ``closed_at``
-    says from where. Works on a batch or a stream (update mode).
+    A terminal state is never left, so later events are rejected; ``closed``
+    says that it was reached. ``sticky`` states give way to terminal ones and to
+    each other (the latest counts) but not to others. Works on a batch or a
+    stream (update mode).
     """
     place = F.struct(*order)
     row = F.struct(state, *order)
-    ended = F.when(F.col(state).isin(*terminal), place)
     grouped = events.groupBy(key).agg(
-        F.min_by(row, ended).alias("_end"),
+        F.min_by(row, F.when(F.col(state).isin(*terminal), place)).alias("_end"),
+        F.max_by(row, F.when(F.col(state).isin(*sticky), place)).alias("_held"),
         F.max_by(row, place).alias("_last"),
         F.count("*").alias("events"),
     )
-    current = F.coalesce("_end", "_last")
+    current = F.coalesce("_end", "_held", "_last")
     return grouped.withColumn("_now", current).select(
         key,
         F.col(f"_now.{state}").alias(state),
@@ -133,12 +142,9 @@ def session_windows(stream: DataFrame, user: str, ts: str, idle_seconds: int = 3
 
     An event exactly one idle gap after the last one opens a new session, while
     Spark's windows would still touch; hence the gap is a microsecond shorter.
-    Sessions are merged inside each task first, so a hot user does not send all
-    its rows to one task.
+    ``get_session`` has sessions merged inside each task first, so that a hot user
+    does not send all rows to one task.
     """
-    stream.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     micros = idle_seconds * 1_000_000 - 1
     return (
         stream.withWatermark(ts, late)
@@ -182,15 +188,19 @@ def incremental_audit(
     """Audit the score files that have landed against a static manifest.
 
     Runs to the end of the available files; calling again with the same folders
-    takes up only new files. Returns all audit rows so far, with their batch:
-    the last batch of a candidate counts. Candidates without a score are those
-    of ``unscored``.
+    takes up only new files. Returns all audit rows so far, with their batch and
+    their place in ``score_order`` (column ``place``); ``latest_audit`` gives the
+    row that counts, the one of the last score by that order, however the scores
+    were split over files and batches. Candidates without a score are those of
+    ``unscored``. The manifest's ids are written once, before the first batch.
     """
     spark = scores.sparkSession
+    known = materialise(manifest.select("candidate_id", F.lit(True).alias("_known")), "audit-keys")
+    kinds = {f.name: f.dataType for f in scores.schema.fields}
+    place = T.StructType([T.StructField(c, kinds[c]) for c in score_order])
 
     def save(batch: DataFrame, number: int) -> None:
-        latest = latest_scores(batch, list(rules), filename_col, score_order, manifest)
-        known = manifest.select("candidate_id", F.lit(True).alias("_known"))
+        latest = latest_scores(batch.withColumn("_place", F.struct(*score_order)), [*rules, "_place"], filename_col, score_order, manifest)
         passed = F.when(F.col("_known"), compile_rules(latest, rules))
         joined = latest.join(known, "candidate_id", "left").withColumn("_passed", passed)
         joined.select(
@@ -201,6 +211,7 @@ def incremental_audit(
             .when(F.col("_passed"), "passed")
             .otherwise("filtered")
             .alias("reason"),
+            F.col("_place").alias("place"),
         ).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = (
@@ -210,10 +221,24 @@ def incremental_audit(
         .start()
     )
     query.awaitTermination()
-    schema = "candidate_id string, stage_name string, passed boolean, reason string, batch bigint"
+    schema = T.StructType(
+        [
+            T.StructField("candidate_id", T.StringType()),
+            T.StructField("stage_name", T.StringType()),
+            T.StructField("passed", T.BooleanType()),
+            T.StructField("reason", T.StringType()),
+            T.StructField("place", place),
+            T.StructField("batch", T.LongType()),
+        ]
+    )
     return spark.read.schema(schema).parquet(path)
 
 
+def latest_audit(audit: DataFrame) -> DataFrame:
+    """Of each candidate, the audit row of its last score by ``place``; then of the last batch."""
+    return last_per_key(audit, ["candidate_id"], ["place", "batch"])
+
+
 def unscored(manifest: DataFrame, audit: DataFrame) -> DataFrame:
     """Manifest rows no score has arrived for."""
     return drop_ids(manifest, audit)

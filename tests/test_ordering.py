@@ -68,13 +68,13 @@ def test_with_previous_null_key_and_no_key(frame):
     assert rows(o.with_previous(df, [], "p", "v", block=10), "p", "previous") == [(1, None), (200, 7), (3, 5)]
 
 
-@pytest.mark.parametrize("limit", [10, 300, 100_000])
+@pytest.mark.parametrize("block", [1, 64, 300, 100_000])
 @pytest.mark.parametrize("order", ["p", "v"])
-def test_ordered_groups_hold_everything(skewed, limit, order):
-    """Also where the order column has many ties."""
+def test_ordered_groups_hold_everything(skewed, block, order):
+    """Also where the order column has many ties; segments count from 0 at every size."""
     item = F.struct("v", "p")
-    got = o.ordered_groups(skewed, ["k"], [order], item, block=64, limit=limit).collect()
-    assert max(len(r["items"]) for r in got) <= max(limit, 64)
+    got = o.ordered_groups(skewed, ["k"], [order], item, block=block).collect()
+    assert max(len(r["items"]) for r in got) <= block
     joined = {}
     for r in sorted(got, key=lambda r: (r["k"], r["segment"])):
         joined.setdefault(r["k"], []).extend(tuple(x) for x in r["items"])
@@ -82,8 +82,15 @@ def test_ordered_groups_hold_everything(skewed, limit, order):
     for r in skewed.orderBy("k", order, "v", "p").collect():
         want.setdefault(r["k"], []).append((r["v"], r["p"]))
     assert joined == want
-    if limit == 100_000:
-        assert {r["segment"] for r in got} == {0}
+    for k, items in want.items():
+        assert sorted(r["segment"] for r in got if r["k"] == k) == list(range(-(-len(items) // block)))
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 8, 41])
+def test_ordered_groups_around_a_block(frame, n):
+    df = frame("k string, p int", *[("a", i) for i in range(n)])
+    got = o.ordered_groups(df, ["k"], ["p"], F.col("p"), block=4)
+    assert rows(got, "segment", "items") == rows(frame("segment bigint, items array<int>", *[(b, list(range(4 * b, min(n, 4 * b + 4)))) for b in range(-(-n // 4))]))
 
 
 def test_ordered_groups_wanted_and_null_key(frame):
@@ -93,9 +100,9 @@ def test_ordered_groups_wanted_and_null_key(frame):
     assert rows(whole) == [
         (None, 0, ["A3", "A4", "B3", "B4"]), ("a", 0, ["A3", "A4", "B3", "B4"]), ("z", 0, []),
     ]
-    split = o.ordered_groups(df, ["k"], ["c", "p"], label, F.col("p") > 2, block=3, limit=2)
+    split = o.ordered_groups(df, ["k"], ["c", "p"], label, F.col("p") > 2, block=3)
     assert rows(split) == [
-        (None, 1, ["A3", "A4", "B3"]), (None, 2, ["B4"]), ("a", 1, ["A3", "A4", "B3"]), ("a", 2, ["B4"]), ("z", 0, []),
+        (None, 0, ["A3", "A4", "B3"]), (None, 1, ["B4"]), ("a", 0, ["A3", "A4", "B3"]), ("a", 1, ["B4"]), ("z", 0, []),
     ]
 
 

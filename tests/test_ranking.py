@@ -72,3 +72,11 @@ def test_passing_and_tokens(frame):
     assert [(x["rank"], x["token"]) for x in got] == [(1, 1), (2, 3), (3, 2)]
     assert abs(got[0]["probability"] - 0.3995) < 1e-9
     assert rows(r.sort_scores(df, "final_rank", ["id"]).select(F.col("id"))) == [(1,), (2,), (3,)]
+
+
+def test_later_table_without_the_metric_takes_the_score_away(frame):
+    structures = frame("filename string", ("a.pdb",), ("b.pdb",))
+    first = frame("description string, iptm string, n int", ("a.pdb", "0.9", 0), ("b.pdb", "0.8", 0))
+    later = frame("description string, chain_A_iptm string, n int", ("a.pdb", "0.5", 0))
+    got = r.rank_designs(structures, [(first, ["n"]), (later, ["n"])])
+    assert rows(got, "design", "rank_score") == rows(r.rank_designs(structures.filter("filename = 'b.pdb'"), [(first, ["n"])]), "design", "rank_score")

@@ -50,8 +50,8 @@ def test_nest_children(frame):
     ops = frame("job_id string, ordinal int, op string", ("a", 2, "two"), ("a", 0, "zero"), ("a", 1, "one"))
     got = r.nest_children(jobs, ops, "job_id", "ordinal", F.col("op"))
     assert rows(got) == [("a", 0, ["zero", "one", "two"]), ("b", 0, [])]
-    paged = r.nest_children(jobs, ops, "job_id", "ordinal", F.col("op"), block=2, limit=2)
-    assert rows(paged) == [("a", 1, ["zero", "one"]), ("a", 2, ["two"]), ("b", 0, [])]
+    paged = r.nest_children(jobs, ops, "job_id", "ordinal", F.col("op"), block=2)
+    assert rows(paged) == [("a", 0, ["zero", "one"]), ("a", 1, ["two"]), ("b", 0, [])]
 
 
 def test_latest_call(frame):

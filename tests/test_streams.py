@@ -4,7 +4,6 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from siftline.ordering import last_per_key
 from siftline.streaming import jobs as j
 
 
@@ -50,6 +49,14 @@ def test_states(frame, stream):
     assert rows(j.rejected_events(a.unionByName(b), batch, "job", ["n"]), "n") == [(4,), (5,)]
 
 
+def test_sticky_states_give_way_to_ends_only(frame):
+    s = "job string, state string, n int"
+    events = frame(s, ("a", "cancel_requested", 1), ("a", "running", 2), ("b", "state_unknown", 1), ("b", "running", 2), ("b", "failed", 3), ("c", "running", 1))
+    assert rows(j.job_states(events, "job", "state", ["n"]), "job", "state", "closed") == [
+        ("a", "cancel_requested", False), ("b", "failed", True), ("c", "running", False),
+    ]
+
+
 def test_windowed_counts_drop_late_rows(frame, stream):
     s = "ts timestamp, k string, bad boolean"
     first = frame(s, (at(1), "a", True), (at(2), "a", False), (at(31), "a", False))
@@ -82,7 +89,10 @@ def test_incremental_audit(spark, frame, tmp_path):
     audit = land(("a_model.cif", "0.1", 0), ("a.pdb", "0.9", 1), ("x.pdb", "junk", 0))
     assert rows(audit, "candidate_id", "reason") == [("A", "passed"), ("x", "missing_manifest")]
     audit = land(("b.pdb", "0.5", 0), ("a.pdb", "0.2", 5))
-    latest = last_per_key(audit, ["candidate_id"], ["batch"])
+    latest = j.latest_audit(audit)
     assert rows(latest, "candidate_id", "reason") == [("A", "filtered"), ("B", "filtered"), ("x", "missing_manifest")]
     assert rows(j.unscored(manifest, audit), "candidate_id") == [("C",)]
     assert j.retained(manifest, latest).count() == 0
+    # a score that is earlier in the order does not count, however late it lands
+    audit = land(("a.pdb", "0.9", 4), ("b.pdb", "0.9", -1))
+    assert rows(j.latest_audit(audit), "candidate_id", "reason") == [("A", "filtered"), ("B", "filtered"), ("x", "missing_manifest")]

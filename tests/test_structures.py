@@ -20,8 +20,8 @@ def test_residue_positions(frame):
     assert rows(st.residue_positions(rows_), "structure", "segment", "fixed_positions") == [
         ("design-1", 0, "A7,A30,B5"), ("other_x", 0, "NONE"),
     ]
-    split = st.residue_positions(rows_, block=2, limit=2)
-    assert rows(split) == [("design-1", 1, "A7,A30"), ("design-1", 2, "B5"), ("other_x", 0, "NONE")]
+    split = st.residue_positions(rows_, block=2)
+    assert rows(split) == [("design-1", 0, "A7,A30"), ("design-1", 1, "B5"), ("other_x", 0, "NONE")]
     with pytest.raises(Exception):
         st.mapping_rows(frame("c string", ("nonsense",)), "c", []).collect()
 
@@ -98,3 +98,14 @@ def test_good_series(frame):
     assert rows(se.is_increasing(df, ["k"], "o", "time_ns")) == [("a", 0, True), ("b", 0, True)]
     bad = df.withColumn("time_ns", F.when(F.col("o") == 7, 0.1).otherwise(F.col("time_ns")))
     assert rows(se.falling_steps(bad, ["k"], "o", "time_ns"), "k", "o") == [("a", 7), ("b", 7)]
+
+
+def test_gyration_far_from_the_origin(frame):
+    atoms = frame("traj int, frame int, x double, y double, z double", (0, 0, 1e8, 0.0, 0.0), (0, 0, 1e8 + 1, 0.0, 0.0))
+    assert rows(st.gyration(atoms), "rg") == [(0.5,)]
+
+
+def test_codes_of_modified_residues(frame):
+    residues = frame("position int, residue string", (1, "MSE"), (2, "ALA"), (3, "ZZZ"))
+    codes = frame("residue string, code string", ("MSE", "m"), ("MSE", "m"), ("SEP", "S"))
+    assert rows(st.code_residues(residues, codes), "position", "code") == [(1, "M"), (2, "A"), (3, "X")]
