@@ -80,7 +80,7 @@ def sequence_flags(
     folded = both.rlike(rf"(?s)([^\x00]{{{palindrome}}})[^\x00]*+\x00.*?\1")
     return {
         "gc_flag": ((share < gc_min) | (share > gc_max)).cast("int"),
-        "run_flag": c.rlike(rf"(.)\1{{{run - 1}}}").cast("int"),
+        "run_flag": c.rlike(rf"(?s)(.)\1{{{run - 1}}}").cast("int"),
         "gc_run_flag": c.rlike(f"[GC]{{{gc_run},}}").cast("int"),
         "palindrome_flag": folded.cast("int"),
     }

@@ -144,7 +144,7 @@ def permute_shards(t: Tables) -> DataFrame:
 @query(
     """WITH w AS (SELECT doc_id, i AS pos, substr(text, i, 19) AS w FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 17, 1))) AS i FROM documents)),
 f AS (SELECT *, (length(regexp_replace(w, '[^GC]', '', 'g')) / 19 < 0.3 OR length(regexp_replace(w, '[^GC]', '', 'g')) / 19 > 0.65)::INT AS gc,
-    regexp_matches(w, 'AAAAA|CCCCC|GGGGG|UUUUU')::INT AS run, regexp_matches(w, '[GC]{6}')::INT AS gcr,
+    (length(w) >= 5 AND len(list_filter(range(1, length(w) - 3), lambda j: substr(w, j, 5) = repeat(substr(w, j, 1), 5))) > 0)::INT AS run, regexp_matches(w, '[GC]{6}')::INT AS gcr,
     (len(list_filter(range(1, 17), lambda j: contains(w, reverse(translate(substr(w, j, 4), 'ACGU', 'UGCA'))))) > 0)::INT AS pal FROM w)
 SELECT doc_id, count(*) AS windows, max(pos) AS last_pos, min(w) AS first_window, max(translate(w, 'ACGU', 'UGCA')) AS last_sense, sum(gc)::BIGINT AS gc,
   sum(run)::BIGINT AS run, sum(gcr)::BIGINT AS gc_run, sum(pal)::BIGINT AS palindrome, sum(greatest(gc, run, gcr, pal))::BIGINT AS func FROM f GROUP BY doc_id"""
