@@ -138,7 +138,7 @@ def test_toxicity_with_one_label_or_none(spark, labels, wanted):
 def test_marginals_by_enumeration():
     weights = np.zeros(toxicity._SPACE, np.float32)
     trans = np.array([[0.3, -0.7], [-0.2, 0.9]])
-    text = ["one", "bad", "worse", "end"]
+    text = [b"one", b"bad", b"worse", b"end"]
     for w, x in zip(text, (-1.0, 2.0, 0.5, -0.4)):
         weights[toxicity._slots(w)[1]] += x
     emit = [float(weights[toxicity._slots(w)].sum()) for w in text]
