@@ -127,12 +127,18 @@ def stack_databases(
     query: Sequence[str] = (),
     sequence: str = "sequence",
     database: str = "database",
+    distinct: bool = True,
 ) -> DataFrame:
-    """Hits in fixed database order without repeated sequences; the first one stays."""
+    """Hits with their place in a fixed order of databases; others are left out.
+
+    With ``distinct`` the first hit of each sequence stays, else all do.
+    """
     listed = F.array(*[F.lit(d) for d in databases])
     ranked = hits.withColumn("database_order", F.array_position(listed, F.col(database))).filter(
         "database_order > 0"
     )
+    if not distinct:
+        return ranked
     digest = content_hash(F.col(sequence))
     return first_per_key(
         ranked.withColumn("_digest", digest), [*query, "_digest"], ["database_order", *order]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.keys import stem, strip_replicate
-from siftline.ordering import ordered_groups
+from siftline.ordering import first_per_key, ordered_groups
 
 # One-letter codes of standard residues.
 RESIDUE_CODES = {
@@ -43,6 +43,16 @@ def code_residues(residues: DataFrame, codes: DataFrame, residue: str = "residue
     return joined.select(*residues.columns, F.coalesce("_code", translate_residues(F.col(residue))).alias(name))
 
 
+def first_ca(atoms: DataFrame, keys: Sequence[str] = ("file", "chain")) -> DataFrame:
+    """First CA atom of every residue; a residue is its number with its insertion code.
+
+    Residues 100, 100A and 100B are three. Ordered by the atom's serial number,
+    which also gives the residues' order in a chain.
+    """
+    ca = atoms.filter("is_atom and atom_name = 'CA'")
+    return first_per_key(ca, [*keys, "residue_index", "insertion_code"], ["serial"])
+
+
 def chain_sequences(
     residues: DataFrame,
     keys: Sequence[str] = ("structure", "chain"),

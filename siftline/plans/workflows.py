@@ -107,7 +107,8 @@ def search_round(
 
     ``cached`` lists finished (polymer, sequence, database) searches. ``lines``
     are result lines and ``alignments`` aligned hits of all shards, both with
-    query and database; line_no orders the lines.
+    query and database; line_no orders the lines. Hits of the unpaired databases
+    are stacked without repeated sequences; those of the paired ones all stay.
     """
     searches, _ = search.plan_tasks(chains)
     todo = search.missing(searches, cached, ["polymer", "sequence", "database"])
@@ -115,5 +116,9 @@ def search_round(
     keys = ["query", "database"]
     joined = search.join_hits(alignments, hits, ["line_no"], keys)
     best = search.merge_top_k(joined, max_sequences, keys)
-    order = [d for polymer in search.DATABASES.values() for part in polymer.values() for d in part]
-    return todo, search.stack_databases(best, order, ["rank"], ["query"], "aligned_sequence")
+    order = {part: [d for polymer in search.DATABASES.values() for d in polymer[part]] for part in ("unpaired", "paired")}
+    stacks = [
+        search.stack_databases(best, names, ["rank"], ["query"], "aligned_sequence", distinct=part == "unpaired").withColumn("part", F.lit(part))
+        for part, names in order.items()
+    ]
+    return todo, stacks[0].unionByName(stacks[1])

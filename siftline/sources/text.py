@@ -86,6 +86,7 @@ def parse_atoms(lines: DataFrame, line: str = "value", keep: Sequence[str] = ("f
         cut(17, 20).alias("residue"),
         cut(21, 22).alias("chain"),
         cut(22, 26).try_cast("int").alias("residue_index"),
+        cut(26, 27).alias("insertion_code"),
         real(30).alias("x"),
         real(38).alias("y"),
         real(46).alias("z"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.operators import series as se
 from siftline.operators import structures as st
 from siftline.ordering import add_index
+from siftline.sources.text import parse_atoms
 
 
 def test_residue_positions(frame):
@@ -109,3 +110,13 @@ def test_codes_of_modified_residues(frame):
     residues = frame("position int, residue string", (1, "MSE"), (2, "ALA"), (3, "ZZZ"))
     codes = frame("residue string, code string", ("MSE", "m"), ("MSE", "m"), ("SEP", "S"))
     assert rows(st.code_residues(residues, codes), "position", "code") == [(1, "M"), (2, "A"), (3, "X")]
+
+
+def test_chain_with_insertion_codes(frame):
+    def atom(serial, name, residue, number):
+        return f"ATOM  {serial:>5}  {name:<3} {residue} H{number:<5}   {0.0:>8.3f}{0.0:>8.3f}{0.0:>8.3f}  1.00  0.00"
+
+    lines = [atom(1, "N", "ALA", " 100 "), atom(2, "CA", "ALA", " 100 "), atom(3, "CA", "GLY", " 100A"), atom(4, "CA", "SER", " 100B"), atom(5, "CA", "THR", " 100B"), atom(6, "CA", "TRP", " 101 ")]
+    atoms = parse_atoms(frame("file string, value string", *[("f", x) for x in lines]))
+    chain = st.chain_sequences(st.first_ca(atoms), ("file", "chain"), "serial")
+    assert rows(chain, "sequence") == [("AGSW",)]

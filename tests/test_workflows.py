@@ -72,6 +72,17 @@ def test_search_round(frame):
     assert rows(merged, "database", "hit_id", "rank") == [("rfam", "h1/1-9", 2), ("rfam", "h2/1-9", 1)]
 
 
+def test_paired_hits_all_stay(frame):
+    chains = frame("chain_index int, polymer string, sequence string, unpaired_present boolean, paired_present boolean", (0, "protein", "ACG", False, False))
+    cached = frame("polymer string, sequence string, database string")
+    line = "{} - q - - - 1 9 1 9 1 + {} {} 0.0 d"
+    names = [("uniref90", "h1"), ("uniprot", "h2"), ("uniprot", "h3"), ("mgnify", "h4")]
+    lines = frame("query string, database string, line_no int, value string", *[("ACG", d, i, line.format(h, "1e-3", 10)) for i, (d, h) in enumerate(names)])
+    alns = frame("query string, database string, description string, aligned_sequence string", *[("ACG", d, f"{h}/1-9", "AA") for d, h in names])
+    _, merged = w.search_round(chains, cached, lines, alns, 5)
+    assert rows(merged, "part", "hit_id") == [("paired", "h2/1-9"), ("paired", "h3/1-9"), ("unpaired", "h1/1-9")]
+
+
 def test_reference_dump(spark, tmp_path):
     (tmp_path / "utr.txt").write_text('id\tgene\tx\tspecies\tseq\nT1\tg"\t-\t9606\tac-gT\nT2\tg\t-\t10090\tAA\nshort\tg\n\nT3\tg\t-\t9606\t--\n')
     assert rows(tb.read_reference_table(spark, str(tmp_path / "utr.txt"), "9606", 0, 3, 4)) == [("T1", "ACGU")]
