@@ -81,6 +81,11 @@ def test_row_key_takes_first_non_empty(frame):
     assert got == ["ref-1", "n", "", "c"]
 
 
+def test_row_key_skips_zero_and_false(frame):
+    df = frame("candidate_id int, reference boolean, name string", (0, False, "n"), (0, True, "n"), (7, None, "n"))
+    assert [r[0] for r in df.select(keys.row_key(df)).collect()] == ["n", "true", "7"]
+
+
 def test_candidate_ids_hash_compact_sorted_json(spark):
     nasty = 'q"uote\\u000B\x0b\x1f\té.pdb'
     got = one(spark, keys.initial_id(F.lit("s"), F.lit("art"), F.lit(f"in/{nasty}")))

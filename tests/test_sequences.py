@@ -123,6 +123,13 @@ def test_references(frame):
     assert rows(s.intersect_names(utr, orf)) == [("c",)]
 
 
+def test_check_pairs_of_many_equal_names(spark):
+    many = spark.range(300).select(F.lit("a b").alias("name"))
+    one = s.check_pairs(many, many.select(F.lit("a_@_b").alias("name")))
+    assert rows(one) == [("a_@_b", "a b", "a_@_b")]
+    assert s.check_pairs(many, many).count() == 0
+
+
 def test_repeats_and_unions(frame):
     df = frame("o int, seed int", (1, 5), (2, 6), (3, 5), (4, 5))
     assert rows(s.repeats(df, "seed", "o"), "o") == [(3,), (4,)]
