@@ -14,7 +14,7 @@ from siftline.session import new_path
 SHINGLE = 8
 SIMILARITY = 0.8
 BANDS, ROWS = 7, 3
-_SKETCH, _AGREE = 21, 11
+_WORDS = 16  # of 64 bits
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -81,7 +81,7 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def bands(lines: DataFrame, shingle: int, count: int, rows: int) -> DataFrame:
-    """``(h, sketch, keys)``: for each line, hashes of groups of its minima, and three bits of each.
+    """``(h, keys)``: for each line, hashes of groups of its minima.
 
     A shingle's hash is flipped by a fixed mask for each minimum. XOR with a mask
     maps the hashes one to one, so each minimum is a uniform pick from the union
@@ -93,17 +93,19 @@ def bands(lines: DataFrame, shingle: int, count: int, rows: int) -> DataFrame:
     names = [f"m{i}" for i in range(count * rows)]
     minima = hashed.groupBy("h").agg(*[F.min(F.col("_x").bitwiseXOR(F.lit(_mask(i)))).alias(m) for i, m in enumerate(names)])
     keys = [F.xxhash64(F.lit(b), *names[b * rows : (b + 1) * rows]) for b in range(count)]
-    sketch = F.lit(0).cast("bigint")
-    for i, m in enumerate(names[:_SKETCH]):
-        sketch = sketch.bitwiseOR(F.shiftleft(F.xxhash64(m).bitwiseAND(F.lit(7)), 3 * i))
-    return minima.select("h", sketch.alias("sketch"), F.array(*keys).alias("keys"))
+    return minima.select("h", F.array(*keys).alias("keys"))
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """Number of minima whose bits agree in two sketches."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0o111111111111111111111))
-    return F.lit(_SKETCH) - F.bit_count(any_)
+def profiles(lines: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``(h, size, w0 ...)``: of the lines in ``ids``, the number of shingles and a bitmap of them.
+
+    Each shingle sets one of 1,024 bits. A bit in which two bitmaps differ stands
+    for at least one shingle that only one line has.
+    """
+    texts = join_small(lines.select("h", "line"), saved(ids.distinct(), "profile_ids"), "h")
+    points = texts.select("h", F.explode_outer(_shingles("line", shingle)).alias("x"))
+    words = [f"bit_or(if(shiftright(x & {64 * _WORDS - 1}, 6) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))" for k in range(_WORDS)]
+    return points.groupBy("h").agg(F.count("*").alias("size"), *[F.expr(w).alias(f"w{k}") for k, w in enumerate(words)])
 
 
 def compared(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -141,17 +143,17 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = S
     then still hold several components are other pairs compared, those across
     components that can be near: their distances from the head differ by no
     more than the limit (the triangle rule of the Jaccard distance), and their
-    sketches agree in at least ``_AGREE`` of 21 minima (at a similarity of 0.8
-    all but one pair in 2000 do).
+    bitmaps differ in no more bits than shingles may differ. Both rules only
+    leave out pairs that are not near.
     """
     coded = saved(bands(lines, shingle, count, rows), "bands")
-    members = coded.select("h", "sketch", F.explode("keys").alias("band"))
+    members = coded.select("h", F.explode("keys").alias("band"))
     shared_bands = saved(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared_bands")
     joined = saved(join_small(members, shared_bands, "band"), "members")
     weights = joined.groupBy("h").agg(F.sum("n").alias("weight"))
-    weighed = joined.join(weights, "h").select("band", "h", "sketch", "weight")
+    weighed = joined.join(weights, "h").select("band", "h", "weight")
     best = weighed.groupBy("band").agg(F.max(F.struct("weight", "h")).alias("best"))
-    shared = saved(weighed.join(best, "band").select("band", "h", "sketch", F.col("best.h").alias("head"), F.col("best.weight").alias("head_weight")), "headed")
+    shared = saved(weighed.join(best, "band").select("band", "h", F.col("best.h").alias("head"), F.col("best.weight").alias("head_weight")), "headed")
     first = shared.groupBy("h").agg(F.max(F.struct("head_weight", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("h").alias("b"))
     seen = saved(compared(first.filter("a <> b"), lines, shingle, similarity), "stars")
 
@@ -168,12 +170,19 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = S
     seen = saved(seen.unionByName(compared(others.join(known, ["a", "b"], "left_anti"), lines, shingle, similarity)), "stars")
     mixed = rooted(seen)
     distances = seen.select(F.col("a").alias("head"), F.col("b").alias("h"), "far")
-    spaced = saved(mixed.join(distances, ["head", "h"], "left").filter("h <> head"), "spaced")
-    one = spaced.select("band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("sketch").alias("sa"), F.col("far").alias("fa"))
-    two = spaced.select("band", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("sketch").alias("sb"), F.col("far").alias("fb"))
-    limit = 1000.0 - 1000.0 * similarity + 1e-6
-    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.coalesce(F.abs(F.col("fa") - F.col("fb")), F.lit(0.0)) <= limit)
-    across = one.join(two, "band").filter(apart & (_agreeing("sa", "sb") >= _AGREE)).select("a", "b").distinct()
+    spaced = saved(mixed.join(distances, ["head", "h"], "left").filter("h <> head").select("band", "h", "root", "far"), "spaced")
+    known = spaced.join(saved(profiles(lines, spaced.select("h"), shingle), "profiles"), "h")
+    own = ["h", "root", "far", "size", *[f"w{k}" for k in range(_WORDS)]]
+    one, two = (known.select("band", *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "ab")
+    cut = round(1000 * similarity)
+    differing = sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(_WORDS)), F.lit(0))
+    apart = (
+        (F.col("a_h") < F.col("b_h"))
+        & (F.col("a_root") != F.col("b_root"))
+        & (F.coalesce(F.abs(F.col("a_far") - F.col("b_far")), F.lit(0.0)) <= F.lit(1000.0 - cut + 1e-6))
+        & (differing * F.lit(1000 + cut) <= (F.col("a_size") + F.col("b_size")) * F.lit(1000 - cut))
+    )
+    across = one.join(two, "band").filter(apart).select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()
     # written, as a filter on the result would compute it again
     rest = saved(compared(across, lines, shingle, similarity), "across")
     return components(seen.unionByName(rest).filter("near")).select(F.col("node").alias("h"), "root")
