@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import as_bytes, saved, words
@@ -17,6 +20,11 @@ from siftline.llm.common import as_bytes, saved, words
 END = b" "  # no word holds a space
 _BITS = 20
 _CACHE = 1_500_000
+_BLOCK = 2_000_000
+_FILTER = 27
+_FIGURES = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+_SENT = "bucket bigint, block bigint, word boolean, keys binary, times binary, rows binary"
+_FOUND = "block bigint, rows binary, known binary, base binary, score binary"
 
 
 def _hash(word: bytes) -> int:
@@ -67,55 +75,133 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def _ngram_counts(docs: DataFrame, text: str, order: int, vocabulary, kept, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the ``order``-grams with at least ``least`` occurrences.
+def _long_hash(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    x = x * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x << np.uint64(31) | x >> np.uint64(33)) * np.uint64(0x9E3779B185EBCA87)
+    x ^= seed + np.uint64(0x27D4EB2F165667C5 + 8)
+    x = (x << np.uint64(27) | x >> np.uint64(37)) * np.uint64(0x9E3779B185EBCA87) + np.uint64(0x85EBCA77C2B2AE63)
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x165667B19E3779F9)
+    return x ^ x >> np.uint64(32)
 
-    Only n-grams whose first and last (n-1)-grams were kept can be that
-    frequent. At most 1/share n-grams are, which is all the driver gets.
+
+def joined_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams with these (n-1)-grams at their ends: Spark's ``xxhash64(prefix, suffix)``."""
+    return _long_hash(suffix.view(np.uint64), _long_hash(prefix.view(np.uint64), np.uint64(42))).view(np.int64)
+
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of a schema of long, boolean and binary columns."""
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [pa.field(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
+
+
+class _Texts:
+    """Words of some texts one after another: their hashes and their texts' positions."""
+
+    def __init__(self) -> None:
+        self.cache = _Vocabulary()
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat: list[int] = []
+        self.sizes: list[int] = []
+        if len(self.cache) > _CACHE:
+            self.cache = _Vocabulary()
+
+    def add(self, text: bytes) -> None:
+        before = len(self.flat)
+        self.flat += map(self.cache.__getitem__, words(text))
+        self.flat.append(self.cache[END])
+        self.sizes.append(len(self.flat) - before)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        hashes = np.array(self.cache.hashes, np.uint64).view(np.int64)
+        return hashes[np.array(self.flat, np.int64)], np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
+def _longer(keys: np.ndarray, at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of ``size`` from the (n-1)-grams ``keys`` that begin at words ``at``: ends' keys, beginnings."""
+    if len(keys) < 2:
+        return keys[:0], keys[:0], at[:0]
+    near = (at[1:] == at[:-1] + 1) & (rows[at[:-1]] == rows[at[1:] + size - 2])
+    return keys[:-1][near], keys[1:][near], at[:-1][near]
+
+
+def kept_bits(grams: DataFrame) -> np.ndarray:
+    """Bitmap with the bit of each key set: a key whose bit is not set is not in ``grams``. Of one size at any number of rows."""
+    found = (
+        grams.select(F.xxhash64("p", "s").alias("key"))
+        .select(F.expr(f"cast(shiftright(key, 6) & {(1 << _FILTER - 6) - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+        .groupBy("at")
+        .agg(F.bit_or("bit").alias("bits"))
+        .toArrow()
+    )
+    bits = np.zeros(1 << _FILTER - 6, np.int64)
+    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return bits
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return bits[keys >> 6 & len(bits) - 1] >> (keys & 63) & 1 > 0
+
+
+def ngram_counts(docs: DataFrame, text: str, size: int, filters) -> DataFrame:
+    """``(p, s, n)`` of all n-grams of ``size`` words that occur twice or more.
+
+    ``p`` and ``s`` are the keys of the (n-1)-grams at both ends. Both occur at
+    least as often, so n-grams whose ends are not in ``filters``, the bitmaps of
+    the shorter ones, need no count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, shorter = vocabulary.value, kept.value
-        cache = _Vocabulary()
-        keys: list[np.ndarray] = []
+        texts = _Texts()
 
         def flush() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
-            keys.clear()
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["key", "n"])
+            keys, rows = texts.words()
+            at = np.arange(len(keys))
+            for n in range(2, size + 1):
+                p, s, at = _longer(keys, at, rows, n)
+                keys = joined_keys(p, s)
+                if n < size:
+                    own = _maybe(filters.value[n - 2], keys)
+                    keys, at = keys[own], at[own]
+            _, first, n = np.unique(keys, return_index=True, return_counts=True)
+            texts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(p[first]), pa.array(s[first]), pa.array(n.astype(np.int64))], ["p", "s", "n"])
 
-        size = 0
         for batch in batches:
-            flat: list[int] = []
             for t in as_bytes(batch.column(0)):
-                flat += map(cache.__getitem__, words(t))
-                flat += (cache[END], -1)
-            known = _places(names, np.array(cache.hashes, np.uint64).view(np.int64))
-            ids = np.append(known, 0)[np.array(flat, np.int64)] if flat else np.empty(0, np.int64)
-            if len(cache) > _CACHE:
-                cache = _Vocabulary()
-            n = max(len(ids) - order + 1, 0)
-            key, whole = np.zeros(n, np.int64), np.ones(n, bool)
-            for i in range(order):
-                part = ids[i : i + n]
-                key = key << _BITS | part
-                whole &= part > 0
-            key = key[whole]
-            if order > 2:
-                key = key[_places(shorter, key >> _BITS) > 0]
-                key = key[_places(shorter, key & ((1 << (order - 1) * _BITS) - 1)) > 0]
-            keys.append(key)
-            size += len(key)
-            if size > 8_000_000:
-                yield flush()
-                size = 0
+                texts.add(t)
+                if len(texts.flat) > _BLOCK:
+                    yield flush()
         yield flush()
 
-    grams = docs.select(F.col(text).cast("string")).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    table = grams.filter(F.col("n") >= least).toArrow()
-    keys, n = table["key"].to_numpy(), table["n"].to_numpy()
-    by = np.argsort(keys)
-    return keys[by], n[by]
+    grams = docs.select(F.col(text).cast("string")).mapInArrow(run, "p bigint, s bigint, n bigint").groupBy("p", "s").agg(F.sum("n").alias("n"))
+    return grams.filter("n >= 2")
+
+
+def _let_go(spark: SparkSession) -> None:
+    """Shuffle files of tables that are written go when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def with_backoff(contexts: DataFrame, grams: DataFrame, discount: float) -> DataFrame:
+    """``contexts`` with ``left``, the backoff weight that their discounted ``grams`` leave."""
+    used = grams.groupBy("p").agg(F.sum(F.col("n") - F.lit(discount)).alias("used")).withColumnRenamed("p", "key")
+    left = F.greatest(F.lit(1.0) - F.coalesce("used", F.lit(0.0)) / F.col("n"), F.lit(1e-12))
+    return contexts.join(used, "key", "left").withColumn("left", left).drop("used")
+
+
+def arcs(grams: DataFrame, contexts: DataFrame, discount: float) -> DataFrame:
+    """``(key, n, chance, own)`` of n-grams: P(last word | the others), and log10 of it over what backing off gives."""
+    before = contexts.select(F.col("key").alias("p"), F.col("n").alias("c"), "left")
+    after = contexts.select(F.col("key").alias("s"), F.col("chance").alias("lower"))
+    chance = (F.col("n") - F.lit(discount)) / F.col("c") + F.col("left") * F.col("lower")
+    found = grams.join(before, "p").join(after, "s").withColumn("chance", chance)
+    return found.select(F.xxhash64("p", "s").alias("key"), "n", "chance", (F.log10("chance") - F.log10("left") - F.log10("lower")).alias("own"))
 
 
 def automaton(counts: np.ndarray, known: int, total: int, grams: list[tuple[np.ndarray, np.ndarray]], discount: float) -> dict[str, np.ndarray]:
@@ -127,6 +213,7 @@ def automaton(counts: np.ndarray, known: int, total: int, grams: list[tuple[np.n
     and discount d, P(w|h) = (c(hw) - d) / c(h) + b(h) P(w|h') for kept n-grams and
     b(h) P(w|h') for the others; b(h) is what the discounts and the n-grams that
     were not kept leave over, so the probabilities after a state sum to 1.
+    ``score_texts`` sums the same weights from tables, without an automaton.
 
     State 0 is the root, then come the words, the 2-grams and so on. ``down`` is
     the sum of the backoff weights from a state to the root.
@@ -209,12 +296,21 @@ def score_texts(
     """log10 probability of every text, learnt from the rows that are not ``held_out``.
 
     Tokens are the words and one end. All training tokens are counted. The root
-    gives every word (c + 0.5) / (N + 0.5 (V + 1)). n-grams become states if
-    their words have a share of at least ``state_share`` of the tokens and they
-    themselves one of ``gram_share``; so there are at most 1/share of each, at
-    any size, and the automaton can be sent to all tasks. Counts of words with a
-    share of ``word_share`` or more (at most 1/share) go along; other words are
-    joined to the table of counts, one row per text and distinct word.
+    gives every word (c + 0.5) / (N + 0.5 (V + 1)). All n-grams of at most
+    ``order`` words that occur twice or more are kept, in tables, with the
+    weights that ``automaton`` describes. A text's score is a sum over its n-grams:
+    a word adds log10 of its probability at the root, a kept n-gram log10 of its
+    probability over what backing off would give, and each of both its own
+    backoff weight, as everything but a text's end is a context once.
+
+    Words with a share of ``word_share`` or more of the tokens and n-grams with
+    one of ``gram_share`` (at most 1/share of each, at any size) are sent to all
+    tasks. The others are joined: texts are taken in blocks of a bounded
+    number of words, a block sends each distinct n-gram once with the texts it
+    stands in, packed by ranges of keys, and gets its texts' sums of the kept ones'
+    values. Ranges and blocks grow in number, not in size. Bitmaps of one size keep
+    n-grams that surely have no value out of the join; they lose none.
+    ``state_share`` has no effect any more: every word is a state.
 
     Gives ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for each row of ``docs``. A null text is the empty one (one token,
@@ -230,77 +326,129 @@ def score_texts(
     row = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("known")).first()
     total, known = int(row.total), int(row.known)
     ground = total + 0.5 * (known + 1)
-    common = unigrams.filter(F.col("n") >= word_share * total).toArrow()
-    names, n = common["h"].to_numpy(), common["n"].to_numpy()
-    by = np.argsort(names)
-    names, n = names[by], n[by]
-    arc_names, arc_n = names[n >= state_share * total], n[n >= state_share * total]
-    vocabulary = spark.sparkContext.broadcast(arc_names)
-    grams: list[tuple[np.ndarray, np.ndarray]] = []
+    chance = (F.col("n") + F.lit(0.5)) / F.lit(ground)
+    contexts = unigrams.select(F.col("h").alias("key"), "n", chance.alias("chance"), F.log10(chance).alias("own"))
+    filters: list[np.ndarray] = []
+    tables: list[DataFrame] = []
     for size in range(2, order + 1):
-        kept = spark.sparkContext.broadcast(grams[-1][0] if grams else arc_names)
-        grams.append(_ngram_counts(train, "text", size, vocabulary, kept, max(2, gram_share * total)))
-        if not len(grams[-1][0]):
-            grams.pop()
+        grams = saved(ngram_counts(train, "text", size, spark.sparkContext.broadcast(filters)), "grams")
+        _let_go(spark)
+        if grams.isEmpty():
             break
-    model = spark.sparkContext.broadcast((names, n, arc_names, automaton(arc_n, known, total, grams, discount)))
+        filters.append(kept_bits(grams))
+        tables.append(saved(with_backoff(contexts, grams, discount), "contexts"))
+        contexts = arcs(grams, tables[-1], discount)
+    tables.append(saved(contexts.select("key", "n", "own", F.lit(1.0).alias("left")), "contexts"))
+    del contexts
+    _let_go(spark)
+    values = [t.select("key", "n", (F.lit(None).cast("double") if k else F.col("own")).alias("base"), (F.col("own") + F.log10("left")).alias("value")) for k, t in enumerate(tables)]
+    shares = [word_share, *[gram_share] * len(filters)]
+    often = []
+    for t, share in zip(values, shares):
+        found = t.filter(F.col("n") >= F.lit(share * total)).toArrow()
+        by = np.argsort(found["key"].to_numpy())
+        often.append((found["key"].to_numpy()[by], *(np.append(0.0, found[c].to_numpy().astype(float)[by]) for c in ("base", "value"))))
+    model = spark.sparkContext.broadcast((often, filters))
+    shift = 64 - max(6, (total // _BLOCK).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, n, arc_names, tables = model.value
-        walk = walker(tables)
-        logs = np.concatenate([[0.0], np.log10((n + 0.5) / ground)])
-        cache = _Vocabulary()
-        row = TaskContext.get().partitionId() << 33
-        place = np.empty(0, np.int64)
+        (own_words, *cached), bits = model.value
+        texts = _Texts()
+        ids: list[int | None] = []
+        held: list[bool] = []
+        block = TaskContext.get().partitionId() << 33
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            block += 1
+            keys, rows = texts.words()
+            total_rows = len(ids)
+            place = _places(own_words[0], keys)
+            base = np.bincount(rows, own_words[1][place], total_rows)
+            score = np.bincount(rows, own_words[2][place], total_rows)
+            figures = [np.array(texts.sizes, np.int64), np.bincount(rows, place > 0, total_rows).astype(np.int64), base]
+            yield postings(keys[place == 0], rows[place == 0], True)
+            at = np.arange(len(keys))
+            for n, (often, maybe) in enumerate(zip(cached, bits), 2):
+                p, s, at = _longer(keys, at, rows, n)
+                keys = joined_keys(p, s)
+                own = _maybe(maybe, keys)
+                keys, at = keys[own], at[own]
+                place = _places(often[0], keys)
+                score += np.bincount(rows[at], often[2][place], total_rows)
+                yield postings(keys[place == 0], rows[at[place == 0]], False)
+            table = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *map(pa.array, (*figures, score))], _FIGURES)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_batch(table)
+            spread = xxhash.xxh64_intdigest(block.to_bytes(8, "little")) - (1 << 63) >> shift
+            yield _batch(_SENT, [(spread, block, None, None, None, sink.getvalue().to_pybytes())])
+            texts.clear()
+            ids.clear()
+            held.clear()
+
+        def postings(keys: np.ndarray, rows: np.ndarray, word: bool) -> pa.RecordBatch:
+            by = np.argsort(keys, kind="stable")
+            keys, rows = keys[by], rows[by].astype(np.uint16)
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            keys, times = keys[starts], np.diff(np.append(starts, len(keys))).astype(np.uint32)
+            bucket = keys >> shift
+            cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]).tolist(), len(bucket)]
+            ends = np.append(starts, len(rows))
+            return _batch(_SENT, [(int(bucket[i]), block, word, keys[i:j].tobytes(), times[i:j].tobytes(), rows[ends[i] : ends[j]].tobytes()) for i, j in pairwise(cuts)])
+
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            lists = [list(map(cache.__getitem__, words(t))) for t in texts]
-            end = cache[END]
-            hashes = np.array(cache.hashes, np.uint64).view(np.int64)
-            place = _places(names, hashes)
-            arc = _places(arc_names, hashes)
-            out: list[list] = [[], [], [], [], [], [], [], [], []]
-            for doc_id, own, held in zip(batch.column(0).to_pylist(), lists, batch.column(2).to_pylist()):
-                own.append(end)
-                at = np.array(own, np.int64)
-                where, arcs = place[at], arc[at]
-                rare, times = np.unique(hashes[at[where == 0]], return_counts=True)
-                base = float(logs[where].sum())
-                score = walk(arcs.tolist()) + float(logs[where[arcs == 0]].sum())
-                k = len(rare)
-                row += 1
-                own_hash = xxhash.xxh64_intdigest(row.to_bytes(8, "little"))
-                blank = [None] * k
-                for column, first, rest in zip(
-                    out,
-                    (row, own_hash - (1 << 64) if own_hash >> 63 else own_hash, 0, doc_id, held, len(own), int((where > 0).sum()), base, score),
-                    ([row] * k, rare.tolist(), times.tolist(), *[blank] * 6),
-                ):
-                    column.append(first)
-                    column.extend(rest)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "h", "times", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-            if len(cache) > _CACHE:
-                cache = _Vocabulary()
-
-    # A text's own figures stand in one row of their own, with a hash that spreads and no occurrences.
-    parts = marked.mapInArrow(
-        run, "row bigint, h bigint, times bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
-    )
-    rare = unigrams.filter(F.col("n") < word_share * total)
-    c = F.coalesce("n", F.lit(0))
-    extra = F.sum(F.col("times") * F.log10((c + F.lit(0.5)) / F.lit(ground)))
+            for doc_id, t, h in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                texts.add(t)
+                ids.append(doc_id)
+                held.append(h)
+                if len(texts.flat) > _BLOCK or len(ids) == 1 << 16:
+                    yield from flush()
+        if ids:
+            yield from flush()
+
+    unseen = float(np.log10(0.5 / ground))
+
+    def look_up(sent: pa.Table, kept: pa.Table) -> pa.Table:
+        names = kept["key"].to_numpy()
+        by = np.argsort(names)
+        names = names[by]
+        logs, values = (np.append(np.nan, kept[c].to_numpy().astype(float)[by]) for c in ("base", "value"))
+        out = []
+        for block, word, keys, times, rows in zip(*(sent[c].to_pylist() for c in ("block", "word", "keys", "times", "rows"))):
+            if word is None:
+                out.append((block, rows, None, None, None))
+                continue
+            place = np.repeat(_places(names, np.frombuffer(keys, np.int64)), np.frombuffer(times, np.uint32))
+            at = np.frombuffer(rows, np.uint16)
+            if not word:
+                place, at = place[place > 0], at[place > 0]
+            if not len(at):
+                continue
+            own, at = np.unique(at, return_inverse=True)
+            sums = [np.bincount(at, place > 0), np.bincount(at, np.where(place > 0, logs[place], unseen))] if word else []
+            sums.append(np.bincount(at, np.where(place > 0, values[place], unseen)))
+            out.append((block, own.tobytes(), *[None] * (3 - len(sums)), *(x.tobytes() for x in sums)))
+        return pa.Table.from_batches([_batch(_FOUND, out)])
+
+    def finish(table: pa.Table) -> pa.Table:
+        parts = list(zip(*(table[c].to_pylist() for c in ("rows", "known", "base", "score"))))
+        whole = pa.ipc.open_stream(next(p[0] for p in parts if p[3] is None)).read_all()
+        sums = [whole[c].to_numpy().astype(float) for c in _FIGURES[3:]]
+        for rows, *found in parts:
+            for total_, part in zip(sums, found):
+                if part is not None:
+                    total_[np.frombuffer(rows, np.uint16)] += np.frombuffer(part)
+        out = [whole["doc_id"], whole["held_out"], whole["n_tokens"], *map(pa.array, (sums[0].astype(np.int64), np.full(len(whole), total), *sums[1:]))]
+        return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    parts = marked.mapInArrow(run, _SENT)
+    rest = [t.filter(F.col("n") < F.lit(share * total)).select("key", "base", "value") for t, share in zip(values, shares)]
+    kept = reduce(DataFrame.unionByName, rest).withColumn("bucket", F.shiftright("key", shift))
     return (
-        parts.join(rare, "h", "left")
-        .groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.sum("n_tokens").alias("n_tokens"),
-            (F.sum("n_known") + F.sum(F.when(c > 0, F.col("times")).otherwise(0))).cast("bigint").alias("n_known"),
-            F.lit(total).cast("bigint").alias("train_tokens"),
-            (F.sum("base") + extra).alias("base_score"),
-            (F.sum("score") + extra).alias("score"),
-        )
-        .drop("row")
+        parts.groupBy("bucket")
+        .cogroup(kept.groupBy("bucket"))
+        .applyInArrow(look_up, _FOUND)
+        .groupBy("block")
+        .applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     )

@@ -78,6 +78,33 @@ def test_scores_of_rare_words_are_joined(spark):
     assert sorted(map(key, whole)) == sorted(map(key, joined))
 
 
+def test_ngrams_below_every_share_count(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60, 70))) for i in range(60)]
+    rows += [(100 + i, " ".join(["and"] * 3000)) for i in range(3)] + [(None, "w1 w2 new w1 w2 w3"), (5, rows[5][1])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    train = [words(t) for i, t in rows if not held(i)]
+    counts = Counter(w for t in train for w in t)
+    total, grams = sum(counts.values()), {}
+    for n in (2, 3):
+        grams |= {g: c for g, c in Counter(tuple(t[i : i + n]) for t in train for i in range(len(t) - n + 1)).items() if c >= 2}
+    wanted = []
+    for i, t in rows:
+        w = words(t)
+        seen = {k: brute(counts, grams, 3, 0.5, len(counts), total, k[:-1], k[-1]) for k in {tuple(w[max(0, k - 2) : k + 1]) for k in range(len(w))}}
+        wanted.append((str(i), round(sum(math.log10(seen[tuple(w[max(0, k - 2) : k + 1])]) for k in range(len(w))), 5)))
+    # nothing is frequent enough to be sent along: all comes from the joins
+    for shares in ({"word_share": 0.2, "state_share": 0.2, "gram_share": 0.2}, {}):
+        found = backoff.score_texts(docs, fold("doc_id") == 1, **shares).collect()
+        assert sorted((str(r.doc_id), round(r.score, 5)) for r in found) == sorted(wanted)
+
+
+def test_keys_are_those_of_spark(spark):
+    keys = np.array([0, 1, -1, 2**63 - 1, -(2**63), 123456789], np.int64)
+    pairs = spark.createDataFrame(list(zip(keys.tolist(), keys[::-1].tolist())), "p bigint, s bigint").select("p", F.xxhash64("p", "s").alias("k")).collect()
+    assert {r.p: r.k for r in pairs} == dict(zip(keys.tolist(), backoff.joined_keys(keys, keys[::-1].copy()).tolist()))
+
+
 def test_probabilities_sum_to_one():
     counts = np.array([5, 4, 3], np.int64)
     pair = lambda a, b: a << 20 | b
