@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,9 +134,16 @@ def compared(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float
 
 
 def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, count: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``(h, root)`` of the lines that have a near-duplicate; the others are not listed.
+    """``(h, root)`` of the lines that have a near-duplicate; the others are not listed."""
+    coded = saved(bands(lines, shingle, count, rows), "bands")
+    return classes(coded, lambda pairs: compared(pairs, lines, shingle, similarity), lambda ids: profiles(lines, ids, shingle), similarity)
+
 
-    Lines that share a band are candidates. A band's head is the line whose bands
+def classes(coded: DataFrame, compare: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """``(h, root)`` of the lines of ``coded`` (see ``bands``) that have a near-duplicate.
+
+    ``compare`` judges pairs as ``compared`` does, ``profile`` describes lines as
+    ``profiles`` does. Lines that share a band are candidates. A band's head is the line whose bands
     hold most lines in all: of a text and its variants that is the text itself,
     as changes make bands of their own. Each line is compared with its best head,
     then with the heads of those bands whose head it has not been connected
@@ -146,7 +154,6 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = S
     bitmaps differ in no more bits than shingles may differ. Both rules only
     leave out pairs that are not near.
     """
-    coded = saved(bands(lines, shingle, count, rows), "bands")
     members = coded.select("h", F.explode("keys").alias("band"))
     shared_bands = saved(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared_bands")
     joined = saved(join_small(members, shared_bands, "band"), "members")
@@ -155,7 +162,7 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = S
     best = weighed.groupBy("band").agg(F.max(F.struct("weight", "h")).alias("best"))
     shared = saved(weighed.join(best, "band").select("band", "h", F.col("best.h").alias("head"), F.col("best.weight").alias("head_weight")), "headed")
     first = shared.groupBy("h").agg(F.max(F.struct("head_weight", "head")).alias("best")).select(F.col("best.head").alias("a"), F.col("h").alias("b"))
-    seen = saved(compared(first.filter("a <> b"), lines, shingle, similarity), "stars")
+    seen = saved(compare(first.filter("a <> b")), "stars")
 
     def rooted(seen: DataFrame) -> DataFrame:
         """Rows of the bands that hold several components."""
@@ -167,11 +174,11 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = S
     mixed = rooted(seen)
     others = mixed.filter("root <> head_root").select(F.col("head").alias("a"), F.col("h").alias("b")).distinct()
     known = seen.select("a", "b")
-    seen = saved(seen.unionByName(compared(others.join(known, ["a", "b"], "left_anti"), lines, shingle, similarity)), "stars")
+    seen = saved(seen.unionByName(compare(others.join(known, ["a", "b"], "left_anti"))), "stars")
     mixed = rooted(seen)
     distances = seen.select(F.col("a").alias("head"), F.col("b").alias("h"), "far")
     spaced = saved(mixed.join(distances, ["head", "h"], "left").filter("h <> head").select("band", "h", "root", "far"), "spaced")
-    known = spaced.join(saved(profiles(lines, spaced.select("h"), shingle), "profiles"), "h")
+    known = spaced.join(saved(profile(spaced.select("h")), "profiles"), "h")
     own = ["h", "root", "far", "size", *[f"w{k}" for k in range(_WORDS)]]
     one, two = (known.select("band", *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "ab")
     cut = round(1000 * similarity)
@@ -184,7 +191,7 @@ def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = S
     )
     across = one.join(two, "band").filter(apart).select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()
     # written, as a filter on the result would compute it again
-    rest = saved(compared(across, lines, shingle, similarity), "across")
+    rest = saved(compare(across), "across")
     return components(seen.unionByName(rest).filter("near")).select(F.col("node").alias("h"), "root")
 
 

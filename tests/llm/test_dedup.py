@@ -67,6 +67,32 @@ def test_simhash_of_no_rows_and_kept_rows(spark):
     assert sorted((r.doc_id or 0, r.text, r.fp, r.kept) for r in kept.collect()) == [(0, "a b c", "x", 1), (1, "a b c", "x", 1), (3, "other words here now", "x", 1)]
 
 
+def test_kept_rows_are_those_of_all_pairs_at_the_similarity(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for i in range(0, 150, 5):
+        words = [word() for _ in range(rng.choice([60, 90, 200]))]
+        texts.append((i, " ".join(words)))
+        for k in range(1, 5):  # edits on edits, and the same words over other lines
+            words[rng.randrange(len(words))] = word()
+            texts.append((i + k, rng.choice([" ", "\n"]).join(words)))
+    # mostly one repeated word: equal fingerprints, but few common shingles
+    texts += [(200 + i, "x " * 300 + " ".join(word() for _ in range(8))) for i in range(3)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in texts)]
+    prints = [fingerprint(t) for _, t in texts]
+    label, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                far += bin(prints[i] ^ prints[j]).count("1") > 4
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    assert far > 20
+    kept = simhash.keep_one(docs_of(spark, *texts)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(texts[x][0] for x in set(label))
+
+
 @pytest.mark.parametrize("shard", [64, 100_000])
 @pytest.mark.parametrize("bits", [4, 6])
 def test_hamming_links_are_exact(spark, shard, bits):
