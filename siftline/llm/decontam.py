@@ -85,15 +85,19 @@ def _is_slot(word: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8, run: int = 20, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, with the evidence.
 
-    A pair is found if at least ``share`` of the item's template windows, or
-    windows that span ``run`` words, stand in the document, and the slots agree:
-    along the best alignment, equal slot values of the item meet equal values of
-    the document and different ones different ones. Then the item may be
-    re-parameterised (``same_slots`` false) but is the same question.
+    A pair is found if a run holds at least ``share`` of the item's template windows,
+    or windows that span ``run`` words, and its slots agree: within the run's matched
+    windows, equal slot values of the item meet equal values of the document and
+    different ones different ones. Then the item may be re-parameterised
+    (``same_slots`` false) but is the same question. A run is what stands at one
+    shift, or at shifts that differ by less than the item's length, so that
+    words may be put in or left out; each item window then takes the place whose
+    shift has most windows. Every place of the document counts. Slots beyond the
+    matched windows decide nothing, and ``run`` words that agree are enough.
 
     Gives ``doc_id, item_id, windows, matched, coverage, n_slots, same_slots``, one
     row per pair of ids. Null or empty texts on either side, and null ids, match
-    nothing. Repeated rows of a document count as one text's worth of windows;
+    nothing. Repeated rows of a document count as one;
     rows with equal ids and different texts are judged by the best of them.
     Items shorter than ``size`` words are one window, found only as whole texts.
 
@@ -102,63 +106,99 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     windows that meet one go on.
     """
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
-    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
+    items = items.groupBy("item_id").agg(F.min("text").alias("text")).withColumn("it", F.xxhash64("text"))
     listed = saved(
-        items.select("item_id", tokens(F.col("text")).alias("words"), template(F.col("text")).alias("form")).withColumn(
+        items.select("item_id", "it", F.transform(tokens(F.col("text")), F.lower).alias("words"), template(F.col("text")).alias("form")).withColumn(
             "hashes", windows(F.col("form"), size)
         ),
         "items",
     )
+    # g numbers the distinct windows
     placed = saved(
-        listed.select("item_id", F.size(F.array_distinct("hashes")).alias("windows"), F.posexplode("hashes").alias("at", "h"))
-        .groupBy("item_id", "windows", "h")
-        .agg(F.min("at").alias("at")),
+        listed.select(
+            "item_id", "it", "hashes", F.size("words").alias("length"), F.size(F.array_distinct("hashes")).alias("windows"), F.posexplode("hashes").alias("at", "h")
+        ).select("item_id", "it", "length", "windows", "at", F.array_position("hashes", F.col("h")).alias("g"), "h"),
         "item_windows",
     )
     wanted = saved(placed.select("h").distinct(), "window_hashes")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     # the outer form, as Spark would compute the array twice to drop rows without any
-    exploded = texts.select("doc_id", F.posexplode_outer(windows(template(F.col("text")), size)).alias("pos", "h")).filter("h is not null")
+    exploded = texts.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode_outer(windows(template(F.col("text")), size)).alias("pos", "h")).filter("h is not null")
     hits = saved(join_small(exploded, wanted, "h", rows=broadcast_rows), "window_hits")
-    met = hits.groupBy("doc_id", "h").agg(F.min("pos").alias("pos")).join(placed, "h")
-    found = (
-        met.groupBy("doc_id", "item_id", "windows", (F.col("pos") - F.col("at")).alias("shift"))
-        .agg(F.count("*").alias("n"))
-        .groupBy("doc_id", "item_id", "windows")
-        .agg(F.sum("n").alias("matched"), F.max(F.struct("n", -F.col("shift"))).alias("best"))
-        .filter((F.col("matched") >= F.lit(share) * F.col("windows")) | (F.col("matched") >= F.lit(max(run - size + 1, 1))))
-        .select("doc_id", "item_id", "windows", "matched", (-F.col("best.col2")).alias("shift"))
+    least = max(run - size + 1, 1)
+    pair = ["doc_id", "t", "item_id", "it", "length", "windows"]
+    shifted = (
+        hits.join(placed, "h")
+        .groupBy(*pair, (F.col("pos") - F.col("at")).alias("shift"))
+        .agg(F.collect_set(F.struct("at", "g")).alias("ats"))
     )
-    pairs = saved(found, "leak_pairs")
-    ids = pairs.select("doc_id").distinct()
-    held = texts.join(ids, "doc_id", "left_semi").select(
-        "doc_id", tokens(F.col("text")).alias("d_words"), template(F.col("text")).alias("d_form")
+
+    def enough(n: Column) -> Column:
+        return (n >= F.lit(share) * F.col("windows")) | (n >= F.lit(least))
+
+    def distinct_of(shifts: Column, field: str) -> Column:
+        return F.array_distinct(F.flatten(F.transform(shifts, lambda r: F.transform(r["ats"], lambda a: a[field]))))
+
+    # bands of shifts as wide as the item, which overlap by half, and each shift on its own
+    half = F.floor(F.col("length") / 2)
+    bands = F.array(
+        F.struct(F.lit(0).alias("kind"), F.floor(F.col("shift") / F.col("length")).alias("number")),
+        F.struct(F.lit(1).alias("kind"), F.floor((F.col("shift") + half) / F.col("length")).alias("number")),
+        F.when(enough(F.size("ats")), F.struct(F.lit(2).alias("kind"), F.col("shift").cast("bigint").alias("number"))),
     )
-    both = pairs.join(held, "doc_id").join(listed.select("item_id", "words", "form"), "item_id")
-    # the part of the document that lies along the item; before the text's start there is none
-    lead = F.greatest(-F.col("shift"), F.lit(0))
-    first = F.greatest(F.col("shift"), F.lit(0)) + 1
-    reach = F.greatest(F.least(F.size("words") - lead, F.size("d_words") - first + 1), F.lit(0))
-    rows = F.arrays_zip(
-        F.slice("form", lead + 1, reach).alias("a"),
-        F.slice("d_form", first, reach).alias("b"),
-        F.transform(F.slice("words", lead + 1, reach), F.lower).alias("x"),
-        F.transform(F.slice("d_words", first, reach), F.lower).alias("y"),
+    found = (
+        shifted.select("*", F.explode(bands).alias("band"))
+        .filter("band is not null")
+        .groupBy(*pair, "band")
+        .agg(F.collect_list(F.struct(F.size("ats").alias("n"), (-F.col("shift")).alias("back"), "ats")).alias("shifts"))
+        .withColumn("matched", F.size(distinct_of(F.col("shifts"), "g")))
+        .filter(enough(F.col("matched")))
     )
-    def judge(s: Column) -> Column:
-        kinds = [
-            F.size(F.array_distinct(s)),
-            F.size(F.array_distinct(F.transform(s, lambda r: F.struct(r["a"], r["x"])))),
-            F.size(F.array_distinct(F.transform(s, lambda r: F.struct(r["a"], r["y"])))),
-        ]
-        return F.struct(
-            ((kinds[0] == kinds[1]) & (kinds[0] == kinds[2])).alias("ok"),
-            F.size(s).cast("bigint").alias("n"),
-            F.forall(s, lambda r: r["x"] == r["y"]).alias("same"),
+    pairs = saved(found.drop("length"), "leak_pairs")
+    ids = pairs.select("doc_id", "t").distinct()
+    held = texts.withColumn("t", F.xxhash64("text")).distinct().join(ids, ["doc_id", "t"], "left_semi")
+    held = held.select("doc_id", "t", F.transform(tokens(F.col("text")), F.lower).alias("d_words"))
+    both = pairs.join(held, ["doc_id", "t"]).join(listed.select("item_id", "it", "words", "form"), ["item_id", "it"])
+
+    def aligned(shifts: Column) -> Column:
+        """(at, back) of the matched item windows in order; the shift of most windows comes first."""
+
+        def place(at: Column) -> Column:
+            there = F.filter(shifts, lambda r: F.exists(r["ats"], lambda a: a["at"] == at))
+            return F.struct(at.alias("at"), F.element_at(there, 1)["back"].alias("back"))
+
+        return F.transform(F.sort_array(distinct_of(shifts, "at")), place)
+
+    def slots(run: Column) -> Column:
+        def of(r: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.least(F.lit(size), F.size("words")) - 1),
+                lambda k: F.struct((r["at"] + k).alias("j"), (r["at"] + k - r["back"]).alias("i")),
+            )
+
+        rows = F.transform(
+            F.array_distinct(F.flatten(F.transform(run, of))),
+            lambda r: F.struct(F.get("form", r["j"]).alias("a"), F.get("words", r["j"]).alias("x"), F.get("d_words", r["i"]).alias("y")),
         )
+        return F.filter(rows, lambda r: _is_slot(r["a"]))
+
+    def agree(s: Column) -> Column:
+        one, two, three = (F.size(F.array_distinct(F.transform(s, f))) for f in (lambda r: F.struct(r["a"], r["x"], r["y"]), lambda r: F.struct(r["a"], r["x"]), lambda r: F.struct(r["a"], r["y"])))
+        return (one == two) & (one == three)
+
+    def judge(run: Column) -> Column:
+        def any_part(run: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.size(run) - least + 1)
+            return F.exists(starts, lambda i: let(slots(F.slice(run, i, F.lit(least))), agree))
+
+        def told(s: Column) -> Column:
+            ok = F.when(agree(s), True).when(F.size(run) > least, any_part(run)).otherwise(False)
+            return F.struct(ok.alias("ok"), F.size(s).cast("bigint").alias("n"), F.forall(s, lambda r: r["x"] == r["y"]).alias("same"))
+
+        return let(slots(run), told)
 
-    slots = F.filter(rows, lambda r: _is_slot(r["a"]) & (r["a"] == r["b"]))
-    judged = both.select("doc_id", "item_id", "windows", "matched", let(F.transform(slots, lambda r: F.struct(r["a"].alias("a"), r["x"].alias("x"), r["y"].alias("y"))), judge).alias("v"))
+    run_of = let(F.sort_array("shifts", asc=False), aligned)
+    judged = both.select("doc_id", "item_id", "windows", "matched", let(run_of, judge).alias("v"))
     return (
         judged.filter("v.ok")
         .groupBy("doc_id", "item_id")

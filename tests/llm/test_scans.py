@@ -110,6 +110,22 @@ def test_leaks_of_empty_tables(spark):
     assert decontam.leaks(spark.createDataFrame([(1, "a b c d e f")], SCHEMA), items.limit(0)).count() == 0
 
 
+def test_leaks_of_parts_and_edits(spark):
+    item = " ".join(f"part{i}" if i % 6 else str(i + 1) for i in range(60))
+    w = item.split()
+    wrong = [str(200 + i // 12) if x.isdigit() else x for i, x in enumerate(w)]  # different numbers become equal ones
+    docs = [
+        (1, " ".join(w[13:40]) + " " + " ".join("x" if not x.isdigit() else "7" for x in w[40:])),  # a part, then equal numbers at the item's offsets
+        (2, " ".join(w[:30] + ["inserted"] + w[30:])),
+        (3, " ".join(wrong) + " other words " + item),
+        (4, " ".join(wrong)),
+        (5, " ".join(" ".join(w[i : i + 5]) + " gap" * 200 for i in range(0, 55, 3))),  # scattered windows
+        (6, " ".join(w[:30] + w[31:])),
+    ]
+    found = {r.doc_id for r in decontam.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert found == {1, 2, 3, 6}
+
+
 VOCABULARY = Path("/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
