@@ -16,6 +16,7 @@ UNITS = (
 )
 _NUMBER = r"(?<=^|\x20)[$€£#(]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?(?=\x20|$)"
 _EDGES = r"(?<=[\p{L}\p{N}%>])[.,;:!?\"'’”)\]}]+(?=\x20|$)|(?<=^|\x20)[\"'‘“(\[{]+(?=[\p{L}\p{N}])"
+_CAPITAL = r"(?<=^|\x20|[\"'‘“(\[{])\p{Lu}[\p{Ll}'’-]+(?=[.,;:!?\"'’”)\]}]*(?:\x20|$))"
 _NAME = r"(?<=[^.!?:\x20]\x20)\p{Lu}[\p{Ll}'’-]+(?=[.,;:!?\"'’”)\]}]*(?:\x20|$))"
 
 
@@ -37,19 +38,20 @@ def tokens(text: Column) -> Column:
     return let(_bare(_spaced(text)), _split)
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: str | None = _NAME) -> Column:
     """Words of the text's template, one for each of ``tokens``.
 
     Numbers become <num>, a unit after a number <unit>, a capitalised word that
-    does not begin a sentence <name>; all else is lower-cased. Replacements stay
-    within words, so both arrays have the same length.
+    does not begin a sentence <name>; all else is lower-cased. ``names`` is the
+    pattern of names; without it no word is one. Replacements stay within words,
+    so both arrays have the same length.
     """
 
     def numbered(named: Column) -> Column:
         placed = F.regexp_replace(F.regexp_replace(named, _NUMBER, "<num>"), rf"(?<=<num>\x20)(?i:{UNITS})(?=\x20|$)", "<unit>")
         return F.when(named.rlike(r"\d"), placed).otherwise(named)
 
-    named = _bare(F.regexp_replace(_spaced(text), _NAME, "<name>"))
+    named = _bare(_spaced(text) if names is None else F.regexp_replace(_spaced(text), names, "<name>"))
     return let(F.lower(let(named, numbered)), _split)
 
 
@@ -78,6 +80,12 @@ def windows(words: Column, size: int = 5) -> Column:
     return let(words, whole)
 
 
+def variants(text: Column, size: int) -> Column:
+    """For each window, its distinct hashes with names within sentences, with every capitalised word and with no word as a name."""
+    zipped = F.arrays_zip(*[windows(template(text, names), size).alias(a) for a, names in (("a", _NAME), ("b", _CAPITAL), ("c", None))])
+    return F.transform(zipped, lambda r: F.array_distinct(F.array(r["a"], r["b"], r["c"])))
+
+
 def _is_slot(word: Column) -> Column:
     return word.isin("<num>", "<unit>", "<name>")
 
@@ -94,6 +102,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     words may be put in or left out; each item window then takes the place whose
     shift has most windows. Every place of the document counts. Slots beyond the
     matched windows decide nothing, and ``run`` words that agree are enough.
+    Windows match by any of ``variants``, so names may begin a sentence and be in
+    any case; the slots that must agree then include sentences' first words,
+    ``n_slots`` counts the others.
 
     Gives ``doc_id, item_id, windows, matched, coverage, n_slots, same_slots``, one
     row per pair of ids. Null or empty texts on either side, and null ids, match
@@ -108,22 +119,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
     items = items.groupBy("item_id").agg(F.min("text").alias("text")).withColumn("it", F.xxhash64("text"))
     listed = saved(
-        items.select("item_id", "it", F.transform(tokens(F.col("text")), F.lower).alias("words"), template(F.col("text")).alias("form")).withColumn(
-            "hashes", windows(F.col("form"), size)
-        ),
+        items.select("item_id", "it", F.transform(tokens(F.col("text")), F.lower).alias("words"), template(F.col("text")).alias("inner"), template(F.col("text"), _CAPITAL).alias("form"), variants(F.col("text"), size).alias("variants"))
+        .withColumn("hashes", windows(F.col("inner"), size)),
         "items",
     )
     # g numbers the distinct windows
     placed = saved(
         listed.select(
-            "item_id", "it", "hashes", F.size("words").alias("length"), F.size(F.array_distinct("hashes")).alias("windows"), F.posexplode("hashes").alias("at", "h")
-        ).select("item_id", "it", "length", "windows", "at", F.array_position("hashes", F.col("h")).alias("g"), "h"),
+            "item_id", "it", "hashes", F.size("words").alias("length"), F.size(F.array_distinct("hashes")).alias("windows"), F.posexplode("variants").alias("at", "hs")
+        ).select("item_id", "it", "length", "windows", "at", F.array_position("hashes", F.get("hashes", F.col("at"))).alias("g"), F.explode("hs").alias("h")),
         "item_windows",
     )
     wanted = saved(placed.select("h").distinct(), "window_hashes")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     # the outer form, as Spark would compute the array twice to drop rows without any
-    exploded = texts.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode_outer(windows(template(F.col("text")), size)).alias("pos", "h")).filter("h is not null")
+    exploded = texts.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode_outer(variants(F.col("text"), size)).alias("pos", "hs"))
+    exploded = exploded.select("doc_id", "t", "pos", F.explode_outer("hs").alias("h")).filter("h is not null")
     hits = saved(join_small(exploded, wanted, "h", rows=broadcast_rows), "window_hits")
     least = max(run - size + 1, 1)
     pair = ["doc_id", "t", "item_id", "it", "length", "windows"]
@@ -158,7 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     ids = pairs.select("doc_id", "t").distinct()
     held = texts.withColumn("t", F.xxhash64("text")).distinct().join(ids, ["doc_id", "t"], "left_semi")
     held = held.select("doc_id", "t", F.transform(tokens(F.col("text")), F.lower).alias("d_words"))
-    both = pairs.join(held, ["doc_id", "t"]).join(listed.select("item_id", "it", "words", "form"), ["item_id", "it"])
+    both = pairs.join(held, ["doc_id", "t"]).join(listed.select("item_id", "it", "words", "inner", "form"), ["item_id", "it"])
 
     def aligned(shifts: Column) -> Column:
         """(at, back) of the matched item windows in order; the shift of most windows comes first."""
@@ -178,7 +189,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
 
         rows = F.transform(
             F.array_distinct(F.flatten(F.transform(run, of))),
-            lambda r: F.struct(F.get("form", r["j"]).alias("a"), F.get("words", r["j"]).alias("x"), F.get("d_words", r["i"]).alias("y")),
+            lambda r: F.struct(F.get("inner", r["j"]).alias("inner"), F.get("form", r["j"]).alias("a"), F.get("words", r["j"]).alias("x"), F.get("d_words", r["i"]).alias("y")),
         )
         return F.filter(rows, lambda r: _is_slot(r["a"]))
 
@@ -193,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
 
         def told(s: Column) -> Column:
             ok = F.when(agree(s), True).when(F.size(run) > least, any_part(run)).otherwise(False)
-            return F.struct(ok.alias("ok"), F.size(s).cast("bigint").alias("n"), F.forall(s, lambda r: r["x"] == r["y"]).alias("same"))
+            return F.struct(ok.alias("ok"), F.size(F.filter(s, lambda r: _is_slot(r["inner"]))).cast("bigint").alias("n"), F.forall(s, lambda r: r["x"] == r["y"]).alias("same"))
 
         return let(slots(run), told)
 

@@ -126,6 +126,14 @@ def test_leaks_of_parts_and_edits(spark):
     assert found == {1, 2, 3, 6}
 
 
+def test_leaks_of_names_at_sentence_starts(spark):
+    item = "Tom has 5 apples in the bag. Mary has 3 pears in the box. Boris sees how many fruits Tom and Mary have now?"
+    other = item.replace("Tom", "Anna").replace("Mary", "Paul").replace("Boris", "Zoe").replace("5", "7").replace("3", "8")
+    docs = [(1, item), (2, other), (3, item.lower()), (4, other.replace("Anna and", "Paul and"))]
+    found = {r.doc_id: r.same_slots for r in decontam.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert found == {1: True, 2: False, 3: True}
+
+
 VOCABULARY = Path("/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
