@@ -117,7 +117,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     windows that meet one go on.
     """
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
-    items = items.groupBy("item_id").agg(F.min("text").alias("text")).withColumn("it", F.xxhash64("text"))
+    items = items.distinct().withColumn("it", F.xxhash64("text"))
     listed = saved(
         items.select("item_id", "it", F.transform(tokens(F.col("text")), F.lower).alias("words"), template(F.col("text")).alias("inner"), template(F.col("text"), _CAPITAL).alias("form"), variants(F.col("text"), size).alias("variants"))
         .withColumn("hashes", windows(F.col("inner"), size)),

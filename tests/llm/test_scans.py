@@ -134,6 +134,13 @@ def test_leaks_of_names_at_sentence_starts(spark):
     assert found == {1: True, 2: False, 3: True}
 
 
+def test_leaks_of_items_with_equal_ids(spark):
+    items = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven")]
+    docs = spark.createDataFrame([(1, items[0][1]), (2, items[1][1])], SCHEMA)
+    found = decontam.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 1)]
+
+
 VOCABULARY = Path("/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
