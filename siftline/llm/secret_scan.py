@@ -73,7 +73,7 @@ def assignments(line: str, offset: int) -> Iterator[tuple[str, list[tuple[str, s
         kind, lexeme, start, _ = items[i]
         target = lexeme if kind == "name" else lexeme[1:-1] if kind == "string" else None
         i += 1
-        if not target or len(target) > 128:
+        if not target:
             continue
         j = i
         while j < len(items) and items[j][1] in "])":
@@ -134,10 +134,10 @@ def flow_spans(text: str, least: float = 4.0) -> list[tuple[str, int, int, str,
                     if kind == "literal":
                         values.append((value, start, end))
                     elif value in known:
-                        values += known[value][:16]
+                        values += known[value]
                     elif len(terms) == 1:
                         values.append((value, start, end))
-                known[target] = values
+                known[target] = list(dict.fromkeys(values))  # else `a = a + a` doubles them each time
                 weight = sensitivity(target)
                 if weight >= 1:
                     whole = strength("".join(v for v, _, _ in values))

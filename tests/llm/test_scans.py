@@ -68,6 +68,16 @@ def test_literals_that_reach_sensitive_names(text, wanted):
     assert sorted(text[s:e] for _, s, e, _, _ in spans) == sorted(wanted)
 
 
+def test_flow_of_many_literals_and_long_names():
+    parts = [f"q8Z2xw{i}Lm" for i in range(40)]
+    text = "a = " + " + ".join(f'"{p}"' for p in parts) + "\nauth_token = a"
+    assert [text[s:e] for _, s, e, _, _ in secret_scan.flow_spans(text)] == parts
+    text = "x" * 200 + '_secret = "q8Z2xw91Lm"'
+    assert [text[s:e] for _, s, e, _, _ in secret_scan.flow_spans(text)] == ["q8Z2xw91Lm"]
+    text = 'a = "q8Z2xw91Lm"\n' + "a = a + a\n" * 60 + "auth_token = a"
+    assert [text[s:e] for _, s, e, _, _ in secret_scan.flow_spans(text)] == ["q8Z2xw91Lm"]
+
+
 ITEMS = [
     (1, "Anna buys 12 red apples and later she sells 5 of them to Boris at the market for money."),
     (2, "the quick brown fox jumps over the lazy dog near the river bank at dawn"),
