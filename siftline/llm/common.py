@@ -68,6 +68,12 @@ def bottom_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFra
     return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(rows)
 
 
+def one_text(df: DataFrame) -> DataFrame:
+    """One row for each ``doc_id``: the text with the smallest hash."""
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")
+    return df.groupBy("doc_id", *[c for c in df.columns if c not in ("doc_id", "text")]).agg(least).select("*", "least.text").drop("least")
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back; see ``siftline.session.materialise``."""
     return materialise(df, label)

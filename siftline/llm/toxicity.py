@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bottom_sample, fold, saved
+from siftline.llm.common import bottom_sample, fold, one_text, saved
 
 FIT_ROWS = 16384  # labelled documents that the model is fitted on, at most
 _CUES = 20000  # candidate cues that the driver weighs, at most
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: i
     """Model from the labelled rows of ``docs`` whose id satisfies ``learn``.
 
     At most ``rows`` documents are used, those with the smallest hashes of their
-    ids; equal texts count once, toxic if any of them is. Null labels, texts and
+    ids, one text of each id; equal texts count once, toxic if any of them is. Null labels, texts and
     ids are left out. With one label only, every score is that label's 0 or 1
     (0 without labels).
     """
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: i
     picked = bottom_sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter("doc_id is not null"), "doc_id", rows)
     # at most `rows` rows
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
-    joined = texts.join(F.broadcast(picked), "doc_id")
+    joined = one_text(texts.join(F.broadcast(picked), "doc_id"))
     sample = saved(joined.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic_sample").repartition(32)
     kinds = {r.toxic for r in sample.select("toxic").distinct().collect()}
     flat = np.zeros(_SPACE, np.float32)

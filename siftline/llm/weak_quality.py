@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import bottom_sample
+from siftline.llm.common import bottom_sample, one_text
 
 FIT_ROWS = 8192  # documents that the scorer is fitted on, at most
 _SPACE = 1 << 14
@@ -159,7 +159,7 @@ def score(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     All texts are voted on; the driver gets only the number of texts of each vote
     pattern (at most 3^8), and finds by expectation-maximisation how far each
     labeller is to be believed. The posteriors then label at most ``rows``
-    documents (smallest hashes of their ids) on which a linear scorer of hashed
+    documents (smallest hashes of their ids, one row of each) on which a linear scorer of hashed
     word shapes is trained. ``score`` (0 to 1) is the scorer's, ``keep`` is 1 from
     0.5 on. Null texts count as empty, which only the size labeller votes on, as
     bad. Null ids are scored but not fitted on; repeated rows stay. An empty
@@ -184,8 +184,8 @@ def score(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(p, pa.float64())], ["slots", "vals", "p"])
 
     ids = bottom_sample(docs.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", rows)
-    # at most `rows` ids
-    sample = texts.join(F.broadcast(ids), "doc_id").mapInArrow(describe, "slots array<int>, vals array<double>, p double").collect()
+    # at most `rows` ids, one row of each
+    sample = one_text(texts.join(F.broadcast(ids), "doc_id")).mapInArrow(describe, "slots array<int>, vals array<double>, p double").collect()
     theta = _train(sample) if sample else np.zeros(_SPACE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

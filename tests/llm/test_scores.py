@@ -177,6 +177,16 @@ def test_marginals_by_enumeration():
     assert toxicity.tagger(weights, trans)(text) == pytest.approx(ones / total)
 
 
+def test_samples_hold_one_row_of_an_id(spark, monkeypatch):
+    rows = [(1, f"some text of number {i}") for i in range(30)] + [(2, "another text"), (2, "another text"), (3, None)]
+    docs, sizes = spark.createDataFrame(rows, SCHEMA), []
+    monkeypatch.setattr(weak_quality, "_train", lambda sample: sizes.append(len(sample)) or np.zeros(weak_quality._SPACE))
+    weak_quality.score(docs)
+    monkeypatch.setattr(toxicity, "saved", lambda df, label: sizes.append(df.count()) or df)
+    toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 0), (3, 0)], "doc_id bigint, toxic int"))
+    assert sizes == [3, 2]
+
+
 def test_quality_of_kinds_of_texts(spark):
     rng = np.random.default_rng(4)
     plain = ["".join(rng.choice(list("abcdefghijklm"), int(rng.integers(2, 9)))) for _ in range(500)]
