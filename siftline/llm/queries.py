@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import backoff, collision_search, decontam, lengths, line_dedup, mixing, secret_scan, simhash, toxicity, weak_quality
+from siftline.llm import backoff, collision_search, decontam, lengths, line_dedup, merkle, mixing, secret_scan, simhash, toxicity, weak_quality
 from siftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,11 @@ def op3_collision_search(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_weak_quality(spark: SparkSession, folder: str) -> DataFrame:
     return weak_quality.score(table(spark, folder, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audit(table(spark, folder, "documents"))
+
+
+ORACLES["op11_merkle_manifest"] = merkle.audit_sql()
