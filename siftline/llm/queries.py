@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import backoff, collision_search, decontam, lengths, line_dedup, merkle, mixing, secret_scan, simhash, toxicity, weak_quality
+from siftline.llm import backoff, collision_search, decontam, lengths, line_dedup, merkle, mixing, secret_scan, simhash, source_audit, toxicity, weak_quality
 from siftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,11 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op11_merkle_manifest"] = merkle.audit_sql()
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(table(spark, folder, "documents"))
+
+
+ORACLES["op12_source_divergence"] = source_audit.audit_sql()
