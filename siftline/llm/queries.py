@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import backoff, collision_search, decontam, lengths, line_dedup, merkle, mixing, secret_scan, simhash, source_audit, toxicity, weak_quality
+from siftline.llm import backoff, collision_search, decontam, language_id, lengths, line_dedup, merkle, mixing, secret_scan, simhash, source_audit, toxicity, weak_quality
 from siftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_source_divergence"] = source_audit.audit_sql()
+
+
+@query
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(table(spark, folder, "documents"))
