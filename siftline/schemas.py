@@ -70,3 +70,16 @@ TRACKED_STATES = ("queued", "running", "finalizing", "cancel_requested")
 ACTIVE_STATES = (*TRACKED_STATES, "state_unknown")
 TERMINAL_STATES = ("succeeded", "partial", "failed", "cancelled")
 RECONCILABLE_STATES = (*TRACKED_STATES, "blocked")
+
+#: The states that may follow each state of a job; None stands for a job without any.
+#: An end is final, an unknown state is only resolved as a failure, and only waiting or running jobs can be cancelled.
+_OPEN_STATES = ("queued", "running", "finalizing", "blocked")
+NEXT_STATES: dict[str | None, tuple[str, ...]] = {
+    None: ("queued",),
+    "queued": (*_OPEN_STATES, "cancel_requested", "state_unknown", *TERMINAL_STATES),
+    "running": (*_OPEN_STATES, "cancel_requested", "state_unknown", *TERMINAL_STATES),
+    "finalizing": (*_OPEN_STATES, "state_unknown", *TERMINAL_STATES),
+    "blocked": (*_OPEN_STATES, "state_unknown", *TERMINAL_STATES),
+    "cancel_requested": ("cancel_requested", "blocked", "state_unknown", *TERMINAL_STATES),
+    "state_unknown": ("state_unknown", "failed"),
+}
