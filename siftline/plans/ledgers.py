@@ -223,6 +223,24 @@ def bad_edges(t: Tables) -> DataFrame:
     return graph.bad_edges(_turn_nodes(t), edges.unionByName(back))
 
 
+@query(
+    """WITH m AS (SELECT conv_id, min(role) FILTER (turn = 0) AS first, max(turn) AS last FROM conversations GROUP BY conv_id)
+SELECT c.conv_id || ':' || turn AS node, (SELECT min(x.conv_id || ':' || x.turn) FROM conversations x WHERE x.conv_id = c.conv_id) AS component
+FROM conversations c JOIN m ON c.conv_id = m.conv_id WHERE first = 'system' AND last > 0
+UNION ALL SELECT c.conv_id || ':' || turn, c.conv_id || ':0' FROM conversations c JOIN m ON c.conv_id = m.conv_id WHERE first = 'system' AND last = 0"""
+)
+def cycle_members(t: Tables) -> DataFrame:
+    """Conversations that begin with the system lead from their first turn to their last, and even ones to the next."""
+    conv = t.conversations
+    ends = conv.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    starts = conv.filter("turn = 0 and role = 'system'").select("conv_id", "turn").join(ends, "conv_id")
+    back = starts.select(_turn().alias("node"), _turn(turn="last").alias("dependency"))
+    # what stands between two cycles is on neither
+    bridge = conv.filter("turn = 0 and conv_id % 2 = 0").select(_turn().alias("node"), (F.col("conv_id") + 1).alias("conv_id")).join(ends, "conv_id")
+    bridges = bridge.select("node", _turn(turn="last").alias("dependency"))
+    return graph.strong_components(_turn_nodes(t), _turn_edges(t).unionByName(back).unionByName(bridges))
+
+
 @query(
     """SELECT o_orderkey AS node, o_orderstatus = 'F' AND NOT EXISTS (
   SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45)) AS complete
