@@ -14,7 +14,7 @@ import sys
 import time
 
 from siftline import get_session
-from siftline.plans import candidates, files, ledgers, records, screens, streams  # noqa: F401 - register
+from siftline.plans import archives, candidates, files, ledgers, records, screens, streams  # noqa: F401 - register
 from siftline.plans.registry import QUERIES
 
 HEADLINE = (
