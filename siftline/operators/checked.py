@@ -56,22 +56,28 @@ def _beyond(n: int, a: int, b: int, seed: int) -> int:
     Fewer than the root of n places lie beyond n, so all of them are followed here.
     """
     place = np.arange(n, a * b, dtype=np.int64)
+    # those that others beyond n lead to are met later, or lie on rings that no place enters
+    place = np.setdiff1d(place, _once(place, a, b, seed))
     passes = 1
     while len(place):
         passes += 1
-        low, high = place % a, place // a
-        for k, (times, plus) in enumerate(_constants(seed)):
-            start = ((low if k % 2 else high) + plus) % _PRIME
-            move = (start * start % _PRIME * times + start) % _PRIME
-            if k % 2:
-                high = (high + move) % b
-            else:
-                low = (low + move) % a
-        place = high * a + low
+        place = _once(place, a, b, seed)
         place = place[place >= n]
     return passes
 
 
+def _once(place: np.ndarray, a: int, b: int, seed: int) -> np.ndarray:
+    low, high = place % a, place // a
+    for k, (times, plus) in enumerate(_constants(seed)):
+        start = ((low if k % 2 else high) + plus) % _PRIME
+        move = (start * start % _PRIME * times + start) % _PRIME
+        if k % 2:
+            high = (high + move) % b
+        else:
+            low = (low + move) % a
+    return high * a + low
+
+
 def permuted(df: DataFrame, ordinal: str, n: int, seed: int = 23, name: str = "position") -> DataFrame:
     """Place of each ordinal 0 to n - 1 in a permutation of them, as a column; nothing is shuffled.
 
