@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,14 +39,61 @@ def sensitivity(name: str) -> float:
     return max([0.0, *(_WEIGHTS.get(p, 0.0) for p in parts), *(_WEIGHTS.get(a + b, 0.0) for a, b in zip(parts, parts[1:]))])
 
 
+#: Beginnings that make a joined value a placeholder.
+_HOLDER_HEAD = re.compile(r"(?i)^(?:your|\$\{?|\{\{|<)")
+
+
+def _graded(length: float, shares: Iterable[float], kinds: int) -> float:
+    bits = -sum(p * math.log2(p) for p in shares)
+    return min(3.0, bits / 2 + 0.25 * (kinds - 1) + (0.5 if length >= 16 else 0.0))
+
+
+def _kinds(chars: Iterable[str]) -> int:
+    return sum(any(map(f, chars)) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in chars)
+
+
 def strength(literal: str) -> float:
     """0 to 3: how much a literal looks like a generated value, by length and entropy."""
     if len(literal) < 6 or _HOLDER.match(literal) or any(c.isspace() for c in literal):
         return 0.0
-    n = len(literal)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
-    return min(3.0, bits / 2 + 0.25 * (kinds - 1) + (0.5 if n >= 16 else 0.0))
+    n, counts = len(literal), Counter(literal)
+    return _graded(n, (c / n for c in counts.values()), _kinds(counts))
+
+
+Literal = tuple[str, int, int]
+_MANY = object()
+
+
+class _Value:
+    """What a name was given: literals of its own and earlier values, and what they amount to together."""
+
+    __slots__ = ("literals", "parents", "length", "shares", "spaced", "head", "only", "best", "best_joined")
+
+    def __init__(self, literals: list[Literal], parents: list[_Value]) -> None:
+        self.literals, self.parents = list(dict.fromkeys(literals)), list({id(p): p for p in parents}.values())
+        length, counts = 0.0, Counter()
+        for p in self.parents:
+            length += p.length
+            for c, share in p.shares.items():
+                counts[c] += share * p.length
+        for text, _, _ in self.literals:
+            length += len(text)
+            counts.update(text)
+        self.shares = {c: n / length for c, n in counts.items()} if length else {}
+        self.length = min(length, 1e6)  # no more than that is asked for
+        self.spaced = any(p.spaced for p in self.parents) or any(c.isspace() for c in counts)
+        self.head = self.literals[0][0] if self.literals else self.parents[0].head if self.parents else ""
+        one = {p.only for p in self.parents} | set(self.literals)
+        self.only: Literal | object = one.pop() if len(one) == 1 else _MANY
+        self.best: tuple[float, str] | None = None
+        self.best_joined: tuple[float, str] | None = None
+
+    def joined_strength(self) -> float:
+        if self.only is not _MANY:
+            return strength(self.only[0])
+        if self.length < 6 or self.spaced or _HOLDER_HEAD.match(self.head):
+            return 0.0
+        return _graded(self.length, self.shares.values(), _kinds(self.shares))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -118,39 +165,60 @@ def assignments(line: str, offset: int) -> Iterator[tuple[str, list[tuple[str, s
 def flow_spans(text: str, least: float = 4.0) -> list[tuple[str, int, int, str, float]]:
     """Literals whose value reaches a sensitive name, with that name and a score.
 
-    Line by line, each name keeps the literals last given to it; a name on the
-    right passes them on, so constants propagate through any number of names and
-    joins. Literals are scored by the name's sensitivity plus their strength. A
-    bare word directly after a name is a literal if the text never assigns it.
+    Line by line, each name keeps what was last given to it: literals, and the
+    values of names on the right, so constants propagate through any number of
+    names and joins. A value points to the values it was made of. One pass back
+    over all of them hands each the best score of the sensitive names it
+    reached, so the work grows with the text, not with the square of its joins.
+
+    A literal's score is the name's sensitivity plus the literal's strength, or the
+    strength of all characters joined there if there are several literals. A bare
+    word directly after a name is a literal if the text never assigns it.
     """
-    known: dict[str, list[tuple[str, int, int]]] = {}
-    found: dict[tuple[int, int], tuple[str, int, int, str, float]] = {}
+    known: dict[str, _Value] = {}
+    values: list[_Value] = []
     at = 0
     for line in text.split("\n"):
         if "=" in line or ":" in line or "--" in line:
             for target, terms in assignments(line, at):
-                values: list[tuple[str, int, int]] = []
+                literals: list[Literal] = []
+                parents: list[_Value] = []
                 for kind, value, start, end in terms:
-                    if kind == "literal":
-                        values.append((value, start, end))
-                    elif value in known:
-                        values += known[value]
-                    elif len(terms) == 1:
-                        values.append((value, start, end))
-                known[target] = list(dict.fromkeys(values))  # else `a = a + a` doubles them each time
+                    if kind == "name" and value in known:
+                        parents.append(known[value])
+                    elif kind == "literal" or len(terms) == 1:
+                        literals.append((value, start, end))
+                made = _Value(literals, parents)
+                values.append(made)
+                known[target] = made
                 weight = sensitivity(target)
-                if weight >= 1:
-                    whole = strength("".join(v for v, _, _ in values))
-                    for value, start, end in values:
-                        score = weight + max(strength(value), whole if len(values) > 1 else 0.0)
-                        own = any(map(str.isdigit, value)) or len(values) > 1 or text[start - 1 : start] in ('"', "'", "`")
-                        if score >= least and whole > 0 and own and end > start:
-                            if (start, end) not in found or found[start, end][4] < score:
-                                found[start, end] = ("flow", start, end, target, score)
+                if weight >= 1 and (whole := made.joined_strength()) > 0:
+                    made.best = (weight, target)
+                    if made.only is _MANY:
+                        made.best_joined = (weight + whole, target)
         at += len(line) + 1
+    found: dict[tuple[int, int], tuple[str, int, int, str, float]] = {}
+    for made in reversed(values):
+        if made.best is None:
+            continue
+        for parent in made.parents:
+            parent.best = max(parent.best or made.best, made.best, key=_first)
+            if made.best_joined:
+                parent.best_joined = max(parent.best_joined or made.best_joined, made.best_joined, key=_first)
+        for value, start, end in made.literals:
+            score, name = made.best[0] + strength(value), made.best[1]
+            if made.best_joined and made.best_joined[0] > score:
+                score, name = made.best_joined
+            own = any(map(str.isdigit, value)) or made.best_joined or text[start - 1 : start] in ('"', "'", "`")
+            if score >= least and own and end > start and ((start, end) not in found or found[start, end][4] < score):
+                found[start, end] = ("flow", start, end, name, score)
     return list(found.values())
 
 
+def _first(pair: tuple[float, str]) -> float:
+    return pair[0]
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id`` and ``spans`` (kind, start, end, name, score) of every row of ``docs``.
 
