@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -17,6 +18,10 @@ from siftline.llm.common import saved
 #: Fixed value: the pattern that splits text before the merges of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _STEP = 512
+_LONG = 256  # blanks in a row from which a run is cut out
+#: Fixed value: the characters of the tokeniser's ``\\s``, fewer than Python's.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS = re.compile(rf"{_SPACE}{{{_LONG},}}")
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -33,6 +38,26 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def encoded_length(encoding: tiktoken.Encoding, text: str) -> int:
+    """Tokens of a text; long runs of blanks are taken out before the pattern sees them.
+
+    The pattern's look-ahead would walk such a run recursively. It makes one piece
+    of all blanks but the last if a word follows, and of all of them at the end;
+    the last blank goes with the word or stands alone. Nothing joins across the
+    run's beginning, so the parts' tokens add up exactly.
+    """
+    total, start = 0, 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += _short_length(encoding, text[start : run.start()]) + len(encoding._encode_single_piece(text[run.start() : end]))
+        start = end
+    return total + _short_length(encoding, text[start:])
+
+
+def _short_length(encoding: tiktoken.Encoding, text: str) -> int:
+    return len(encoding.encode_ordinary(text)) if text else 0
+
+
 def length_counts(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", pattern: str = PATTERN) -> DataFrame:
     """``(length, docs)``: number of texts of each encoded length.
 
@@ -42,10 +67,10 @@ def length_counts(docs: DataFrame, ranks: dict[bytes, int], text: str = "text",
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
         found: Counter = Counter()
         for batch in batches:
-            found.update(len(encode(t)) if t else 0 for t in batch.column(0).to_pylist())
+            found.update(encoded_length(encoding, t) if t else 0 for t in batch.column(0).to_pylist())
         keys = np.fromiter(found, np.int64, len(found))
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(found.values(), np.int64, len(found)))], ["length", "docs"])
 
