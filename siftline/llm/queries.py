@@ -62,9 +62,7 @@ def op7_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
-ORACLES["op7_poisson_mix"] = (
-    f"WITH docs AS (SELECT * FROM documents), mixed AS ({mixing.mix_sql('docs.*')}) SELECT * FROM mixed"
-)
+ORACLES["op7_poisson_mix"] = "WITH docs AS (SELECT * FROM documents), " + mixing.mix_sql(["doc_id", "text", "lang", "source", "n_chars"]).lstrip()
 
 
 @query
