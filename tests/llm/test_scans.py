@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -78,6 +80,45 @@ def test_flow_of_many_literals_and_long_names():
     assert [text[s:e] for _, s, e, _, _ in secret_scan.flow_spans(text)] == ["q8Z2xw91Lm"]
 
 
+def test_flow_is_linear_in_joins():
+    text = "".join(f'x_token = x_token + "q8Z2xw{i}Lm"\n' for i in range(20_000))
+    start = time.perf_counter()
+    assert len(secret_scan.flow_spans(text)) == 20_000
+    assert time.perf_counter() - start < 15
+    # values that double at each line
+    text = "".join(f'a = a + b\nb = a + b + "q8Z2xw{i}Lm"\n' for i in range(2000)) + "secret = b"
+    assert len(secret_scan.flow_spans(text)) == 2000
+
+
+def slow_reach(lines):
+    """Sensitive lines reach what they join, by a search from each."""
+    known, values, out = {}, [], set()
+    for number, (name, parts) in enumerate(lines):
+        values.append((number, [known[p] for p in parts if p in known]))
+        known[name] = number
+        if "secret" in name:
+            todo = [number]
+            seen = set()
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += values[x][1]
+            out |= seen
+    return out
+
+
+def test_flow_equals_a_search(spark):
+    rng = random.Random(3)
+    for _ in range(40):
+        names = ["a", "b", "c", "d", "my_secret"]
+        lines = [(rng.choice(names), rng.choices(names, k=rng.randrange(3))) for _ in range(rng.randrange(1, 25))]
+        text = "\n".join(" + ".join([f'{name} = "q8Z2xw{i}Lm"', *parts]) for i, (name, parts) in enumerate(lines))
+        found = {text[s:e] for _, s, e, _, _ in secret_scan.flow_spans(text)}
+        assert {f"q8Z2xw{i}Lm" for i in slow_reach(lines)} <= found
+        assert found <= {f"q8Z2xw{i}Lm" for i in slow_reach(lines)} | {p for _, ps in lines for p in ps}
+
+
 ITEMS = [
     (1, "Anna buys 12 red apples and later she sells 5 of them to Boris at the market for money."),
     (2, "the quick brown fox jumps over the lazy dog near the river bank at dawn"),
@@ -178,6 +219,23 @@ def test_lengths_beyond_one_block(spark):
     assert lengths.limits(histogram.limit(0)).count() == 0
 
 
+def test_long_runs_are_encoded(monkeypatch):
+    ranks = {bytes([i]): i for i in range(256)} | {b"  ": 256, b"    ": 257, b" a": 258, b"aa": 259, b"\n\n": 260}
+    encoding = tiktoken.Encoding("own", pat_str=lengths.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(2)
+    parts = ["a", "B'll", " ", "  ", "\n", "\t", "     ", "é", "12", "!", "\x1c", "\x85", "\u3000", "\u2028", "\xa0"]
+    monkeypatch.setattr(lengths, "_BLANKS", re.compile(lengths._SPACE + "{3,}"))
+    for _ in range(2000):
+        text = "".join(rng.choices(parts, k=rng.randrange(25)))
+        assert lengths.encoded_length(encoding, text) == len(encoding.encode_ordinary(text)), text
+    monkeypatch.undo()
+    for run, wanted in ((" ", 500_000 + 2), ("\n", 1_000_000 + 2), ("a", 1_000_000 + 1)):
+        start = time.perf_counter()
+        # one blank or letter less is in the run's piece or in the word's
+        assert abs(lengths.encoded_length(encoding, "x" + run * 2_000_000 + "y") - wanted) <= 2
+        assert time.perf_counter() - start < 20
+
+
 def poisson_count(mean, u):
     k, p = 0, math.exp(-mean)
     total = p
@@ -199,10 +257,17 @@ def test_mixing_counts_and_means(spark):
     found = Counter((r.doc_id, r.source) for r in mixing.mix(docs, weights, total=21000.0).collect())
     sizes = Counter(r[2] for r in rows)
     wanted = Counter()
-    for i, _, source, *_ in rows:
+    ids, seen = Counter(r[0] for r in rows), Counter()
+    for row in rows:
+        i, _, source, *_ = row
+        seen[row] += 1
+        key = i
+        if i is None or ids[i] > 1:
+            digest = "".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row)
+            key = f"{'null' if i is None else i}:{hashlib.md5(digest.encode()).hexdigest()}:{seen[row]}"
         rate = 21000.0 / 42.0 * {"a": 1.0, "b": 40.0, None: 1.0}[source] / sizes[source]
         parts = max(1, math.ceil(rate / 32))
-        n = sum(poisson_count(rate / parts, uniform(17, "null" if i is None else i, p)) for p in range(1, parts + 1))
+        n = sum(poisson_count(rate / parts, uniform(17, key, p)) for p in range(1, parts + 1))
         wanted[i, source] += n
     assert found == +wanted
     mixed = mixing.mix(docs, weights, total=21000.0)
@@ -210,6 +275,25 @@ def test_mixing_counts_and_means(spark):
     assert abs(mixed.count() - 21000) < 800
 
 
+def test_rows_without_ids_are_drawn_each(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_BLOCK", 300)
+    docs = spark.range(20_000).selectExpr(
+        "cast(null AS bigint) AS doc_id", "if(id < 10000, 'same', concat('t', id)) AS text", "'s' AS source", "map('k', 1) AS extra"
+    )
+    mixed = mixing.mix(docs, spark.createDataFrame([("s", 1.0)], "source string, weight double"), total=60_000.0)
+    for some in (mixed.filter("text = 'same'"), mixed.filter("text <> 'same'")):
+        n = some.count()
+        assert abs(n - 30_000) < 700
+    # the number of copies of single texts has the distribution's mean and variance
+    counts = mixed.filter("text <> 'same'").groupBy("text").count().selectExpr("sum(count) / 10000 AS m", "sum(count * count) / 10000 AS s").first()
+    assert abs(counts.m - 3) < 0.1
+    assert abs(counts.s - counts.m**2 - 3) < 0.2
+    # copy 1 of equal rows stands for the draws above 0, and lies all over the keys
+    first = mixed.filter("text = 'same' AND copy = 1")
+    assert abs(first.count() - 10_000 * (1 - math.exp(-3))) < 150
+    assert first.select("shuffle_key").distinct().count() == first.count()
+
+
 def test_mixing_without_weights_and_rows(spark):
     docs = spark.createDataFrame([(i, "x", "s") for i in range(50)], SCHEMA + ", source string")
     assert mixing.mix(docs, spark.createDataFrame([("t", 1.0)], "source string, weight double")).count() == 0
