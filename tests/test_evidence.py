@@ -21,23 +21,24 @@ def test_top_candidates(result):
 
 
 def test_min_with_text_ties(frame):
-    pita = frame(
-        "microRNA string, Score string, o int",
-        ("RNA0", "-2.00", 0), ("RNA0", "-2", 1), ("RNA1", "x", 0), ("RNA1", "y", 1), ("RNA2", "3", 1), ("RNA2", "bad", 0),
+    hits = frame(
+        "guide string, energy string, o int",
+        ("g7", "0.50", 5), ("g7", ".5", 3), ("g7", "5e-1", 4), ("g8", "n/a", 2), ("g8", "", 1), ("g9", "-0", 1), ("g9", "NaN?", 0), ("g9", "0.0", 2),
     )
-    got = ev.min_with_text(pita, "microRNA", "Score", ["o"])
-    assert rows(got) == [("RNA0", "-2.00", -2.0), ("RNA1", "x", None), ("RNA2", "3", 3.0)]
+    got = ev.min_with_text(hits, "guide", "energy", ["o"])
+    # equal numbers go to the first row; a key without any number keeps its first text
+    assert rows(got) == [("g7", ".5", 0.5), ("g8", "", None), ("g9", "-0", 0.0)]
 
 
 def test_evidence(frame, result):
-    pita = frame("microRNA string, Score string, o int", ("RNA0", "-2.00", 0), ("RNA0", "-2", 1), ("RNA1", "-11", 0), ("RNA2", "1", 0))
-    ts = frame("siRNA string, targetscan_score double", ("RNA0", 0.5), ("RNA0", 1.5))
+    pita = frame("microRNA string, Score string, o int", ("RNA0", "-10.50", 7), ("RNA0", "-10.5", 9), ("RNA1", "-10", 0), ("RNA1", "-9", 1), ("RNA2", "8", 0))
+    ts = frame("siRNA string, targetscan_score double", ("RNA0", 0.25), ("RNA0", 1.75))
     got = ev.apply_evidence(result, pita, ts, ["o"], top_n=-1)
     assert rows(got, "pos", "pita_score", "targetscan_score", "off_target_filter") == [
-        (1, "-2.00", 1.5, 1), (2, "-11", 0.0, 1), (3, "1", 0.0, 0),
+        (1, "-10.50", 1.75, 1), (2, "-10", 0.0, 0), (3, "8", 0.0, 0),
     ]
     top = ev.apply_evidence(result, pita, ts, ["o"], top_n=2)
-    assert rows(top, "pos", "off_target_filter") == [(1, -5), (2, 1), (3, 0)]
+    assert rows(top, "pos", "off_target_filter") == [(1, -5), (2, 0), (3, 0)]
 
 
 def test_header_only_evidence(spark, frame, result, tmp_path):
@@ -53,16 +54,19 @@ def test_header_only_evidence(spark, frame, result, tmp_path):
 
 
 def test_site_cuts(frame):
-    sites = frame(
-        "refseq string, siRNA string, site_type string, score double",
-        ("refA", "RNA0", "6mer", -0.5), ("refA", "RNA0", "7mer-1a", -0.01), ("refA", "RNA0", "7mer-1a", -0.05),
-        ("refA", "RNA0", "8mer-1a", -0.04), ("refB", "RNA2", "6mer", -0.02), ("refB", "RNA1", "7mer-m8", -0.02),
-        ("refB", "RNA1", "8mer-1a", -0.03), ("refB", "RNA1", "other", -9.0), ("refB", "RNA1", "6mer", None),
-    )
-    got = {(r[0], r[1]): r[2] for r in ev.neg_sum(ev.site_cut(sites), ["refseq", "siRNA"]).collect()}
-    assert got == {("refA", "RNA0"): pytest.approx(0.59), ("refB", "RNA2"): pytest.approx(0.02)}
-    halves = [ev.neg_sum(ev.site_cut(sites.filter(c)), ["refseq", "siRNA"]) for c in ("siRNA = 'RNA0'", "siRNA <> 'RNA0'")]
-    assert rows(halves[0].union(halves[1])) == rows(ev.neg_sum(ev.site_cut(sites), ["refseq", "siRNA"]))
+    # on, just below and far below each type's cut
+    cases = [(kind, cut + step, step < 0) for kind, cut in ev.SITE_CUTS.items() if cut is not None for step in (0.0, -1 / 1024, -7.0, 2.0)]
+    cases += [("6mer", 12.5, True), ("6mer", -3.25, True), ("6mer", None, False), ("9mer", -50.0, False), (None, -50.0, False)]
+    sites = frame("n int, site_type string, score double, owner string", *[(i, kind, score, f"o{i % 2}") for i, (kind, score, _) in enumerate(cases)])
+    kept = ev.site_cut(sites)
+    assert [r[0] for r in rows(kept, "n")] == sorted((i for i, case in enumerate(cases) if case[2]), key=str)
+    want = {}
+    for i, (_, score, keep) in enumerate(cases):
+        if keep:
+            want[f"o{i % 2}"] = want.get(f"o{i % 2}", 0.0) - score
+    assert dict(ev.neg_sum(kept, ["owner"]).collect()) == pytest.approx(want)
+    own = frame("n int, site_type string, score double", (1, "x", 4.0), (2, "x", 5.0), (3, "6mer", 0.0))
+    assert rows(ev.site_cut(own, cuts={"x": 5.0}), "n") == [(1,)]
 
 
 def test_toxicity_and_final_filter(frame):
@@ -84,13 +88,14 @@ def test_lse(frame):
 
 
 def test_sorting(frame):
-    pita = frame("RefSeq string, Score string", ("r", "-20.13"), ("r", "3.17"), ("r", "-19.42"), ("r", "4.00"), ("a", "4.00"))
-    assert [tuple(r) for r in ev.sort_with_text(pita).collect()] == [
-        ("r", "-20.13"), ("r", "-19.42"), ("r", "3.17"), ("a", "4.00"), ("r", "4.00"),
+    hits = frame("gene string, Score string", *[(g, t) for g in ("k2", "k10") for t in ("7", "-0.125", "1e2", "7.0", "-64")])
+    assert [tuple(r) for r in ev.sort_with_text(hits).collect()] == [
+        ("k10", "-64"), ("k2", "-64"), ("k10", "-0.125"), ("k2", "-0.125"),
+        ("k10", "7"), ("k10", "7.0"), ("k2", "7"), ("k2", "7.0"), ("k10", "1e2"), ("k2", "1e2"),
     ]
-    a = frame("refseq string, siRNA string", ("b", "2"))
-    b = frame("refseq string, siRNA string", ("a", "9"), ("b", "1"))
-    assert [tuple(r) for r in ev.sort_pair(a, b).collect()] == [("a", "9"), ("b", "1"), ("b", "2")]
+    pairs = [(f"r{i}", f"s{j}") for i in (3, 1, 2) for j in (2, 1)]
+    tables = [frame("refseq string, siRNA string", *pairs[i::3]) for i in range(3)]
+    assert [tuple(r) for r in ev.sort_pair(*tables).collect()] == sorted(pairs)
 
 
 def test_split_equals_whole(frame, result):
