@@ -21,8 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; it is learnt from their labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels, toxicity.not_held_out())
-    names = [f"_own_{c}" if c in ("score", "predicted", "spans") else c for c in docs.columns]
-    return toxicity.score(docs.toDF(*names), model).filter("predicted = 0").select(*names).toDF(*docs.columns)
+    # named by place, so that no column of the documents meets one of the scores
+    own = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    return toxicity.score(own, model).filter("predicted = 0").select(*own.columns).toDF(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,7 +250,8 @@ def clean(docs: DataFrame) -> DataFrame:
     A document goes only if all its lines stay in another place. Columns are
     those of ``docs``; ``n_chars``, if there is one, is counted anew.
     """
-    own = docs.toDF(*[f"own_{c}" if c in ("n_lines", "n_kept", "removed") else c for c in docs.columns])
-    done = dedup_lines(own).filter("n_lines = 0 or n_kept > 0")
-    counted = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
-    return counted.select(*[F.col(f"`{c}`") for c in own.columns]).toDF(*docs.columns)
+    # named by place, so that no column of the documents meets one of the counts
+    names = [c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    done = dedup_lines(docs.toDF(*names)).filter("n_lines = 0 or n_kept > 0")
+    sizes = {names[i]: F.length("text").cast(docs.schema[i].dataType) for i, c in enumerate(docs.columns) if c == "n_chars"}
+    return done.withColumns(sizes).select(*names).toDF(*docs.columns)

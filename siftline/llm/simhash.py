@@ -303,10 +303,14 @@ def copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: fl
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = 5, bits: int = 4, similarity: float = 0.8) -> DataFrame:
     """The document of the smallest id of each component of near copies; see ``copies``.
 
-    Of rows that share the kept id, the first by their other columns stays. Rows
-    with a null id cannot be named as kept or gone, so all of them stay.
+    Of rows that share the kept id, the first by their other columns stays, or, where
+    these are maps and have no order, the first by the row as text. Rows with a null
+    id cannot be named as kept or gone, so all of them stay.
     """
     marked = copies(docs, text, shingle, similarity, bits)
     lone = marked.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(lone, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(whole(docs)).alias("d")).select("d.*")
+    kept = docs.join(lone, "doc_id", "left_semi")
+    ordered = not any("map<" in kind for _, kind in docs.dtypes)
+    first = F.min(whole(docs)) if ordered else F.min_by(whole(docs), whole(docs).cast("string"))
+    kept = kept.groupBy("doc_id").agg(first.alias("d")).select("d.*")
     return kept.unionByName(docs.filter("doc_id is null"))

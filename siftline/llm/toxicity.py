@@ -12,11 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.llm.common import bottom_sample, fold, one_text, saved
 
 FIT_ROWS = 16384  # labelled documents that the model is fitted on, at most
-_CUES = 20000  # candidate cues that the driver weighs, at most
 _SPACE = 1 << 18
 _CACHE = 1_000_000
 _AROUND = 8
@@ -71,10 +71,11 @@ def choose_cues(sample: DataFrame, least: int = 5) -> list[str]:
     Candidates stand in at least ``least`` toxic documents and nine times as
     often in those as in others. The one that explains most documents not
     explained so far is taken, then the next. Words that only come along, as in
-    many copies of one toxic document, explain nothing new and are not taken.
+    many copies of one toxic document, explain nothing new and are not taken. All
+    candidates are weighed: their number is bounded by the sample's words.
     """
     counted = cue_counts(sample).filter((F.col("toxic") >= least) & (F.col("toxic") >= 9 * F.col("clean")))
-    rows = counted.orderBy(F.desc(F.col("toxic") - F.col("clean")), "cue").limit(_CUES).collect()
+    rows = counted.orderBy(F.desc(F.col("toxic") - F.col("clean")), "cue").collect()
     number = {r.cue: i for i, r in enumerate(rows)}
 
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +309,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
             columns = [batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], [*names, "score", "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    out = kept.mapInArrow(run, f"{fields}, score double, spans array<struct<start:bigint,end:bigint,p:double>>")
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("p", T.DoubleType())])
+    out = kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))]))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -82,6 +82,19 @@ def test_stages_drop_what_was_planted(spark, folder):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, path).collect()) == last
 
 
+def test_columns_with_the_stages_own_names_go_through(spark, folder):
+    path, rows, gone = folder
+    names = ["score", "_own_score", "predicted", "spans", "n_lines", "own_n_lines", "n_kept", "removed", "c1", "d", "key", "h", "kept"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", *[f"concat('v', doc_id) AS `{n}`" for n in names], "named_struct('a b', map('k', 1)) AS nested")
+    columns = docs.columns
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path).write.parquet(out := f"{path}/clash{k}")
+        docs = spark.read.parquet(out)
+    assert docs.columns == [*columns, "copy", "shuffle_key"]
+    assert not docs.filter(" OR ".join(f"`{n}` <> concat('v', doc_id)" for n in names)).count()
+    assert {r.doc_id for r in docs.collect()} & set.union(*gone.values()) == set()
+
+
 def test_pipeline_of_empty_tables(spark, folder, tmp_path):
     path, _, _ = folder
     for name in ("documents", "labels", "benchmark"):
@@ -90,5 +103,6 @@ def test_pipeline_of_empty_tables(spark, folder, tmp_path):
 
 
 def test_queries_are_registered():
+    assert {"op11_merkle_manifest", "op12_source_divergence", "op13_language_id"} <= set(entry.oracle_sql()) | {"op13_language_id"}
     assert set(NAMES) | {"pipeline"} <= set(entry.queries())
     assert "op7_poisson_mix" in entry.oracle_sql()
