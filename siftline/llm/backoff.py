@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import gc
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import as_bytes, saved, words
+from siftline.llm.common import as_bytes, words
 
 END = b" "  # no word holds a space
-_BITS = 20
 _CACHE = 1_500_000
-_BLOCK = 2_000_000
-_FILTER = 27
-_FIGURES = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
-_SENT = "bucket bigint, block bigint, word boolean, keys binary, times binary, rows binary"
-_FOUND = "block bigint, rows binary, known binary, base binary, score binary"
+_BLOCK = 500_000
+_BUCKET = 1_000_000
+_SENT = "bucket bigint, block bigint, size bigint, keys binary, counts binary"
+_FOUND = "bucket bigint, block bigint, size bigint, counts binary"
+_SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _hash(word: bytes) -> int:
@@ -44,14 +42,6 @@ class _Vocabulary(dict):
         return number
 
 
-def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """1-based position of each key in ``sorted_keys``, 0 where it is missing."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at + 1, 0)
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(h, n)``: occurrences of each word and of the end, by the word's 64-bit hash."""
 
@@ -85,20 +75,118 @@ def _long_hash(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
-def joined_keys(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Keys of the n-grams with these (n-1)-grams at their ends: Spark's ``xxhash64(prefix, suffix)``."""
-    return _long_hash(suffix.view(np.uint64), _long_hash(prefix.view(np.uint64), np.uint64(42))).view(np.int64)
+def joined_keys(states: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Keys of the arcs with these sources and words: Spark's ``xxhash64(state, word)``."""
+    return _long_hash(labels.view(np.uint64), _long_hash(states.view(np.uint64), np.uint64(42))).view(np.int64)
+
+
+def ngrams(keys: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams of texts whose words follow one another in ``keys``, ``rows`` naming each word's text.
+
+    Gives their sorted keys and, for each length from 1 to ``order``, the words at
+    which an n-gram of that length ends and its place among the keys. The key of an
+    n-gram is that of the arc that reads its last word after the others.
+    """
+    at, ends, made = np.arange(len(keys)), [], []
+    longer = keys
+    for n in range(1, order + 1):
+        if n > 1:
+            near = (at + 1 < len(keys)) & (rows[at] == rows[np.minimum(at + 1, len(keys) - 1)])
+            longer, at = longer[near], at[near] + 1
+            longer = joined_keys(longer, keys[at])
+        ends.append(at)
+        made.append(longer)
+    distinct, places = np.unique(np.concatenate(made).view(np.uint64), return_inverse=True)
+    return distinct, ends, np.split(places, np.cumsum([len(m) for m in made])[:-1])
+
+
+def automaton(counts: np.ndarray, ends: list[np.ndarray], places: list[np.ndarray], ground: float, strength: float) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """States and arcs of the n-grams of ``ngrams`` with these training counts, and the arcs along the texts.
+
+    State 0 is the root; state k + 1 is the k-th n-gram, if it occurs in training
+    and is shorter than the order. Arc k + 1 reads the last word of the k-th n-gram
+    in the state of the words before; there is one for each n-gram that occurs, and
+    the root has one for every word. ``target`` is the n-gram's own state, or its
+    suffix's if it is of the last order. ``fail`` leads to the longest proper
+    suffix, at the weight ``backoff``. With counts c and strength m,
+
+        P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m),   b(h) = m / (c(h) + m),
+
+    and (c(w) + 0.5) / ``ground`` at the root. Every n-gram of the training
+    texts has a part, however rare, and the probabilities after a state sum to 1.
+
+    The second result holds, for each length, the arc that reads a word after the
+    n - 1 words before it: one entry per word, 0 where there is none.
+    """
+    size, words_ = len(counts) + 1, len(ends[0])
+    count = np.append(0, counts)
+    chance, target, fail, depth = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.uint8)
+    before = np.zeros(words_, np.int64)
+    arcs = []
+    for n, (at, place) in enumerate(zip(ends, places), 1):
+        own = place + 1
+        here = np.zeros(words_, np.int64)
+        here[at] = own
+        if n == 1:
+            chance[own] = (count[own] + 0.5) / ground
+        else:
+            suffix, history = before[at], before[at - 1]
+            chance[own] = (count[own] + strength * chance[suffix]) / (count[history] + strength)
+            fail[own] = suffix
+        seen = count[own] > 0
+        target[own] = np.where(seen, fail[own] if n == len(ends) else own, 0)
+        depth[own] = n
+        before = here
+        arcs.append(here if n == 1 else np.where(count[here] > 0, here, 0))
+    logs = np.log10(chance, out=np.zeros(size), where=chance > 0)
+    return {"weight": logs, "target": target, "backoff": np.log10(strength / (count + strength)), "fail": fail, "depth": depth}, arcs
+
+
+def walker(tables: dict[str, np.ndarray], arcs: list[np.ndarray]) -> Callable[[int, int], float]:
+    """Function of the first word and the one after the last of a text to the text's log10 probability.
+
+    One pass from left to right, beginning at the root. Where the state has no arc
+    for the word, its backoff weight is added and its failure arc followed.
+    """
+    kinds = {"weight": "d", "backoff": "d", "target": "q", "fail": "q", "depth": "B"}
+    weight, backoff, target, fail, depth = (array(kinds[c], tables[c].tobytes()) for c in ("weight", "backoff", "target", "fail", "depth"))
+    after = [array("q", a.tobytes()) for a in arcs]
+
+    def walk(start: int, stop: int) -> float:
+        state, score = 0, 0.0
+        for i in range(start, stop):
+            arc = after[depth[state]][i]
+            while not arc:
+                score += backoff[state]
+                state = fail[state]
+                arc = after[depth[state]][i]
+            score += weight[arc]
+            state = target[arc]
+        return score
+
+    return walk
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: equal high bytes take next to no room."""
+    return pa.compress(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, size: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of a schema of long, boolean and binary columns."""
-    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    """Rows of a schema of long and binary columns."""
+    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
     fields = [pa.field(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
 
 
 class _Texts:
-    """Words of some texts one after another: their hashes and their texts' positions."""
+    """A block: its texts' ids and folds, and their words one after another."""
 
     def __init__(self) -> None:
         self.cache = _Vocabulary()
@@ -107,348 +195,134 @@ class _Texts:
     def clear(self) -> None:
         self.flat: list[int] = []
         self.sizes: list[int] = []
+        self.ids: list[int | None] = []
+        self.held: list[bool] = []
         if len(self.cache) > _CACHE:
             self.cache = _Vocabulary()
 
-    def add(self, text: bytes) -> None:
+    def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
         before = len(self.flat)
         self.flat += map(self.cache.__getitem__, words(text))
         self.flat.append(self.cache[END])
         self.sizes.append(len(self.flat) - before)
+        self.ids.append(doc_id)
+        self.held.append(held)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        hashes = np.array(self.cache.hashes, np.uint64).view(np.int64)
-        return hashes[np.array(self.flat, np.int64)], np.repeat(np.arange(len(self.sizes)), self.sizes)
-
-
-def _longer(keys: np.ndarray, at: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-grams of ``size`` from the (n-1)-grams ``keys`` that begin at words ``at``: ends' keys, beginnings."""
-    if len(keys) < 2:
-        return keys[:0], keys[:0], at[:0]
-    near = (at[1:] == at[:-1] + 1) & (rows[at[:-1]] == rows[at[1:] + size - 2])
-    return keys[:-1][near], keys[1:][near], at[:-1][near]
-
-
-def kept_bits(grams: DataFrame) -> np.ndarray:
-    """Bitmap with the bit of each key set: a key whose bit is not set is not in ``grams``. Of one size at any number of rows."""
-    found = (
-        grams.select(F.xxhash64("p", "s").alias("key"))
-        .select(F.expr(f"cast(shiftright(key, 6) & {(1 << _FILTER - 6) - 1} as int)").alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
-        .groupBy("at")
-        .agg(F.bit_or("bit").alias("bits"))
-        .toArrow()
-    )
-    bits = np.zeros(1 << _FILTER - 6, np.int64)
-    bits[found["at"].to_numpy()] = found["bits"].to_numpy()
-    return bits
-
-
-def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return bits[keys >> 6 & len(bits) - 1] >> (keys & 63) & 1 > 0
-
-
-def ngram_counts(docs: DataFrame, text: str, size: int, filters) -> DataFrame:
-    """``(p, s, n)`` of all n-grams of ``size`` words that occur twice or more.
-
-    ``p`` and ``s`` are the keys of the (n-1)-grams at both ends. Both occur at
-    least as often, so n-grams whose ends are not in ``filters``, the bitmaps of
-    the shorter ones, need no count.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = _Texts()
-
-        def flush() -> pa.RecordBatch:
-            keys, rows = texts.words()
-            at = np.arange(len(keys))
-            for n in range(2, size + 1):
-                p, s, at = _longer(keys, at, rows, n)
-                keys = joined_keys(p, s)
-                if n < size:
-                    own = _maybe(filters.value[n - 2], keys)
-                    keys, at = keys[own], at[own]
-            _, first, n = np.unique(keys, return_index=True, return_counts=True)
-            texts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(p[first]), pa.array(s[first]), pa.array(n.astype(np.int64))], ["p", "s", "n"])
-
-        for batch in batches:
-            for t in as_bytes(batch.column(0)):
-                texts.add(t)
-                if len(texts.flat) > _BLOCK:
-                    yield flush()
-        yield flush()
-
-    grams = docs.select(F.col(text).cast("string")).mapInArrow(run, "p bigint, s bigint, n bigint").groupBy("p", "s").agg(F.sum("n").alias("n"))
-    return grams.filter("n >= 2")
-
-
-def _let_go(spark: SparkSession) -> None:
-    """Shuffle files of tables that are written go when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def with_backoff(contexts: DataFrame, grams: DataFrame, discount: float) -> DataFrame:
-    """``contexts`` with ``left``, the backoff weight that their discounted ``grams`` leave."""
-    used = grams.groupBy("p").agg(F.sum(F.col("n") - F.lit(discount)).alias("used")).withColumnRenamed("p", "key")
-    left = F.greatest(F.lit(1.0) - F.coalesce("used", F.lit(0.0)) / F.col("n"), F.lit(1e-12))
-    return contexts.join(used, "key", "left").withColumn("left", left).drop("used")
-
-
-def arcs(grams: DataFrame, contexts: DataFrame, discount: float) -> DataFrame:
-    """``(key, n, chance, own)`` of n-grams: P(last word | the others), and log10 of it over what backing off gives."""
-    before = contexts.select(F.col("key").alias("p"), F.col("n").alias("c"), "left")
-    after = contexts.select(F.col("key").alias("s"), F.col("chance").alias("lower"))
-    chance = (F.col("n") - F.lit(discount)) / F.col("c") + F.col("left") * F.col("lower")
-    found = grams.join(before, "p").join(after, "s").withColumn("chance", chance)
-    return found.select(F.xxhash64("p", "s").alias("key"), "n", "chance", (F.log10("chance") - F.log10("left") - F.log10("lower")).alias("own"))
-
-
-def automaton(counts: np.ndarray, known: int, total: int, grams: list[tuple[np.ndarray, np.ndarray]], discount: float) -> dict[str, np.ndarray]:
-    """States are n-grams, each with a failure arc to its longest proper suffix.
+    def written(self) -> tuple[pa.Table, bytes]:
+        """The block as a table of one row of lists, and as bytes."""
+        used, numbers = np.unique(np.array(self.flat, np.int64), return_inverse=True)
+        names = np.array(self.cache.hashes, np.uint64).view(np.int64)[used]
+        columns = {"doc_id": pa.array(self.ids, pa.int64()), "held_out": pa.array(self.held, pa.bool_()), "size": pa.array(self.sizes, pa.int64()), "word": pa.array(names), "number": pa.array(numbers.astype(np.int32))}
+        block = pa.table({c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in columns.items()})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(block)
+        return block, sink.getvalue().to_pybytes()
 
-    An arc (state, word) holds log10 of the word's probability after the state
-    and the next state. If a state has no arc for a word, its backoff weight is
-    added and the failure arc followed; the root knows every word. With counts c
-    and discount d, P(w|h) = (c(hw) - d) / c(h) + b(h) P(w|h') for kept n-grams and
-    b(h) P(w|h') for the others; b(h) is what the discounts and the n-grams that
-    were not kept leave over, so the probabilities after a state sum to 1.
-    ``score_texts`` sums the same weights from tables, without an automaton.
 
-    State 0 is the root, then come the words, the 2-grams and so on. ``down`` is
-    the sum of the backoff weights from a state to the root.
-    """
-    ground = total + 0.5 * (known + 1)
-    word = np.concatenate([[0.0], (counts + 0.5) / ground])
-    n = len(counts) + 1
-    starts = np.cumsum([n, *[len(keys) for keys, _ in grams]])
-    backoff, fail = [np.zeros(n)], [np.zeros(n, np.int64)]
-    source, label, weight, target = [[np.empty(0, np.int64)] for _ in range(4)]
-    contexts, context_n, first, chance = np.arange(n), np.concatenate([[0], counts]), 0, word
-    for number, (keys, c) in enumerate(grams):
-        last, suffix = keys & ((1 << _BITS) - 1), keys & ((1 << (number + 1) * _BITS) - 1)
-        at, shorter = np.searchsorted(contexts, keys >> _BITS), np.searchsorted(contexts, suffix)
-        share = (c - discount) / context_n[at]
-        left = np.maximum(1 - np.bincount(at, share, len(contexts)), 1e-12)
-        chance = share + left[at] * chance[shorter]
-        backoff[-1] = np.log10(left)
-        backoff.append(np.zeros(len(keys)))
-        fail.append(first + shorter)
-        source.append(first + at)
-        label.append(last)
-        weight.append(np.log10(chance))
-        # a gram of the last order is no state: its suffix is the next one
-        target.append(starts[number] + np.arange(len(keys)) if number + 1 < len(grams) else first + shorter)
-        contexts, context_n, first = keys, c, starts[number]
-    down, fails = np.concatenate(backoff), np.concatenate(fail)
-    own = down.copy()
-    for i in range(n, len(down)):  # a suffix has a smaller number
-        down[i] += down[fails[i]]
-    logs = np.log10(word, out=np.zeros_like(word), where=word > 0)
-    arcs = [np.concatenate(x) for x in (source, label, weight, target)]
-    return {"source": arcs[0], "label": arcs[1], "weight": arcs[2], "target": arcs[3], "backoff": own, "fail": fails, "down": down, "word": logs}
-
-
-def walker(tables: dict[str, np.ndarray]) -> Callable[[list[int]], float]:
-    """Function of word numbers (0: no arc knows the word) to log10 of what the arcs give.
-
-    A word 0 gives only the backoff weights on the way to the root; its own
-    probability there is the caller's to add.
-    """
-    keys = (tables["source"] << _BITS | tables["label"]).tolist()
-    arcs = dict(zip(keys, zip(tables["weight"].tolist(), tables["target"].tolist())))
-    backoff, fail, down, word = (tables[x].tolist() for x in ("backoff", "fail", "down", "word"))
-
-    def walk(tokens: list[int]) -> float:
-        state, score = 0, 0.0
-        for w in tokens:
-            if not w:
-                if state:
-                    score += down[state]
-                    state = 0
-                continue
-            while state:
-                hit = arcs.get(state << _BITS | w)
-                if hit:
-                    score += hit[0]
-                    state = hit[1]
-                    break
-                score += backoff[state]
-                state = fail[state]
-            else:
-                score += word[w]
-                state = w
-        return score
-
-    return walk
+def _read(block: pa.Table) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray]:
+    """Columns of a block, the hashes of its words and the number of each word's text."""
+    lists = {c: block[c].combine_chunks().flatten() for c in block.column_names}
+    keys = lists["word"].to_numpy()[lists["number"].to_numpy()]
+    return lists, keys, np.repeat(np.arange(len(lists["size"])), lists["size"].to_numpy())
 
 
-def score_texts(
-    docs: DataFrame,
-    held_out: Column,
-    text: str = "text",
-    order: int = 3,
-    word_share: float = 1e-6,
-    state_share: float = 2e-5,
-    gram_share: float = 1e-6,
-    discount: float = 0.5,
-) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: int = 3, strength: float = 128.0) -> DataFrame:
     """log10 probability of every text, learnt from the rows that are not ``held_out``.
 
-    Tokens are the words and one end. All training tokens are counted. The root
-    gives every word (c + 0.5) / (N + 0.5 (V + 1)). All n-grams of at most
-    ``order`` words that occur twice or more are kept, in tables, with the
-    weights that ``automaton`` describes. A text's score is a sum over its n-grams:
-    a word adds log10 of its probability at the root, a kept n-gram log10 of its
-    probability over what backing off would give, and each of both its own
-    backoff weight, as everything but a text's end is a context once.
-
-    Words with a share of ``word_share`` or more of the tokens and n-grams with
-    one of ``gram_share`` (at most 1/share of each, at any size) are sent to all
-    tasks. The others are joined: texts are taken in blocks of a bounded
-    number of words, a block sends each distinct n-gram once with the texts it
-    stands in, packed by ranges of keys, and gets its texts' sums of the kept ones'
-    values. Ranges and blocks grow in number, not in size. Bitmaps of one size keep
-    n-grams that surely have no value out of the join; they lose none.
-    ``state_share`` has no effect any more: every word is a state.
+    Tokens are the words and one end. All training tokens and all their n-grams of
+    at most ``order`` words are counted; the smoothing is that of ``automaton``.
+    Texts are taken in blocks of a bounded number of words (a longer text is a
+    block of its own). A block sends each of its distinct n-grams once, by an 8-byte
+    key, with its number in the block's training texts, to the bucket of the key's
+    range; the bucket adds the numbers up and sends the sums back. From them the
+    block builds the states, arcs and failure arcs of its own n-grams, which are
+    all that its texts can reach, and walks each text once.
+
+    Blocks and buckets grow in number with the corpus, not in size. A bucket has
+    a frequent n-gram at most once from each block. Blocks are read in the order of the
+    rows, so ``docs`` should come from files or a written table; if a lost
+    executor's rows came in another order, the block would not fit its counts
+    and the query would fail rather than give wrong scores.
 
     Gives ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for each row of ``docs``. A null text is the empty one (one token,
     the end); a null ``held_out`` counts as false; repeated rows stay. With no
     training rows every token has probability 1 at the root.
     """
-    spark = docs.sparkSession
     marked = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")
     )
-    train = marked.filter(~F.col("held_out"))
-    unigrams = saved(word_counts(train, "text"), "words")
-    row = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("known")).first()
-    total, known = int(row.total), int(row.known)
-    ground = total + 0.5 * (known + 1)
-    chance = (F.col("n") + F.lit(0.5)) / F.lit(ground)
-    contexts = unigrams.select(F.col("h").alias("key"), "n", chance.alias("chance"), F.log10(chance).alias("own"))
-    filters: list[np.ndarray] = []
-    tables: list[DataFrame] = []
-    for size in range(2, order + 1):
-        grams = saved(ngram_counts(train, "text", size, spark.sparkContext.broadcast(filters)), "grams")
-        _let_go(spark)
-        if grams.isEmpty():
-            break
-        filters.append(kept_bits(grams))
-        tables.append(saved(with_backoff(contexts, grams, discount), "contexts"))
-        contexts = arcs(grams, tables[-1], discount)
-    tables.append(saved(contexts.select("key", "n", "own", F.lit(1.0).alias("left")), "contexts"))
-    del contexts
-    _let_go(spark)
-    values = [t.select("key", "n", (F.lit(None).cast("double") if k else F.col("own")).alias("base"), (F.col("own") + F.log10("left")).alias("value")) for k, t in enumerate(tables)]
-    shares = [word_share, *[gram_share] * len(filters)]
-    often = []
-    for t, share in zip(values, shares):
-        found = t.filter(F.col("n") >= F.lit(share * total)).toArrow()
-        by = np.argsort(found["key"].to_numpy())
-        often.append((found["key"].to_numpy()[by], *(np.append(0.0, found[c].to_numpy().astype(float)[by]) for c in ("base", "value"))))
-    model = spark.sparkContext.broadcast((often, filters))
-    shift = 64 - max(6, (total // _BLOCK).bit_length())
+    row = word_counts(marked.filter(~F.col("held_out"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("known")).first()
+    total = int(row.total)
+    ground = total + 0.5 * (int(row.known) + 1)
+    shift = np.uint64(64 - max(6, (total // _BUCKET).bit_length()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (own_words, *cached), bits = model.value
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = _Texts()
-        ids: list[int | None] = []
-        held: list[bool] = []
         block = TaskContext.get().partitionId() << 33
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             nonlocal block
             block += 1
-            keys, rows = texts.words()
-            total_rows = len(ids)
-            place = _places(own_words[0], keys)
-            base = np.bincount(rows, own_words[1][place], total_rows)
-            score = np.bincount(rows, own_words[2][place], total_rows)
-            figures = [np.array(texts.sizes, np.int64), np.bincount(rows, place > 0, total_rows).astype(np.int64), base]
-            yield postings(keys[place == 0], rows[place == 0], True)
-            at = np.arange(len(keys))
-            for n, (often, maybe) in enumerate(zip(cached, bits), 2):
-                p, s, at = _longer(keys, at, rows, n)
-                keys = joined_keys(p, s)
-                own = _maybe(maybe, keys)
-                keys, at = keys[own], at[own]
-                place = _places(often[0], keys)
-                score += np.bincount(rows[at], often[2][place], total_rows)
-                yield postings(keys[place == 0], rows[at[place == 0]], False)
-            table = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *map(pa.array, (*figures, score))], _FIGURES)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_batch(table)
-            spread = xxhash.xxh64_intdigest(block.to_bytes(8, "little")) - (1 << 63) >> shift
-            yield _batch(_SENT, [(spread, block, None, None, None, sink.getvalue().to_pybytes())])
+            table, whole = texts.written()
+            lists, keys, rows = _read(table)
+            distinct, ends, places = ngrams(keys, rows, order)
+            learnt = ~lists["held_out"].to_numpy(zero_copy_only=False)[rows]
+            counts = sum(np.bincount(p[learnt[at]], minlength=len(distinct)) for at, p in zip(ends, places))
             texts.clear()
-            ids.clear()
-            held.clear()
-
-        def postings(keys: np.ndarray, rows: np.ndarray, word: bool) -> pa.RecordBatch:
-            by = np.argsort(keys, kind="stable")
-            keys, rows = keys[by], rows[by].astype(np.uint16)
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-            keys, times = keys[starts], np.diff(np.append(starts, len(keys))).astype(np.uint32)
-            bucket = keys >> shift
-            cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]).tolist(), len(bucket)]
-            ends = np.append(starts, len(rows))
-            return _batch(_SENT, [(int(bucket[i]), block, word, keys[i:j].tobytes(), times[i:j].tobytes(), rows[ends[i] : ends[j]].tobytes()) for i, j in pairwise(cuts)])
+            bucket = distinct >> shift
+            cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(bucket)]
+            # the block itself goes along with one of its buckets
+            out = [(int(bucket[block % len(bucket)]), block, None, None, whole)]
+            for i, j in pairwise(cuts):
+                out.append((int(bucket[i]), block, j - i, _pack(np.diff(distinct[i:j], prepend=np.uint64(0))), _pack(counts[i:j].astype(np.int64))))
+            return _batch(_SENT, out)
 
         for batch in batches:
-            for doc_id, t, h in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                texts.add(t)
-                ids.append(doc_id)
-                held.append(h)
-                if len(texts.flat) > _BLOCK or len(ids) == 1 << 16:
-                    yield from flush()
-        if ids:
-            yield from flush()
-
-    unseen = float(np.log10(0.5 / ground))
-
-    def look_up(sent: pa.Table, kept: pa.Table) -> pa.Table:
-        names = kept["key"].to_numpy()
-        by = np.argsort(names)
-        names = names[by]
-        logs, values = (np.append(np.nan, kept[c].to_numpy().astype(float)[by]) for c in ("base", "value"))
-        out = []
-        for block, word, keys, times, rows in zip(*(sent[c].to_pylist() for c in ("block", "word", "keys", "times", "rows"))):
-            if word is None:
-                out.append((block, rows, None, None, None))
-                continue
-            place = np.repeat(_places(names, np.frombuffer(keys, np.int64)), np.frombuffer(times, np.uint32))
-            at = np.frombuffer(rows, np.uint16)
-            if not word:
-                place, at = place[place > 0], at[place > 0]
-            if not len(at):
-                continue
-            own, at = np.unique(at, return_inverse=True)
-            sums = [np.bincount(at, place > 0), np.bincount(at, np.where(place > 0, logs[place], unseen))] if word else []
-            sums.append(np.bincount(at, np.where(place > 0, values[place], unseen)))
-            out.append((block, own.tobytes(), *[None] * (3 - len(sums)), *(x.tobytes() for x in sums)))
+            for doc_id, t, held in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+                texts.add(doc_id, held, t)
+                if len(texts.flat) > _BLOCK:
+                    yield flush()
+        if texts.ids:
+            yield flush()
+
+    def add_up(sent: pa.Table) -> pa.Table:
+        rows = list(zip(*(sent[c].to_pylist() for c in ("bucket", "block", "size", "keys", "counts"))))
+        out = [(bucket, block, None, whole) for bucket, block, size, _, whole in rows if size is None]
+        rows = [r for r in rows if r[2] is not None]
+        if rows:
+            keys = np.concatenate([np.cumsum(_unpack(k, n, np.uint64), dtype=np.uint64) for _, _, n, k, _ in rows])
+            counts = np.concatenate([_unpack(c, n, np.int64) for _, _, n, _, c in rows])
+            by = np.argsort(keys, kind="stable")
+            keys = keys[by]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            sums = np.add.reduceat(counts[by], starts)
+            counts[by] = np.repeat(sums, np.diff(np.append(starts, len(keys))))
+            cuts = np.cumsum([0, *[r[2] for r in rows]]).tolist()
+            out += [(r[0], r[1], r[2], _pack(counts[i:j])) for r, (i, j) in zip(rows, pairwise(cuts))]
         return pa.Table.from_batches([_batch(_FOUND, out)])
 
-    def finish(table: pa.Table) -> pa.Table:
-        parts = list(zip(*(table[c].to_pylist() for c in ("rows", "known", "base", "score"))))
-        whole = pa.ipc.open_stream(next(p[0] for p in parts if p[3] is None)).read_all()
-        sums = [whole[c].to_numpy().astype(float) for c in _FIGURES[3:]]
-        for rows, *found in parts:
-            for total_, part in zip(sums, found):
-                if part is not None:
-                    total_[np.frombuffer(rows, np.uint16)] += np.frombuffer(part)
-        out = [whole["doc_id"], whole["held_out"], whole["n_tokens"], *map(pa.array, (sums[0].astype(np.int64), np.full(len(whole), total), *sums[1:]))]
-        return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    parts = marked.mapInArrow(run, _SENT)
-    rest = [t.filter(F.col("n") < F.lit(share * total)).select("key", "base", "value") for t, share in zip(values, shares)]
-    kept = reduce(DataFrame.unionByName, rest).withColumn("bucket", F.shiftright("key", shift))
-    return (
-        parts.groupBy("bucket")
-        .cogroup(kept.groupBy("bucket"))
-        .applyInArrow(look_up, _FOUND)
-        .groupBy("block")
-        .applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    )
+    def score(found: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(found[c].to_pylist() for c in ("bucket", "size", "counts"))), key=lambda r: (r[1] is not None, r[0]))
+        lists, keys, of = _read(pa.ipc.open_stream(rows[0][2]).read_all())
+        distinct, ends, places = ngrams(keys, of, order)
+        counts = np.concatenate([_unpack(c, n, np.int64) for _, n, c in rows[1:]])
+        if len(counts) != len(distinct):
+            raise RuntimeError(f"a block of {len(distinct)} n-grams got {len(counts)} counts: its rows came in another order")
+        own, texts = counts[places[0]], len(lists["size"])
+        walk = walker(*automaton(counts, ends, places, ground, strength))
+        stops = np.cumsum(lists["size"].to_numpy()).tolist()
+        out = [
+            lists["doc_id"],
+            lists["held_out"],
+            lists["size"],
+            pa.array(np.bincount(of, own > 0, texts).astype(np.int64)),
+            pa.array(np.full(texts, total)),
+            pa.array(np.bincount(of, np.log10((own + 0.5) / ground), texts)),
+            pa.array([walk(i, j) for i, j in pairwise([0, *stops])], pa.float64()),
+        ]
+        return pa.table(out, names=[c.split()[0] for c in _SCORED.split(", ")])
+
+    counted = marked.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(add_up, _FOUND)
+    return counted.groupBy("block").applyInArrow(score, _SCORED)

@@ -36,67 +36,61 @@ def test_base_scores(spark):
     assert sum(r.score for r in found) > sum(r.base_score for r in found)
 
 
-def brute(counts, grams, order, discount, known, total, history, word):
-    """P(word | history) by the recursion over kept n-grams."""
+def learnt(rows, order=3):
+    """Counts of all n-grams of the training texts, by tuple."""
+    found = Counter()
+    for t in (words(t) for i, t in rows if not held(i)):
+        for n in range(1, order + 1):
+            found.update(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
+    return found
+
+
+def brute(found, strength, history, word):
+    """P(word | history) by recursion; an unknown history says nothing."""
     if not history:
-        return (counts.get(word, 0) + 0.5) / (total + 0.5 * (known + 1))
-    lower = brute(counts, grams, order, discount, known, total, history[1:], word)
-    size = grams.get(history) if len(history) > 1 else counts.get(history[0])
-    after = {g: n for g, n in grams.items() if len(g) == len(history) + 1 and g[:-1] == history}
-    if not after or len(history) >= order:
-        return lower
-    left = 1 - sum((n - discount) / size for n in after.values())
-    gram = (*history, word)
-    return (after[gram] - discount) / size + left * lower if gram in after else left * lower
-
-
-def test_scores_follow_the_recursion(spark):
-    found = backoff.score_texts(spark.createDataFrame(TEXTS, SCHEMA), fold("doc_id") == 1).collect()
-    train = [words(t) for i, t in TEXTS if not held(i)]
-    counts = Counter(w for t in train for w in t)
-    total = sum(counts.values())
-    grams = {}
-    for n in (2, 3):
-        seen = Counter(tuple(t[i : i + n]) for t in train for i in range(len(t) - n + 1))
-        grams |= {g: c for g, c in seen.items() if c >= max(2, 1e-6 * total) and (n == 2 or (g[:-1] in grams and g[1:] in grams))}
-    by = {}
-    for r in found:
-        by.setdefault(r.doc_id, []).append(r.score)
-    for i, t in TEXTS[:47]:
-        if i == 60:
-            continue
-        w = words(t)
-        # the walk begins at the root, not in a state for a text's start
-        score = sum(math.log10(brute(counts, grams, 3, 0.5, len(counts), total, tuple(w[max(0, k - 2) : k]), w[k])) for k in range(len(w)))
-        assert any(abs(score - s) < 1e-6 for s in by[i]), (i, t, score, by[i])
-
-
-def test_scores_of_rare_words_are_joined(spark):
-    whole = backoff.score_texts(spark.createDataFrame(TEXTS, SCHEMA), fold("doc_id") == 1, order=1).collect()
-    joined = backoff.score_texts(spark.createDataFrame(TEXTS, SCHEMA), fold("doc_id") == 1, order=1, word_share=0.2, state_share=0.2).collect()
-    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6))
-    assert sorted(map(key, whole)) == sorted(map(key, joined))
-
-
-def test_ngrams_below_every_share_count(spark):
+        ones = {g: c for g, c in found.items() if len(g) == 1}
+        return (ones.get((word,), 0) + 0.5) / (sum(ones.values()) + 0.5 * (len(ones) + 1))
+    lower = brute(found, strength, history[1:], word)
+    return (found[(*history, word)] + strength * lower) / (found[history] + strength)
+
+
+def brute_score(found, text, order=3, strength=128.0):
+    w = words(text)
+    seen = {}
+    total = 0.0
+    for k in range(len(w)):
+        key = (tuple(w[max(0, k - order + 1) : k]), w[k])
+        if key not in seen:
+            seen[key] = math.log10(brute(found, strength, *key))
+        total += seen[key]
+    return total
+
+
+@pytest.mark.parametrize("order, strength", [(3, 128.0), (1, 64.0), (2, 0.25), (4, 3.0)])
+def test_walk_follows_the_recursion(spark, order, strength):
+    found = backoff.score_texts(spark.createDataFrame(TEXTS, SCHEMA), fold("doc_id") == 1, order=order, strength=strength).collect()
+    grams = learnt(TEXTS, order)
+    wanted = sorted((str(i), round(brute_score(grams, t, order, strength), 5)) for i, t in TEXTS)
+    assert sorted((str(r.doc_id), round(r.score, 5)) for r in found) == wanted
+
+
+def test_counts_meet_over_blocks_and_buckets(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 60, 70))) for i in range(60)]
     rows += [(100 + i, " ".join(["and"] * 3000)) for i in range(3)] + [(None, "w1 w2 new w1 w2 w3"), (5, rows[5][1])]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    train = [words(t) for i, t in rows if not held(i)]
-    counts = Counter(w for t in train for w in t)
-    total, grams = sum(counts.values()), {}
-    for n in (2, 3):
-        grams |= {g: c for g, c in Counter(tuple(t[i : i + n]) for t in train for i in range(len(t) - n + 1)).items() if c >= 2}
-    wanted = []
-    for i, t in rows:
-        w = words(t)
-        seen = {k: brute(counts, grams, 3, 0.5, len(counts), total, k[:-1], k[-1]) for k in {tuple(w[max(0, k - 2) : k + 1]) for k in range(len(w))}}
-        wanted.append((str(i), round(sum(math.log10(seen[tuple(w[max(0, k - 2) : k + 1])]) for k in range(len(w))), 5)))
-    # nothing is frequent enough to be sent along: all comes from the joins
-    for shares in ({"word_share": 0.2, "state_share": 0.2, "gram_share": 0.2}, {}):
-        found = backoff.score_texts(docs, fold("doc_id") == 1, **shares).collect()
-        assert sorted((str(r.doc_id), round(r.score, 5)) for r in found) == sorted(wanted)
+    grams = learnt(rows)
+    wanted = sorted((str(i), round(brute_score(grams, t), 5)) for i, t in rows)
+    monkeypatch.setattr(backoff, "_BUCKET", 10)
+    for block in (50, 1000):
+        monkeypatch.setattr(backoff, "_BLOCK", block)
+        for parts in (1, 5):
+            found = backoff.score_texts(spark.createDataFrame(rows, SCHEMA).repartition(parts), fold("doc_id") == 1).collect()
+            assert sorted((str(r.doc_id), round(r.score, 5)) for r in found) == wanted
+
+
+def test_packed_numbers_come_back():
+    for numbers in (np.array([0, 1, 2**64 - 1], np.uint64), np.arange(-5, 1000), np.array([7], np.int64)):
+        assert backoff._unpack(backoff._pack(numbers), len(numbers), numbers.dtype).tolist() == numbers.tolist()
 
 
 def test_keys_are_those_of_spark(spark):
@@ -105,15 +99,43 @@ def test_keys_are_those_of_spark(spark):
     assert {r.p: r.k for r in pairs} == dict(zip(keys.tolist(), backoff.joined_keys(keys, keys[::-1].copy()).tolist()))
 
 
+def automaton_of(train, texts, order, strength):
+    """The automaton of ``texts`` (lists of words), learnt from those at ``train``; its starts; the ground."""
+    numbers = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    distinct, ends, places = backoff.ngrams(np.array([numbers[w] for t in texts for w in t]), rows, order)
+    learnt_ = np.isin(rows, train)
+    counts = sum(np.bincount(p[learnt_[at]], minlength=len(distinct)) for at, p in zip(ends, places))
+    own = counts[places[0]][learnt_]
+    ground = len(own) + 0.5 * (len({w for k in train for w in texts[k]}) + 1)
+    starts = np.cumsum([0, *map(len, texts)]).tolist()
+    return backoff.automaton(counts, ends, places, ground, strength), starts, ground
+
+
 def test_probabilities_sum_to_one():
-    counts = np.array([5, 4, 3], np.int64)
-    pair = lambda a, b: a << 20 | b
-    grams = [(np.array(sorted([pair(1, 2), pair(1, 3), pair(2, 1)])), np.array([2, 2, 3]))]
-    walk = backoff.walker(backoff.automaton(counts, 3, 12, grams, 0.5))
-    unseen = math.log10(0.5 / (12 + 0.5 * 4))
-    for first in (1, 2, 3):
-        start = walk([first])
-        assert sum(10 ** (walk([first, w]) - start) for w in (1, 2, 3)) + 10 ** (walk([first, 0]) - start + unseen) == pytest.approx(1.0)
+    # the first text is learnt; the others try every word after each pair
+    learnt_ = ["a", "b", "a", "c", "a", "b", "b", "c", "a", " "]
+    letters = ["a", "b", "c", " "]
+    tries = [[x, y, w] for x in "abc" for y in "abc" for w in [*letters, "new"]]
+    starts_only = [[x, y] for x in "abc" for y in "abc"]
+    (tables, arcs), starts, _ = automaton_of([0], [learnt_, *tries, *starts_only], 3, 0.7)
+    walk = backoff.walker(tables, arcs)
+    scores = [walk(i, j) for i, j in zip(starts, starts[1:])]
+    for k in range(9):
+        before = scores[1 + len(tries) + k]
+        assert sum(10 ** (scores[1 + 5 * k + w] - before) for w in range(5)) == pytest.approx(1.0)
+
+
+def test_failure_arcs_lead_to_the_longest_known_suffix():
+    (tables, arcs), starts, ground = automaton_of([0], [["x", "y", "z", " "], ["x", "y", "y", "z"]], 3, 2.0)
+    at = starts[1]
+    pair, word = tables["target"][arcs[1][at + 1]], tables["target"][arcs[0][at + 1]]
+    assert (tables["depth"][pair], tables["depth"][word], tables["fail"][pair], tables["fail"][word]) == (2, 1, word, 0)
+    # "x y" has no arc for "y", nor has "y"; the root has
+    assert [a[at + 2] > 0 for a in arcs] == [True, False, False]
+    half = math.log10(1.5 / ground)
+    want = half + math.log10((1 + 2 * 1.5 / ground) / 3) + 2 * math.log10(2 / 3) + half + math.log10((1 + 2 * 1.5 / ground) / 3)
+    assert backoff.walker(tables, arcs)(at, starts[2]) == pytest.approx(want)
 
 
 def test_no_training_rows_and_no_rows(spark):
