@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import pairwise
 
@@ -14,14 +12,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import as_bytes, words
+from siftline.llm.common import as_bytes, saved, words
 
 END = b" "  # no word holds a space
-_CACHE = 1_500_000
-_BLOCK = 500_000
+_CACHE = 300_000
+_BLOCK = 800_000
 _BUCKET = 1_000_000
-_SENT = "bucket bigint, block bigint, size bigint, keys binary, counts binary"
-_FOUND = "bucket bigint, block bigint, size bigint, counts binary"
+_SENT = "bucket bigint, block bigint, word boolean, size bigint, keys binary, counts binary"
+_FOUND = "bucket bigint, block bigint, word boolean, size bigint, counts binary, known bigint, total bigint"
+_HELD = "block bigint, texts binary"
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
@@ -42,29 +41,6 @@ class _Vocabulary(dict):
         return number
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(h, n)``: occurrences of each word and of the end, by the word's 64-bit hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            keys = np.fromiter(map(_hash, found), np.uint64, len(found)).view(np.int64)
-            batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(found.values(), np.int64, len(found)))], ["h", "n"])
-            found.clear()
-            return batch
-
-        for batch in batches:
-            for t in as_bytes(batch.column(0)):
-                found.update(words(t))
-                found[END] += 1
-            if len(found) > _CACHE:
-                yield flush()
-        yield flush()
-
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-
-
 def _long_hash(x: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
     x = x * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x << np.uint64(31) | x >> np.uint64(33)) * np.uint64(0x9E3779B185EBCA87)
@@ -80,11 +56,12 @@ def joined_keys(states: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return _long_hash(labels.view(np.uint64), _long_hash(states.view(np.uint64), np.uint64(42))).view(np.int64)
 
 
-def ngrams(keys: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+def ngrams(keys: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Distinct n-grams of texts whose words follow one another in ``keys``, ``rows`` naming each word's text.
 
-    Gives their sorted keys and, for each length from 1 to ``order``, the words at
-    which an n-gram of that length ends and its place among the keys. The key of an
+    Gives the keys of the distinct words and of the longer n-grams, both sorted, and, for
+    each length from 1 to ``order``, the words at which an n-gram of that length ends
+    and its place among the words' keys followed by the others. The key of an
     n-gram is that of the arc that reads its last word after the others.
     """
     at, ends, made = np.arange(len(keys)), [], []
@@ -96,8 +73,10 @@ def ngrams(keys: np.ndarray, rows: np.ndarray, order: int) -> tuple[np.ndarray,
             longer = joined_keys(longer, keys[at])
         ends.append(at)
         made.append(longer)
-    distinct, places = np.unique(np.concatenate(made).view(np.uint64), return_inverse=True)
-    return distinct, ends, np.split(places, np.cumsum([len(m) for m in made])[:-1])
+    ones, first = np.unique(keys.view(np.uint64), return_inverse=True)
+    rest = np.concatenate([keys[:0], *made[1:]]).view(np.uint64)
+    others, places = np.unique(rest, return_inverse=True)
+    return ones, others, ends, [first, *np.split(places + len(ones), np.cumsum([len(m) for m in made[1:]])[:-1])][:order]
 
 
 def automaton(counts: np.ndarray, ends: list[np.ndarray], places: list[np.ndarray], ground: float, strength: float) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
@@ -120,12 +99,12 @@ def automaton(counts: np.ndarray, ends: list[np.ndarray], places: list[np.ndarra
     """
     size, words_ = len(counts) + 1, len(ends[0])
     count = np.append(0, counts)
-    chance, target, fail, depth = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, np.uint8)
-    before = np.zeros(words_, np.int64)
+    chance, target, fail, depth = np.zeros(size), np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size, np.uint8)
+    before = np.zeros(words_, np.int32)
     arcs = []
     for n, (at, place) in enumerate(zip(ends, places), 1):
         own = place + 1
-        here = np.zeros(words_, np.int64)
+        here = np.zeros(words_, np.int32)
         here[at] = own
         if n == 1:
             chance[own] = (count[own] + 0.5) / ground
@@ -148,9 +127,8 @@ def walker(tables: dict[str, np.ndarray], arcs: list[np.ndarray]) -> Callable[[i
     One pass from left to right, beginning at the root. Where the state has no arc
     for the word, its backoff weight is added and its failure arc followed.
     """
-    kinds = {"weight": "d", "backoff": "d", "target": "q", "fail": "q", "depth": "B"}
-    weight, backoff, target, fail, depth = (array(kinds[c], tables[c].tobytes()) for c in ("weight", "backoff", "target", "fail", "depth"))
-    after = [array("q", a.tobytes()) for a in arcs]
+    weight, backoff, target, fail, depth = (memoryview(tables[c]) for c in ("weight", "backoff", "target", "fail", "depth"))
+    after = [memoryview(a) for a in arcs]
 
     def walk(start: int, stop: int) -> float:
         state, score = 0, 0.0
@@ -168,25 +146,29 @@ def walker(tables: dict[str, np.ndarray], arcs: list[np.ndarray]) -> Callable[[i
 
 
 def _pack(numbers: np.ndarray) -> bytes:
-    """Numbers as compressed byte planes: equal high bytes take next to no room."""
-    return pa.compress(numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes(), codec="zstd", asbytes=True)
+    """Numbers as byte planes, each compressed: equal high bytes take next to no room."""
+    planes = [pa.compress(p.tobytes(), codec="zstd", asbytes=True) for p in numbers.view(np.uint8).reshape(len(numbers), -1).T]
+    return np.array([len(p) for p in planes], np.int32).tobytes() + b"".join(planes)
 
 
 def _unpack(packed: bytes, size: int, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(packed, decompressed_size=size * width, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, size).T).view(kind).ravel()
+    cuts = np.cumsum([4 * width, *np.frombuffer(packed, np.int32, width)]).tolist()
+    out = np.empty((size, width), np.uint8)
+    for k, (i, j) in enumerate(pairwise(cuts)):
+        out[:, k] = np.frombuffer(pa.decompress(packed[i:j], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return out.view(kind).ravel()
 
 
 def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
-    """Rows of a schema of long and binary columns."""
-    kinds = {"bigint": pa.int64(), "binary": pa.binary()}
+    """Rows of a schema of long, boolean and binary columns."""
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
     fields = [pa.field(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
 
 
 class _Texts:
-    """A block: its texts' ids and folds, and their words one after another."""
+    """Texts with their ids and folds, and their words one after another."""
 
     def __init__(self) -> None:
         self.cache = _Vocabulary()
@@ -195,8 +177,7 @@ class _Texts:
     def clear(self) -> None:
         self.flat: list[int] = []
         self.sizes: list[int] = []
-        self.ids: list[int | None] = []
-        self.held: list[bool] = []
+        self.rows: list[tuple[int | None, bool, bytes]] = []
         if len(self.cache) > _CACHE:
             self.cache = _Vocabulary()
 
@@ -205,26 +186,36 @@ class _Texts:
         self.flat += map(self.cache.__getitem__, words(text))
         self.flat.append(self.cache[END])
         self.sizes.append(len(self.flat) - before)
-        self.ids.append(doc_id)
-        self.held.append(held)
-
-    def written(self) -> tuple[pa.Table, bytes]:
-        """The block as a table of one row of lists, and as bytes."""
-        used, numbers = np.unique(np.array(self.flat, np.int64), return_inverse=True)
-        names = np.array(self.cache.hashes, np.uint64).view(np.int64)[used]
-        columns = {"doc_id": pa.array(self.ids, pa.int64()), "held_out": pa.array(self.held, pa.bool_()), "size": pa.array(self.sizes, pa.int64()), "word": pa.array(names), "number": pa.array(numbers.astype(np.int32))}
-        block = pa.table({c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for c, v in columns.items()})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(block)
-        return block, sink.getvalue().to_pybytes()
+        self.rows.append((doc_id, held, text))
 
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words and the numbers of their texts."""
+        hashes = np.array(self.cache.hashes, np.uint64).view(np.int64)
+        return hashes[np.array(self.flat, np.int64)], np.repeat(np.arange(len(self.sizes)), self.sizes)
 
-def _read(block: pa.Table) -> tuple[dict[str, pa.Array], np.ndarray, np.ndarray]:
-    """Columns of a block, the hashes of its words and the number of each word's text."""
-    lists = {c: block[c].combine_chunks().flatten() for c in block.column_names}
-    keys = lists["word"].to_numpy()[lists["number"].to_numpy()]
-    return lists, keys, np.repeat(np.arange(len(lists["size"])), lists["size"].to_numpy())
+    def written(self) -> bytes:
+        """The rows as a compressed Arrow stream."""
+        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.large_binary()}
+        table = pa.table([pa.array(c, k) for c, k in zip(zip(*self.rows), kinds.values())], names=list(kinds))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+            out.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Texts]]:
+    """Rows ``(doc_id, text, held_out)`` of a task in blocks, each with a number of its own."""
+    texts = _Texts()
+    block = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(1))):
+            texts.add(*row)
+            if len(texts.flat) > _BLOCK:
+                yield block, texts
+                texts.clear()
+                block += 1
+    if texts.rows:
+        yield block, texts
 
 
 def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: int = 3, strength: float = 128.0) -> DataFrame:
@@ -240,10 +231,10 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: in
     all that its texts can reach, and walks each text once.
 
     Blocks and buckets grow in number with the corpus, not in size. A bucket has
-    a frequent n-gram at most once from each block. Blocks are read in the order of the
-    rows, so ``docs`` should come from files or a written table; if a lost
-    executor's rows came in another order, the block would not fit its counts
-    and the query would fail rather than give wrong scores.
+    a frequent n-gram at most once from each block. Blocks are cut from the rows
+    twice, first to count and then to score, in the order of the rows; so
+    ``docs`` should come from files or a written table. Where rows came in
+    another order, a block does not fit its counts, and the query fails.
 
     Gives ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for each row of ``docs``. A null text is the empty one (one token,
@@ -253,76 +244,76 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: in
     marked = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")
     )
-    row = word_counts(marked.filter(~F.col("held_out"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("known")).first()
-    total = int(row.total)
-    ground = total + 0.5 * (int(row.known) + 1)
-    shift = np.uint64(64 - max(6, (total // _BUCKET).bit_length()))
+    # a word and its blank take about six characters; only the number of buckets depends on it
+    tokens = int(marked.select(F.coalesce(F.sum(F.length("text")), F.lit(0)) / F.lit(6)).first()[0])
+    shift = np.uint64(64 - max(6, (tokens // _BUCKET).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = _Texts()
-        block = TaskContext.get().partitionId() << 33
-
-        def flush() -> pa.RecordBatch:
-            nonlocal block
-            block += 1
-            table, whole = texts.written()
-            lists, keys, rows = _read(table)
-            distinct, ends, places = ngrams(keys, rows, order)
-            learnt = ~lists["held_out"].to_numpy(zero_copy_only=False)[rows]
-            counts = sum(np.bincount(p[learnt[at]], minlength=len(distinct)) for at, p in zip(ends, places))
-            texts.clear()
-            bucket = distinct >> shift
-            cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(bucket)]
-            # the block itself goes along with one of its buckets
-            out = [(int(bucket[block % len(bucket)]), block, None, None, whole)]
-            for i, j in pairwise(cuts):
-                out.append((int(bucket[i]), block, j - i, _pack(np.diff(distinct[i:j], prepend=np.uint64(0))), _pack(counts[i:j].astype(np.int64))))
-            return _batch(_SENT, out)
-
-        for batch in batches:
-            for doc_id, t, held in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-                texts.add(doc_id, held, t)
-                if len(texts.flat) > _BLOCK:
-                    yield flush()
-        if texts.ids:
-            yield flush()
+        for block, texts in blocks(batches):
+            keys, rows = texts.words()
+            ones, others, ends, places = ngrams(keys, rows, order)
+            learnt = ~np.array([held for _, held, _ in texts.rows])[rows]
+            counts = sum(np.bincount(p[learnt[at]], minlength=len(ones) + len(others)) for at, p in zip(ends, places)).astype(np.int64)
+            out = []
+            for word, own, sums in ((True, ones, counts[: len(ones)]), (False, others, counts[len(ones) :])):
+                bucket = own >> shift
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(own)]).tolist()
+                for i, j in pairwise([*starts, len(own)]):
+                    out.append((int(bucket[i]), block, word, j - i, _pack(np.diff(own[i:j], prepend=np.uint64(0))), _pack(sums[i:j])))
+            yield _batch(_SENT, out)
 
     def add_up(sent: pa.Table) -> pa.Table:
-        rows = list(zip(*(sent[c].to_pylist() for c in ("bucket", "block", "size", "keys", "counts"))))
-        out = [(bucket, block, None, whole) for bucket, block, size, _, whole in rows if size is None]
-        rows = [r for r in rows if r[2] is not None]
-        if rows:
-            keys = np.concatenate([np.cumsum(_unpack(k, n, np.uint64), dtype=np.uint64) for _, _, n, k, _ in rows])
-            counts = np.concatenate([_unpack(c, n, np.int64) for _, _, n, _, c in rows])
+        out = []
+        for word in (True, False):
+            rows = [r for r in zip(*(c.to_pylist() for c in sent.columns)) if r[2] == word]
+            if not rows:
+                continue
+            keys = np.concatenate([np.cumsum(_unpack(r[4], r[3], np.uint64), dtype=np.uint64) for r in rows])
+            counts = np.concatenate([_unpack(r[5], r[3], np.int64) for r in rows])
             by = np.argsort(keys, kind="stable")
             keys = keys[by]
             starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
             sums = np.add.reduceat(counts[by], starts)
             counts[by] = np.repeat(sums, np.diff(np.append(starts, len(keys))))
-            cuts = np.cumsum([0, *[r[2] for r in rows]]).tolist()
-            out += [(r[0], r[1], r[2], _pack(counts[i:j])) for r, (i, j) in zip(rows, pairwise(cuts))]
+            cuts = np.cumsum([0, *[r[3] for r in rows]]).tolist()
+            out += [(*r[:4], _pack(counts[i:j]), None, None) for r, (i, j) in zip(rows, pairwise(cuts))]
+            if word:
+                out.append((rows[0][0], None, True, None, None, int(np.count_nonzero(sums)), int(sums.sum())))
         return pa.Table.from_batches([_batch(_FOUND, out)])
 
-    def score(found: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(found[c].to_pylist() for c in ("bucket", "size", "counts"))), key=lambda r: (r[1] is not None, r[0]))
-        lists, keys, of = _read(pa.ipc.open_stream(rows[0][2]).read_all())
-        distinct, ends, places = ngrams(keys, of, order)
-        counts = np.concatenate([_unpack(c, n, np.int64) for _, n, c in rows[1:]])
-        if len(counts) != len(distinct):
-            raise RuntimeError(f"a block of {len(distinct)} n-grams got {len(counts)} counts: its rows came in another order")
-        own, texts = counts[places[0]], len(lists["size"])
+    counted = saved(marked.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(add_up, _FOUND), "ngram_counts")
+    row = counted.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("known"), F.lit(0)).alias("known")).first()
+    total = int(row.total)
+    ground = total + 0.5 * (int(row.known) + 1)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, texts in blocks(batches):
+            yield _batch(_HELD, [(block, texts.written())])
+
+    def score(held: pa.Table, found: pa.Table) -> pa.Table:
+        texts = _Texts()
+        table = pa.ipc.open_stream(held["texts"][0].as_buffer()).read_all()
+        for row in zip(*(table[c].to_pylist() for c in ("doc_id", "held_out", "text"))):
+            texts.add(*row)
+        keys, of = texts.words()
+        ones, others, ends, places = ngrams(keys, of, order)
+        rows = sorted(zip(*(found[c].to_pylist() for c in ("word", "bucket", "size", "counts"))), key=lambda r: (not r[0], r[1]))
+        counts = np.concatenate([_unpack(c, n, np.int64) for _, _, n, c in rows])
+        if len(counts) != len(ones) + len(others):
+            raise RuntimeError(f"a block of {len(ones) + len(others)} n-grams got {len(counts)} counts: its rows came in another order")
+        own, size = counts[places[0]], len(texts.sizes)
         walk = walker(*automaton(counts, ends, places, ground, strength))
-        stops = np.cumsum(lists["size"].to_numpy()).tolist()
+        stops = np.cumsum(texts.sizes).tolist()
         out = [
-            lists["doc_id"],
-            lists["held_out"],
-            lists["size"],
-            pa.array(np.bincount(of, own > 0, texts).astype(np.int64)),
-            pa.array(np.full(texts, total)),
-            pa.array(np.bincount(of, np.log10((own + 0.5) / ground), texts)),
+            table["doc_id"],
+            table["held_out"],
+            pa.array(texts.sizes, pa.int64()),
+            pa.array(np.bincount(of, own > 0, size).astype(np.int64)),
+            pa.array(np.full(size, total)),
+            pa.array(np.bincount(of, np.log10((own + 0.5) / ground), size)),
             pa.array([walk(i, j) for i, j in pairwise([0, *stops])], pa.float64()),
         ]
         return pa.table(out, names=[c.split()[0] for c in _SCORED.split(", ")])
 
-    counted = marked.mapInArrow(send, _SENT).groupBy("bucket").applyInArrow(add_up, _FOUND)
-    return counted.groupBy("block").applyInArrow(score, _SCORED)
+    texts = marked.mapInArrow(keep, _HELD).groupBy("block")
+    return texts.cogroup(counted.filter("block is not null").groupBy("block")).applyInArrow(score, _SCORED)

@@ -103,9 +103,9 @@ def automaton_of(train, texts, order, strength):
     """The automaton of ``texts`` (lists of words), learnt from those at ``train``; its starts; the ground."""
     numbers = {w: k for k, w in enumerate(sorted({w for t in texts for w in t}))}
     rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    distinct, ends, places = backoff.ngrams(np.array([numbers[w] for t in texts for w in t]), rows, order)
+    ones, others, ends, places = backoff.ngrams(np.array([numbers[w] for t in texts for w in t]), rows, order)
     learnt_ = np.isin(rows, train)
-    counts = sum(np.bincount(p[learnt_[at]], minlength=len(distinct)) for at, p in zip(ends, places))
+    counts = sum(np.bincount(p[learnt_[at]], minlength=len(ones) + len(others)) for at, p in zip(ends, places))
     own = counts[places[0]][learnt_]
     ground = len(own) + 0.5 * (len({w for k in train for w in texts[k]}) + 1)
     starts = np.cumsum([0, *map(len, texts)]).tolist()
