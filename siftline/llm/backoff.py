@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from siftline.llm.common import as_bytes, saved, words
 
 END = b" "  # no word holds a space
-_CACHE = 300_000
-_BLOCK = 800_000
+_BLOCK = 5_000_000  # bytes of text
 _BUCKET = 1_000_000
 _SENT = "bucket bigint, block bigint, word boolean, size bigint, keys binary, counts binary"
 _FOUND = "bucket bigint, block bigint, word boolean, size bigint, counts binary, known bigint, total bigint"
@@ -29,7 +28,7 @@ def _hash(word: bytes) -> int:
 
 
 class _Vocabulary(dict):
-    """Word to a number of its own within a task; hashes in the same order."""
+    """Word to a number of its own; hashes in the same order."""
 
     def __init__(self) -> None:
         super().__init__()
@@ -167,55 +166,48 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(fields)], schema=pa.schema(fields))
 
 
-class _Texts:
-    """Texts with their ids and folds, and their words one after another."""
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Hashes of the words and ends of texts, the number of each one's text, and the texts' numbers of them."""
+    names, flat, sizes = _Vocabulary(), [], []
+    for text in texts:
+        before = len(flat)
+        flat += map(names.__getitem__, words(text))
+        flat.append(names[END])
+        sizes.append(len(flat) - before)
+    hashes = np.array(names.hashes, np.uint64).view(np.int64)
+    return hashes[np.array(flat, np.int64)], np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows ``(doc_id, text, held_out)`` of a task, texts as bytes, in blocks named by place and texts."""
+    rows, size, made = [], 0, 0
+
+    def name() -> int:
+        found = xxhash.xxh64(f"{TaskContext.get().partitionId()} {made}")
+        for _, t, held in rows:
+            found.update(b"%d %d " % (len(t), held))
+            found.update(t)
+        return found.intdigest() - (1 << 63)
 
-    def __init__(self) -> None:
-        self.cache = _Vocabulary()
-        self.clear()
-
-    def clear(self) -> None:
-        self.flat: list[int] = []
-        self.sizes: list[int] = []
-        self.rows: list[tuple[int | None, bool, bytes]] = []
-        if len(self.cache) > _CACHE:
-            self.cache = _Vocabulary()
-
-    def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
-        before = len(self.flat)
-        self.flat += map(self.cache.__getitem__, words(text))
-        self.flat.append(self.cache[END])
-        self.sizes.append(len(self.flat) - before)
-        self.rows.append((doc_id, held, text))
-
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words and the numbers of their texts."""
-        hashes = np.array(self.cache.hashes, np.uint64).view(np.int64)
-        return hashes[np.array(self.flat, np.int64)], np.repeat(np.arange(len(self.sizes)), self.sizes)
-
-    def written(self) -> bytes:
-        """The rows as a compressed Arrow stream."""
-        kinds = {"doc_id": pa.int64(), "held_out": pa.bool_(), "text": pa.large_binary()}
-        table = pa.table([pa.array(c, k) for c, k in zip(zip(*self.rows), kinds.values())], names=list(kinds))
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
-            out.write_table(table)
-        return sink.getvalue().to_pybytes()
-
-
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Texts]]:
-    """Rows ``(doc_id, text, held_out)`` of a task in blocks, each with a number of its own."""
-    texts = _Texts()
-    block = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(1))):
-            texts.add(*row)
-            if len(texts.flat) > _BLOCK:
-                yield block, texts
-                texts.clear()
-                block += 1
-    if texts.rows:
-        yield block, texts
+        for row in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            rows.append(row)
+            size += len(row[1]) + 1
+            if size > _BLOCK:
+                yield name(), rows
+                rows, size, made = [], 0, made + 1
+    if rows:
+        yield name(), rows
+
+
+def written(rows: list[tuple]) -> bytes:
+    """Rows of a block as a compressed Arrow stream."""
+    kinds = {"doc_id": pa.int64(), "text": pa.large_binary(), "held_out": pa.bool_()}
+    table = pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: int = 3, strength: float = 128.0) -> DataFrame:
@@ -223,18 +215,17 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: in
 
     Tokens are the words and one end. All training tokens and all their n-grams of
     at most ``order`` words are counted; the smoothing is that of ``automaton``.
-    Texts are taken in blocks of a bounded number of words (a longer text is a
-    block of its own). A block sends each of its distinct n-grams once, by an 8-byte
-    key, with its number in the block's training texts, to the bucket of the key's
-    range; the bucket adds the numbers up and sends the sums back. From them the
-    block builds the states, arcs and failure arcs of its own n-grams, which are
+    Texts are taken in blocks of a bounded size (a longer text ends its block). A
+    block sends each of its distinct n-grams once, by an 8-byte key, with its number
+    in the block's training texts, to the bucket of the key's range; the bucket
+    adds the numbers up and sends the sums back. From them the block builds the states, arcs and failure arcs of its own n-grams, which are
     all that its texts can reach, and walks each text once.
 
     Blocks and buckets grow in number with the corpus, not in size. A bucket has
     a frequent n-gram at most once from each block. Blocks are cut from the rows
     twice, first to count and then to score, in the order of the rows; so
     ``docs`` should come from files or a written table. Where rows came in
-    another order, a block does not fit its counts, and the query fails.
+    another order, texts and counts have blocks of other names, and the query fails.
 
     Gives ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` for each row of ``docs``. A null text is the empty one (one token,
@@ -249,10 +240,10 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: in
     shift = np.uint64(64 - max(6, (tokens // _BUCKET).bit_length()))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, texts in blocks(batches):
-            keys, rows = texts.words()
-            ones, others, ends, places = ngrams(keys, rows, order)
-            learnt = ~np.array([held for _, held, _ in texts.rows])[rows]
+        for block, rows in blocks(batches):
+            keys, of, _ = word_keys([r[1] for r in rows])
+            ones, others, ends, places = ngrams(keys, of, order)
+            learnt = ~np.array([r[2] for r in rows])[of]
             counts = sum(np.bincount(p[learnt[at]], minlength=len(ones) + len(others)) for at, p in zip(ends, places)).astype(np.int64)
             out = []
             for word, own, sums in ((True, ones, counts[: len(ones)]), (False, others, counts[len(ones) :])):
@@ -287,27 +278,24 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", order: in
     ground = total + 0.5 * (int(row.known) + 1)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, texts in blocks(batches):
-            yield _batch(_HELD, [(block, texts.written())])
+        for block, rows in blocks(batches):
+            yield _batch(_HELD, [(block, written(rows))])
 
     def score(held: pa.Table, found: pa.Table) -> pa.Table:
-        texts = _Texts()
+        if len(held) != 1 or not len(found):
+            raise RuntimeError("texts and counts have different blocks: the rows of docs came in another order")
         table = pa.ipc.open_stream(held["texts"][0].as_buffer()).read_all()
-        for row in zip(*(table[c].to_pylist() for c in ("doc_id", "held_out", "text"))):
-            texts.add(*row)
-        keys, of = texts.words()
+        keys, of, sizes = word_keys(table["text"].to_pylist())
         ones, others, ends, places = ngrams(keys, of, order)
         rows = sorted(zip(*(found[c].to_pylist() for c in ("word", "bucket", "size", "counts"))), key=lambda r: (not r[0], r[1]))
         counts = np.concatenate([_unpack(c, n, np.int64) for _, _, n, c in rows])
-        if len(counts) != len(ones) + len(others):
-            raise RuntimeError(f"a block of {len(ones) + len(others)} n-grams got {len(counts)} counts: its rows came in another order")
-        own, size = counts[places[0]], len(texts.sizes)
+        own, size = counts[places[0]], len(sizes)
         walk = walker(*automaton(counts, ends, places, ground, strength))
-        stops = np.cumsum(texts.sizes).tolist()
+        stops = np.cumsum(sizes).tolist()
         out = [
             table["doc_id"],
             table["held_out"],
-            pa.array(texts.sizes, pa.int64()),
+            pa.array(sizes, pa.int64()),
             pa.array(np.bincount(of, own > 0, size).astype(np.int64)),
             pa.array(np.full(size, total)),
             pa.array(np.bincount(of, np.log10((own + 0.5) / ground), size)),

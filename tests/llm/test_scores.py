@@ -81,13 +81,22 @@ def test_counts_meet_over_blocks_and_buckets(spark, monkeypatch):
     grams = learnt(rows)
     wanted = sorted((str(i), round(brute_score(grams, t), 5)) for i, t in rows)
     monkeypatch.setattr(backoff, "_BUCKET", 10)
-    for block in (50, 1000):
+    for block in (200, 5000):
         monkeypatch.setattr(backoff, "_BLOCK", block)
         for parts in (1, 5):
             found = backoff.score_texts(spark.createDataFrame(rows, SCHEMA).repartition(parts), fold("doc_id") == 1).collect()
             assert sorted((str(r.doc_id), round(r.score, 5)) for r in found) == wanted
 
 
+def test_rows_in_another_order_fail(spark, monkeypatch):
+    whole = backoff.saved
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(6)], SCHEMA).coalesce(1)
+    # other names stand in for a second reading that differs
+    monkeypatch.setattr(backoff, "saved", lambda df, label: whole(df, label).withColumn("block", F.col("block") + 1))
+    with pytest.raises(Exception, match="another order"):
+        backoff.score_texts(docs, F.lit(False)).collect()
+
+
 def test_packed_numbers_come_back():
     for numbers in (np.array([0, 1, 2**64 - 1], np.uint64), np.arange(-5, 1000), np.array([7], np.int64)):
         assert backoff._unpack(backoff._pack(numbers), len(numbers), numbers.dtype).tolist() == numbers.tolist()
