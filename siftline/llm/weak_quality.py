@@ -62,7 +62,7 @@ def votes(text: str, words: list[str], kinds: np.ndarray) -> tuple[int, ...]:
     )
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, weight: float = 0.5, alarm: float = 0.002) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, weight: float = 0.5, alarm: float = 0.002, pull: float = 1000.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of "good" for each vote pattern, each labeller's vote shares, and the priors.
 
     The hidden class is good, or bad in the way of one labeller, as kinds of bad
@@ -71,8 +71,9 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     other labellers; no opinion tells nothing. Starts from texts without a bad
     vote as good and the others as their rarest bad vote says. ``weight`` smooths
     the shares. A bad vote that no other labeller shares could as well be noise on
-    good texts; so the share of false alarms is drawn towards ``alarm``, with as
-    much weight as all texts. ``shares[k, c]`` is labeller k's (bad, good) in class c.
+    good texts; so the share of false alarms is drawn towards ``alarm``, with the
+    weight of ``pull`` good texts at any number of texts: it decides where there
+    are few, and the votes decide where there are many. ``shares[k, c]`` is labeller k's (bad, good) in class c.
     """
     n, width = patterns.shape
     bad = patterns == 0
@@ -89,7 +90,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
             for c in range(width + 1):
                 votes_ = np.bincount(patterns[:, k], held[:, c], 3)[:2] + weight
                 if c == 0:
-                    votes_ += counts.sum() * np.array([alarm, 1 - alarm])
+                    votes_ += pull * np.array([alarm, 1 - alarm])
                 shares[k, c, :2] = votes_ / votes_.sum()
         logs = np.log(prior) + sum(np.log(shares[k][:, patterns[:, k]]).T for k in range(width))
         new = np.exp(logs - logs.max(axis=1, keepdims=True)) if n else logs

@@ -235,3 +235,81 @@ def test_quality_of_kinds_of_texts(spark):
     assert len(found) == len(rows)
     assert all(r.keep == int(r.doc_id is None or r.doc_id < 200) for r in found)
     assert weak_quality.score(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_maximisation_finds_planted_accuracies():
+    # kinds of bad texts overlap and false alarms are rare: less overlap tells kinds apart less exactly
+    own, other = 0.95, 0.3
+    rng = np.random.default_rng(8)
+    n, width = 200_000, 8
+    kind = rng.choice(width + 1, n, p=[0.6] + [0.05] * width)
+    alarms = np.linspace(0.0, 0.004, width)
+    bad = np.array([[alarms[k], *[own if c == k else other for c in range(width)]] for k in range(width)])
+    found = (rng.random((n, width)) >= bad[:, kind].T).astype(int)
+    found[rng.random((n, width)) < 0.1] = 2
+    patterns, counts = np.unique(found, axis=0, return_counts=True)
+    _, shares, prior = weak_quality.expectation_maximisation(patterns, counts.astype(float), rounds=1500)
+    assert np.abs(shares[:, 0, 0] - alarms).max() < 0.02
+    assert np.abs(np.diagonal(shares[:, 1:, 0]) - own).max() < 0.02
+    assert abs(prior[0] - 0.6) < 0.02
+
+
+def slow_maximisation(marks, rounds, weight=0.5, alarm=0.002, pull=1000.0):
+    """Posterior of "good" of each text, one text and one labeller at a time."""
+    width = len(marks[0])
+    votes_ = [sum(m[k] == 0 for m in marks) for k in range(width)]
+    p = []
+    for m in marks:
+        shown = [k for k in range(width) if m[k] == 0]
+        first = 1 + min(shown, key=lambda k: (votes_[k], k)) if shown else 0
+        p.append([1 - 1e-4 * width if c == first else 1e-4 for c in range(width + 1)])
+    for _ in range(rounds):
+        prior = [(sum(q[c] for q in p) + weight) / (len(marks) + weight * (width + 1)) for c in range(width + 1)]
+        shares = {}
+        for k in range(width):
+            for c in range(width + 1):
+                no, yes = (sum(q[c] for q, m in zip(p, marks) if m[k] == v) + weight for v in (0, 1))
+                if c == 0:
+                    no, yes = no + pull * alarm, yes + pull * (1 - alarm)
+                shares[k, c] = (no / (no + yes), yes / (no + yes), 1.0)
+        p = [[prior[c] * math.prod(shares[k, c][m[k]] for k in range(width)) for c in range(width + 1)] for m in marks]
+        p = [[x / sum(q) for x in q] for q in p]
+    return [q[0] for q in p]
+
+
+def slow_training(described, rounds=150, rate=0.1, ridge=1e-5):
+    """Weights by slot: the same steps, one text and one slot at a time."""
+    theta = Counter()
+    first, second = Counter(), Counter()
+    for step in range(1, rounds + 1):
+        grad = Counter({s: ridge * x for s, x in theta.items()})
+        for slots, values, y in described:
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(v * theta[s] for s, v in zip(slots, values))))))
+            for s, v in zip(slots, values):
+                grad[s] += v * (p - y) / len(described)
+        for s, g in grad.items():
+            first[s] = 0.9 * first[s] + 0.1 * g
+            second[s] = 0.99 * second[s] + 0.01 * g * g
+            theta[s] -= rate * (first[s] / (1 - 0.9**step)) / (math.sqrt(second[s] / (1 - 0.99**step)) + 1e-8)
+    return theta
+
+
+def test_quality_agrees_with_a_slow_version(spark):
+    rng = np.random.default_rng(12)
+    plain = ["".join(rng.choice(list("abcdefghijklm"), int(rng.integers(2, 9)))) for _ in range(60)]
+    texts = [" ".join(w + "." if k % 7 == 6 else w for k, w in enumerate(rng.choice(plain, 45))) for _ in range(24)]
+    texts += [" | ".join(rng.choice(plain, 30)) for _ in range(4)] + [" ".join(rng.choice(plain, 40)).upper() for _ in range(4)]
+    texts += [None, "", "one two", (plain[0] + " ") * 50]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r for r in weak_quality.score(spark.createDataFrame(rows, SCHEMA)).collect()}
+    kinds, shapes = weak_quality._kinds(), weak_quality._Shapes()
+    split = [(t or "").split() for t in texts]
+    marks = [weak_quality.votes(t or "", w, kinds) for t, w in zip(texts, split)]
+    posterior = slow_maximisation(marks, 200)
+    described = [(*(x.tolist() for x in weak_quality.features(w, shapes)), p) for w, p in zip(split, posterior)]
+    theta = slow_training(described)
+    for (i, _), (slots, values, p), m in zip(rows, described, marks):
+        score = 1 / (1 + math.exp(-sum(v * theta[s] for s, v in zip(slots, values))))
+        assert found[i].votes == "".join(map(str, m))
+        assert found[i].posterior == pytest.approx(p, abs=1e-6)
+        assert found[i].score == pytest.approx(score, abs=1e-5)
