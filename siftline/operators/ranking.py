@@ -120,6 +120,7 @@ def check_ranking(
     """Findings on a published ranking: (problem, seed, sample_index).
 
     ``ranking`` has position (1-based), seed, sample_index, ranking_score.
+    Predictions listed twice with one score may stand either way round.
     """
     score = F.col("ranking_score")
     infinite = score.isNull() | F.isnan(score) | (F.abs(score) == float("inf"))
@@ -128,7 +129,8 @@ def check_ranking(
     grid = grid_check(seeds, samples, ranking).filter("status <> 'ok'").select(
         F.col("status").alias("problem"), *cells
     )
-    ranked = total_rank(ranking, "_expected").filter(F.col("_expected") != F.col("position"))
+    expected = rank_by(ranking, "ranking_score", ["seed", "sample_index", "position"], "_expected")
+    ranked = expected.filter(F.col("_expected") != F.col("position"))
     order = ranked.select(F.lit("wrong_order").alias("problem"), *cells)
     out = bad_score.unionByName(grid).unionByName(order)
     if best is not None:

@@ -80,3 +80,10 @@ def test_later_table_without_the_metric_takes_the_score_away(frame):
     later = frame("description string, chain_A_iptm string, n int", ("a.pdb", "0.5", 0))
     got = r.rank_designs(structures, [(first, ["n"]), (later, ["n"])])
     assert rows(got, "design", "rank_score") == rows(r.rank_designs(structures.filter("filename = 'b.pdb'"), [(first, ["n"])]), "design", "rank_score")
+
+
+def test_a_prediction_listed_twice_may_stand_either_way_round(spark, frame):
+    # the same seed, sample and score: the order of the two rows is open
+    df = frame("position int, seed int, sample_index int, ranking_score double", (3, 1, 0, 0.4), (2, 2, 0, 0.9), (1, 2, 0, 0.9))
+    got = r.check_ranking(df.coalesce(1), frame("seed int", (1,), (2,)), 1)
+    assert rows(got, "problem", "seed") == [("duplicate", 2)]
