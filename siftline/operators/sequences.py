@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.functions.digest import LANES, record_digest, square_words, word, wrapped
 from siftline.functions.keys import basename, safe_name
+from siftline.functions.letters import letter_windows
 from siftline.functions.numbers import complement, sequence_flags
 from siftline.ordering import add_index, index_by_hash
 
@@ -229,6 +232,46 @@ def tile_windows(df: DataFrame, keys: Sequence[str], sequence: str = "sequence",
     )
 
 
+def window_summary(
+    df: DataFrame,
+    keys: Sequence[str],
+    sequence: str = "sequence",
+    k: int = 19,
+    gc_min: float = 0.3,
+    gc_max: float = 0.65,
+    run: int = 5,
+    gc_run: int = 6,
+    palindrome: int = 4,
+) -> DataFrame:
+    """Per key, what ``tile_windows`` and ``add_sequence_flags`` say of all its windows.
+
+    Number of windows, last position, least window, greatest sense strand, and how
+    many windows have each flag and any. No window becomes a row: each text's
+    letters are compared as arrays inside the tasks, so a text costs its length.
+    """
+    each = "windows bigint, last_pos bigint, first_window string, last_sense string, gc bigint, run bigint, gc_run bigint, palindrome bigint, func bigint"
+    kinds = T.StructType([*df.select(*keys).schema.fields, *T.StructType.fromDDL(each).fields])
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [letter_windows(x.as_py(), k, gc_min, gc_max, run, gc_run, palindrome) for x in batch.column(len(keys))]
+            columns = list(zip(*found)) if found else [()] * 9
+            kind = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keys)], *[pa.array(c, t) for c, t in zip(columns, kind)]], kinds.names
+            )
+
+    texts = df.filter(F.length(sequence) >= k).select(*keys, F.col(sequence).cast("string"))
+    found = texts.mapInArrow(summed, kinds)
+    return found.groupBy(*keys).agg(
+        F.sum("windows").alias("windows"),
+        F.max("last_pos").alias("last_pos"),
+        F.min("first_window").alias("first_window"),
+        F.max("last_sense").alias("last_sense"),
+        *[F.sum(c).alias(c) for c in ("gc", "run", "gc_run", "palindrome", "func")],
+    )
+
+
 def add_sequence_flags(df: DataFrame, sequence: str = "siRNA", **limits: float) -> DataFrame:
     """Rule flags and func_filter, which is 1 if any rule fails."""
     flags = sequence_flags(F.col(sequence), **limits)

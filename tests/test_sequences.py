@@ -112,6 +112,27 @@ def test_windows(frame):
     assert [r["run_flag"] for r in s.add_sequence_flags(s.tile_windows(df, ["id"])).collect()] == [0, 0, 0, 1]
 
 
+def test_window_summary_equals_the_windows_one_by_one(frame, monkeypatch):
+    from siftline.functions import letters
+
+    monkeypatch.setattr(letters, "_PIECE", 50)
+    rng = random.Random(8)
+    texts = ["".join(rng.choices(letters_of, k=n)) for letters_of in ("ACGU", "GGCCA", "abba é😀", "AU") for n in (18, 19, 20, 68, 69, 150)]
+    data = [(i % 9, t) for i, t in enumerate([*texts, "A" * 30, "", None])]
+    df = frame("id int, sequence string", *data)
+    flags = ("gc_flag", "run_flag", "gc_run_flag", "palindrome_flag", "func_filter")
+    tiled = {}
+    for r in s.add_sequence_flags(s.tile_windows(df, ["id"])).collect():
+        tiled.setdefault(r.id, []).append(r)
+    wanted = [
+        (i, len(w), max(r.pos for r in w), min(r.siRNA for r in w), max(r.sense for r in w), *[sum(r[c] for r in w) for c in flags])
+        for i, w in tiled.items()
+    ]
+    found = s.window_summary(df, ["id"])
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    assert "Generate" not in found._jdf.queryExecution().toString()  # windows are no rows
+
+
 def test_references(frame):
     table = frame("t string, sp string, q string", (" ENST1 ", "9606 ", " acg-t "), ("ENST2", "10090", "AC"), ("", "9606", "A"), ("ENST3", "9606", "--"), ("ENST4", "9606", None))
     assert rows(s.convert_reference_table(table, "9606", "t", "sp", "q")) == [("ENST1", "ACGU")]
