@@ -6,6 +6,7 @@ import random
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.operators import sessions
 from siftline.schemas import NEXT_STATES, TERMINAL_STATES
@@ -203,3 +204,69 @@ def test_the_store_setting_is_put_back(spark):
     with replay.rocks_state(spark):
         assert "RocksDB" in spark.conf.get(replay._PROVIDER)
     assert spark.conf.get(replay._PROVIDER, None) == before
+
+
+class _Counted:
+    """A key's state in memory that counts the calls on it."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return _CountedVar(self, name)
+
+    getValueState = getListState  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _CountedVar:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def __getattr__(self, call):
+        def act(*args):
+            self.handle.calls += 1
+            held = self.handle.held
+            if call == "get":
+                return held.get(self.name, iter(()) if self.name == "waiting" else None)
+            if call == "appendValue":
+                held.setdefault(self.name, []).append(args[0])
+            elif call in ("put", "update"):
+                held[self.name] = args[0]
+            else:
+                assert call == "clear"
+                held.pop(self.name, None)
+
+        return act
+
+
+def test_a_keys_turn_makes_few_calls_on_its_state():
+    handle = _Counted()
+    out = "k int, ts timestamp, n int"
+    work = replay._InOrder(
+        lambda held, at, row: ((at,), [(at, row[0])]), lambda held: held[0] + 10_000_000, lambda held: [], 2, T.StructType.fromDDL("at bigint"), T.StructType.fromDDL(out)
+    )
+    work.init(handle)
+    came = [(1, at(i), i * 1_000_000, i) for i in reversed(range(30))]
+    assert list(work.handleInputRows((1,), iter(came), None)) == []
+    assert handle.calls <= 3
+    assert handle.timers == {0}
+    assert len(handle.held["waiting"]) == 1
+
+    class Mark:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 20_000
+
+    handle.calls = 0
+    got = list(work.handleExpiredTimer((1,), Mark(), None))
+    assert handle.calls <= 5
+    assert [tuple(r) for r in got] == [(1, d.datetime(1970, 1, 1, 0, 0, i, tzinfo=d.timezone.utc), i) for i in range(21)]
+    assert handle.held["state"] == (20_000_000,)
+    assert max(handle.timers) == 21_000
