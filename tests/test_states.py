@@ -247,7 +247,7 @@ class _CountedVar:
         return act
 
 
-def test_a_keys_turn_makes_few_calls_on_its_state():
+def test_a_keys_turn_makes_few_calls_on_its_state(spark):
     handle = _Counted()
     out = "k int, ts timestamp, n int"
     work = replay._InOrder(
