@@ -113,8 +113,8 @@ def metric_files(t: Tables) -> DataFrame:
     plain = F.concat(F.lit('{"key": '), F.col("s_suppkey"), F.lit(', "gone": null, "nation": '), F.col("s_nationkey"), F.lit("}"))
     nested = F.concat(F.lit('{"key": '), F.col("s_suppkey"), F.lit(', "gone": null, "nation": {"key": '), F.col("s_nationkey"), F.lit("}}"))
     body = F.when(n == 0, F.concat(F.lit('{"key": '), F.col("s_suppkey"))).when(n == 1, "[1]").when(n == 2, nested).otherwise(plain)
-    t.supplier.select(body.alias("value"), named.alias("name")).write.partitionBy("name").text(path)
-    found = json_files.judge_metrics(t.spark, f"{path}/name=*/part*.txt", "stage1", pattern="*.txt", folder="name=").rows
+    archives.write_named_files(t.supplier.select(named.alias("name"), body.alias("value")), path, t.spark.sparkContext.defaultParallelism)
+    found = json_files.judge_metrics(t.spark, f"{path}/files-*", "stage1").rows
     return found.select("candidate_id", "name", "value", "kind")
 
 

@@ -165,3 +165,22 @@ def test_the_permutation_is_a_projection(spark):
     big = spark.createDataFrame([(0,), (10**15 - 1,), (123_456_789_012_345,)], "i bigint")
     big = checked.permuted(big, "i", 10**15, name="p")
     assert all(0 <= r.p < 10**15 for r in big.collect())
+
+
+def test_each_row_is_a_file_in_its_tasks_folder(spark, frame, tmp_path):
+    path = str(tmp_path / "files")
+    df = frame("name string, value string", *[(f"a{i}.json", f'{{"x": {i}}}') for i in range(40)], ("é.json", '{"x": "ü"}'))
+    archives.write_named_files(df, path, 3)
+    folders = os.listdir(path)
+    assert len(folders) <= 3
+    assert all(f.startswith("files-") for f in folders)
+    assert sorted(n for f in folders for n in os.listdir(f"{path}/{f}")) == sorted([f"a{i}.json" for i in range(40)] + ["é.json"])
+    found = json_files.judge_metrics(spark, f"{path}/files-*", "s").rows
+    assert rows(found, "candidate_id", "value") == sorted([(f"a{i}", str(i)) for i in range(40)] + [("é", "ü")])
+
+
+def test_a_name_that_comes_twice_leaves_no_file(frame, tmp_path):
+    path = str(tmp_path / "files")
+    with pytest.raises(Exception, match="comes twice"):
+        archives.write_named_files(frame("name string, value string", ("a", "1"), ("a", "2")), path, 2)
+    assert os.listdir(path) == []
