@@ -10,7 +10,7 @@ from siftline.operators import manifests as m
 from siftline.operators import quality, ranking, runs, search
 from siftline.operators import sequences as s
 from siftline.operators import structures as st
-from siftline.ordering import add_index, ordered_groups
+from siftline.ordering import add_index
 from siftline.plans.registry import Tables, query
 
 
@@ -529,28 +529,18 @@ def job_outcomes(t: Tables) -> DataFrame:
 
 
 def _line_manifest(t: Tables) -> DataFrame:
-    files = ordered_groups(
-        t.lineitem,
-        ["l_orderkey"],
-        ["l_linenumber"],
-        m.file_record(
-            role=F.when(F.col("l_linestatus") == "F", "score").otherwise("log"),
-            volume_name=F.lit("app"),
-            app_volume_path=F.concat(F.lit("o"), F.col("l_orderkey"), F.lit("/l"), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey"), F.lit("-"), F.col("l_suppkey")),
-            path=F.concat(F.lit("l"), F.col("l_linenumber"), F.lit(".csv")),
-            size_bytes=F.col("l_quantity"),
-            expected=F.col("l_returnflag") != "N",
-        ),
-    )
-    # a manifest row holds all its files: segments are put together again
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("segment", "items"))), lambda x: x["items"])
-    return order_manifest(t).join(
-        files.groupBy("l_orderkey")
-        .agg(F.flatten(whole).alias("files"))
-        .select(name("order-", "l_orderkey").alias("candidate_id"), "files"),
-        "candidate_id",
-        "left",
-    )
+    file = m.file_record(
+        role=F.when(F.col("l_linestatus") == "F", "score").otherwise("log"),
+        volume_name=F.lit("app"),
+        app_volume_path=F.concat(F.lit("o"), F.col("l_orderkey"), F.lit("/l"), F.col("l_linenumber"), F.lit("-"), F.col("l_partkey"), F.lit("-"), F.col("l_suppkey")),
+        path=F.concat(F.lit("l"), F.col("l_linenumber"), F.lit(".csv")),
+        size_bytes=F.col("l_quantity"),
+        expected=F.col("l_returnflag") != "N",
+    )
+    # a manifest row holds all its files, so each order's are gathered at once, where the join wants them
+    lines = t.lineitem.select(name("order-", "l_orderkey").alias("candidate_id"), F.struct("l_linenumber", file.alias("file")).alias("line"))
+    files = lines.groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["file"]).alias("files"))
+    return order_manifest(t).join(files, "candidate_id", "left")
 
 
 def _line_listing(t: Tables) -> DataFrame:

@@ -83,3 +83,11 @@ def test_results_do_not_depend_on_partitions(spark, parts):
         ]
 
     assert results(skewed.repartition(parts)) == results(skewed)
+
+
+@pytest.mark.parametrize("name", ["file_errors", "reusable_candidates", "flat_files", "artifact_selector"])
+def test_manifests_gather_their_files_without_a_sort_of_all(spark, monkeypatch, name):
+    from siftline import ordering
+
+    monkeypatch.setattr(ordering, "materialise", lambda df, label: pytest.fail(f"{label} is written"))
+    assert "rangepartitioning" not in plan_of(QUERIES[name](spark, str(DATA)))
