@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import join_small, let, saved
 
+_MASKED = 8  # longest windows of which all ways to put <name> are listed
 _SPACES = r"[\x09-\x0D\x20\x85\xA0]+"
 #: Units that follow a number and stand for one another.
 UNITS = (
@@ -17,6 +18,8 @@ UNITS = (
 _NUMBER = r"(?<=^|\x20)[$€£#(]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%)?(?=\x20|$)"
 _EDGES = r"(?<=[\p{L}\p{N}%>])[.,;:!?\"'’”)\]}]+(?=\x20|$)|(?<=^|\x20)[\"'‘“(\[{]+(?=[\p{L}\p{N}])"
 _CAPITAL = r"(?<=^|\x20|[\"'‘“(\[{])\p{Lu}[\p{Ll}'’-]+(?=[.,;:!?\"'’”)\]}]*(?:\x20|$))"
+#: A word with a capital letter anywhere; every name is one.
+_CASED = r"(?<![^\x20])[^\x20\p{Lu}]*+\p{Lu}[^\x20]*+"
 _NAME = r"(?<=[^.!?:\x20]\x20)\p{Lu}[\p{Ll}'’-]+(?=[.,;:!?\"'’”)\]}]*(?:\x20|$))"
 
 
@@ -47,12 +50,15 @@ def template(text: Column, names: str | None = _NAME) -> Column:
     so both arrays have the same length.
     """
 
-    def numbered(named: Column) -> Column:
+    def numbered(named: Column, spaced: Column) -> Column:
         placed = F.regexp_replace(F.regexp_replace(named, _NUMBER, "<num>"), rf"(?<=<num>\x20)(?i:{UNITS})(?=\x20|$)", "<unit>")
-        return F.when(named.rlike(r"\d"), placed).otherwise(named)
+        return F.when(spaced.rlike(r"\d"), placed).otherwise(named)
 
-    named = _bare(_spaced(text) if names is None else F.regexp_replace(_spaced(text), names, "<name>"))
-    return let(F.lower(let(named, numbered)), _split)
+    def made(spaced: Column) -> Column:
+        named = spaced if names is None else F.regexp_replace(spaced, names, "<name>")
+        return F.lower(let(_bare(named), lambda n: numbered(n, spaced)))
+
+    return let(let(_spaced(text), made), _split)
 
 
 def windows(words: Column, size: int = 5) -> Column:
@@ -86,6 +92,29 @@ def variants(text: Column, size: int) -> Column:
     return F.transform(zipped, lambda r: F.array_distinct(F.array(r["a"], r["b"], r["c"])))
 
 
+def possible(texts: DataFrame, listed: DataFrame, size: int, share: float, least: int, broadcast_rows: int) -> DataFrame:
+    """Those of ``texts`` that may hold an item, by one cheap form in place of three; none that does is left out.
+
+    A text is cut into windows once, with <name> for every word that has a capital
+    letter. The three forms of a window differ in such words only, so where any of them is an
+    item's window, this one is that window with <name> in some places. All these
+    are made of the items, 2^size for each window. A hash weighs the largest share
+    that its windows are of those an item needs; below a sum of 1 no item can be matched.
+    """
+    forms = listed.select("item_id", "it", F.size(F.array_distinct("hashes")).alias("windows"), "hashes", F.explode(F.array_distinct(F.array("inner", "form", "plain"))).alias("words"))
+    starts = forms.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - F.lit(size), F.lit(0)))).alias("at"))
+    cut = starts.select("item_id", "it", "windows", F.get("hashes", F.col("at")).alias("g"), F.slice("words", F.col("at") + 1, F.lit(size)).alias("words"))
+    masked = cut.distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << size) - 1))).alias("mask"))
+    words = F.transform("words", lambda w, i: F.when(F.getbit(F.col("mask"), i) == 1, F.lit("<name>")).otherwise(w))
+    hashed = masked.select("item_id", "it", "windows", "g", F.explode(windows(words, size)).alias("h"))
+    needed = F.least(F.lit(share) * F.col("windows"), F.lit(float(least)))
+    weights = hashed.groupBy("item_id", "it", "windows", "h").agg(F.count_distinct("g").alias("n")).groupBy("h").agg(F.max(F.col("n") / needed).alias("weight"))
+    found = texts.select("doc_id", F.xxhash64("text").alias("t"), F.explode_outer(windows(template(F.col("text"), _CASED), size)).alias("h")).filter("h is not null")
+    sums = join_small(found, saved(weights, "window_weights"), "h", rows=broadcast_rows).groupBy("doc_id", "t").agg(F.sum("weight").alias("weight"))
+    ids = saved(sums.filter(F.col("weight") > 1 - 1e-6).select("doc_id", "t"), "possible_ids")
+    return saved(join_small(texts.withColumn("t", F.xxhash64("text")), ids, ["doc_id", "t"], "left_semi").select("doc_id", "text"), "possible_texts")
+
+
 def _is_slot(word: Column) -> Column:
     return word.isin("<num>", "<unit>", "<name>")
 
@@ -112,14 +141,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
     rows with equal ids and different texts are judged by the best of them.
     Items shorter than ``size`` words are one window, found only as whole texts.
 
-    The item windows' distinct hashes (8 bytes each) are broadcast if there are
-    at most ``broadcast_rows``; beyond that Spark joins by shuffle. Only document
-    windows that meet one go on.
+    Documents first pass ``possible``, which leaves those out that can hold no item;
+    windows of more than 8 words skip it. The item windows' distinct hashes are
+    broadcast if there are at most ``broadcast_rows``; beyond that Spark joins by
+    shuffle. Only document windows that meet one go on.
     """
     items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
     items = items.distinct().withColumn("it", F.xxhash64("text"))
     listed = saved(
-        items.select("item_id", "it", F.transform(tokens(F.col("text")), F.lower).alias("words"), template(F.col("text")).alias("inner"), template(F.col("text"), _CAPITAL).alias("form"), variants(F.col("text"), size).alias("variants"))
+        items.select("item_id", "it", F.transform(tokens(F.col("text")), F.lower).alias("words"), template(F.col("text")).alias("inner"), template(F.col("text"), _CAPITAL).alias("form"), template(F.col("text"), None).alias("plain"), variants(F.col("text"), size).alias("variants"))
         .withColumn("hashes", windows(F.col("inner"), size)),
         "items",
     )
@@ -131,12 +161,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0
         "item_windows",
     )
     wanted = saved(placed.select("h").distinct(), "window_hashes")
+    least = max(run - size + 1, 1)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    if size <= _MASKED:
+        texts = possible(texts, listed, size, share, least, broadcast_rows)
     # the outer form, as Spark would compute the array twice to drop rows without any
     exploded = texts.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode_outer(variants(F.col("text"), size)).alias("pos", "hs"))
     exploded = exploded.select("doc_id", "t", "pos", F.explode_outer("hs").alias("h")).filter("h is not null")
     hits = saved(join_small(exploded, wanted, "h", rows=broadcast_rows), "window_hits")
-    least = max(run - size + 1, 1)
     pair = ["doc_id", "t", "item_id", "it", "length", "windows"]
     shifted = (
         hits.join(placed, "h")

@@ -192,6 +192,21 @@ def test_leaks_of_items_with_equal_ids(spark):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (2, 1)]
 
 
+def test_possible_texts_lose_no_leak(spark, monkeypatch):
+    item = "Tom has 5 km to go in Łódź. \"McCoy has 30 kg of ǅungla pears in A4 boxes!\" How many <num> miles do Tom and McCoy have?"
+    forms = [item, item.lower(), item.upper(), item.title(), item.replace("Tom", "Anna").replace("5 km", "7 Miles"), item.replace("McCoy", "the Boy"), "Two  Words.", "<num> km a4 <name> x"]
+    items = spark.createDataFrame([*enumerate(forms), (20, "<num> km A4 Bob x")], "item_id bigint, text string")
+    clean = [f"text {i} of No Other kind has {i} Words and SOME CAPITALS in it, as it goes on" for i in range(30)]
+    docs = spark.createDataFrame([*enumerate([*forms, *(f"Lead, {f} End" for f in forms), "two WORDS", "<num> KM a4 Rob x", *clean, None, ""]), (None, item)], SCHEMA)
+    taken = []
+    real = decontam.possible
+    monkeypatch.setattr(decontam, "possible", lambda *a: taken.append(real(*a)) or taken[-1])
+    found = sorted(map(tuple, decontam.leaks(docs, items).collect()))
+    assert len(taken[0].collect()) == 17  # clean ones are not cut in three forms
+    monkeypatch.setattr(decontam, "_MASKED", 0)
+    assert found == sorted(map(tuple, decontam.leaks(docs, items).collect())) and len({r[0] for r in found}) > 12
+
+
 VOCABULARY = Path("/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
