@@ -98,14 +98,15 @@ def bands(lines: DataFrame, shingle: int, count: int, rows: int) -> DataFrame:
 
 
 def profiles(lines: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """``(h, size, w0 ...)``: of the lines in ``ids``, the number of shingles and a bitmap of them.
+    """``(h, size, w0 ...)``: of the lines in ``ids``, the number of shingles and a parity bitmap of them.
 
-    Each shingle sets one of 1,024 bits. A bit in which two bitmaps differ stands
-    for at least one shingle that only one line has.
+    Each distinct shingle flips one of 1,024 bits. What two lines share cancels out
+    between their bitmaps, so a bit in which these differ stands for at least one
+    shingle that only one line has, and few such shingles hide each other.
     """
     texts = join_small(lines.select("h", "line"), saved(ids.distinct(), "profile_ids"), "h")
     points = texts.select("h", F.explode_outer(_shingles("line", shingle)).alias("x"))
-    words = [f"bit_or(if(shiftright(x & {64 * _WORDS - 1}, 6) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))" for k in range(_WORDS)]
+    words = [f"bit_xor(if(shiftright(x & {64 * _WORDS - 1}, 6) = {k}, shiftleft(1L, cast(x & 63 as int)), 0L))" for k in range(_WORDS)]
     return points.groupBy("h").agg(F.count("*").alias("size"), *[F.expr(w).alias(f"w{k}") for k, w in enumerate(words)])
 
 
@@ -152,7 +153,8 @@ def classes(coded: DataFrame, compare: Callable[[DataFrame], DataFrame], profile
     components that can be near: their distances from the head differ by no
     more than the limit (the triangle rule of the Jaccard distance), and their
     bitmaps differ in no more bits than shingles may differ. Both rules only
-    leave out pairs that are not near.
+    leave out pairs that are not near. A pair meets in the first band it shares, and
+    not at all if one of the two is its head: that pair has been compared.
     """
     members = coded.select("h", F.explode("keys").alias("band"))
     shared_bands = saved(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared_bands")
@@ -178,18 +180,26 @@ def classes(coded: DataFrame, compare: Callable[[DataFrame], DataFrame], profile
     mixed = rooted(seen)
     distances = seen.select(F.col("a").alias("head"), F.col("b").alias("h"), "far")
     spaced = saved(mixed.join(distances, ["head", "h"], "left").filter("h <> head").select("band", "h", "root", "far"), "spaced")
-    known = spaced.join(saved(profile(spaced.select("h")), "profiles"), "h")
-    own = ["h", "root", "far", "size", *[f"w{k}" for k in range(_WORDS)]]
+    ids = saved(spaced.select("h").distinct(), "spaced_ids")
+    keys = saved(join_small(coded.select("h", "keys"), ids, "h"), "spaced_keys")
+    known = spaced.join(saved(profile(ids), "profiles"), "h").join(keys, "h")
+    own = ["h", "root", "far", "keys", "size", *[f"w{k}" for k in range(_WORDS)]]
     one, two = (known.select("band", *[F.col(c).alias(f"{side}_{c}") for c in own]) for side in "ab")
     cut = round(1000 * similarity)
     differing = sum((F.bit_count(F.col(f"a_w{k}").bitwiseXOR(F.col(f"b_w{k}"))) for k in range(_WORDS)), F.lit(0))
+    count = coded.select(F.size("keys").alias("n")).first()
+    met = F.lit(True)
+    for k in range(count.n if count else 0):  # from the last band to the first
+        same = F.col("a_keys")[count.n - 1 - k] == F.col("b_keys")[count.n - 1 - k]
+        met = F.when(same, F.col("a_keys")[count.n - 1 - k] == F.col("band")).otherwise(met)
     apart = (
         (F.col("a_h") < F.col("b_h"))
         & (F.col("a_root") != F.col("b_root"))
         & (F.coalesce(F.abs(F.col("a_far") - F.col("b_far")), F.lit(0.0)) <= F.lit(1000.0 - cut + 1e-6))
         & (differing * F.lit(1000 + cut) <= (F.col("a_size") + F.col("b_size")) * F.lit(1000 - cut))
+        & met
     )
-    across = one.join(two, "band").filter(apart).select(F.col("a_h").alias("a"), F.col("b_h").alias("b")).distinct()
+    across = one.join(two, "band").filter(apart).select(F.col("a_h").alias("a"), F.col("b_h").alias("b"))
     # written, as a filter on the result would compute it again
     rest = saved(compare(across), "across")
     return components(seen.unionByName(rest).filter("near")).select(F.col("node").alias("h"), "root")

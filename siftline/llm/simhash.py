@@ -284,7 +284,7 @@ def copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: fl
             sets = [np.unique(shingles(t, shingle)) for t in as_bytes(batch.column("line"))]
             marked = np.zeros((len(sets), 1024), bool)
             for row, own_set in zip(marked, sets):
-                row[(own_set & np.uint64(1023)).astype(np.int64)] = True
+                row[:] = np.bincount((own_set & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
             found = np.packbits(marked, axis=1, bitorder="little").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(found[:, k].copy()) for k in range(16))], ["h", "size", *(f"w{k}" for k in range(16))])
 

@@ -167,3 +167,43 @@ def test_lines_repeated_rows_and_no_rows(spark):
     kept = line_dedup.clean(docs_of(spark, (1, same), (2, same), (3, None), (4, "")))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
     assert line_dedup.dedup_lines(docs_of(spark)).count() == 0
+
+
+def test_pairs_across_components_are_few_and_lose_no_link(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(45)]
+    texts = set()
+    for _ in range(160):  # about 0.6 to 0.8 alike, some more
+        own = list(base)
+        for _ in range(rng.choice([2, 3, 3, 3, 3])):
+            own[rng.randrange(len(own))] = word()
+        texts.add(" ".join(own))
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(sorted(texts))], "h bigint, line string")
+    coded = line_dedup.saved(line_dedup.bands(lines, 8, line_dedup.BANDS, line_dedup.ROWS), "bands")
+    rounds = []
+
+    def compare(pairs):
+        rounds.append([(r.a, r.b, r.near, r.far) for r in line_dedup.compared(pairs, lines, 8, 0.8).collect()])
+        return spark.createDataFrame(rounds[-1], "a bigint, b bigint, near boolean, far double")
+
+    found = {r.h: r.root for r in line_dedup.classes(coded, compare, lambda ids: line_dedup.profiles(lines, ids, 8), 0.8).collect()}
+    sets = [{t[j : j + 8] for j in range(len(t) - 7)} for t in sorted(texts)]
+    keys = {r.h: set(r["keys"]) for r in coded.collect()}
+    label, linked = list(range(len(sets))), 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if keys[i] & keys[j]:
+                linked += 1
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    x, y = label[i], label[j]
+                    label = [y if z == x else z for z in label]
+    groups = [sorted(i for i, z in enumerate(label) if z == x) for x in set(label)]
+    merged = {}
+    for i in range(len(sets)):
+        merged.setdefault(found.get(i, i), []).append(i)
+    assert sorted(groups) == sorted(merged.values())
+    # of all pairs that share a band, few that are far apart are judged, and each once
+    assert linked > 5000
+    assert len({(a, b) for a, b, *_ in rounds[2]}) == len(rounds[2])
+    assert sum(far > 240 for *_, far in rounds[2]) < 0.01 * linked
