@@ -48,16 +48,19 @@ def _points(shingle: int) -> tuple[Column, Column]:
     Binary data can be cut anywhere without counting characters. A text shorter
     than a shingle is one shingle.
     """
-    units = (F.length("_b") / F.lit(2)).cast("int")
-    return F.sequence(F.lit(0), F.greatest(units - F.lit(shingle), F.lit(0))), F.col("_b").substr(F.col("_i") * 2 + 1, F.lit(2 * shingle))
+    return _starts(F.col("_b"), shingle), F.col("_b").substr(F.col("_i"), F.lit(2 * shingle))
+
+
+def _starts(b: Column, shingle: int) -> Column:
+    """Places, from 1, of the bytes at which the shingles of a UTF-16 text begin."""
+    return F.sequence(F.lit(1), F.greatest(F.length(b) - F.lit(2 * shingle - 1), F.lit(1)), F.lit(2))
 
 
 def _shingles(line: str, shingle: int) -> Column:
     """Distinct shingle hashes of a line, as an array."""
 
     def cut(b: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest((F.length(b) / F.lit(2)).cast("int") - F.lit(shingle), F.lit(0)))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(b.substr(i * 2 + 1, F.lit(2 * shingle)))))
+        return F.array_distinct(F.transform(_starts(b, shingle), lambda i: F.xxhash64(b.substr(i, F.lit(2 * shingle)))))
 
     return let(F.encode(F.col(line), "UTF-16BE"), cut)
 
@@ -137,7 +140,13 @@ def compared(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float
 def line_classes(lines: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, count: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``(h, root)`` of the lines that have a near-duplicate; the others are not listed."""
     coded = saved(bands(lines, shingle, count, rows), "bands")
-    return classes(coded, lambda pairs: compared(pairs, lines, shingle, similarity), lambda ids: profiles(lines, ids, shingle), similarity)
+    members = coded.select("h", F.explode("keys").alias("band"))
+    repeated = saved(members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "repeated")
+    candidates = saved(join_small(members, repeated, "band").select("h").distinct(), "candidates")
+    # most lines share no band: the rest of the work reads those few that do
+    few = saved(join_small(coded, candidates, "h"), "candidate_bands")
+    texts = saved(join_small(lines.select("h", "line"), candidates, "h"), "candidate_lines")
+    return classes(few, lambda pairs: compared(pairs, texts, shingle, similarity), lambda ids: profiles(texts, ids, shingle), similarity)
 
 
 def classes(coded: DataFrame, compare: Callable[[DataFrame], DataFrame], profile: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
@@ -237,8 +246,9 @@ def dedup_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     """
     docs = docs.drop("n_lines", "n_kept", "removed")
     kept = removals(docs, shingle, similarity, count, rows).select(_named(F.col("t")).alias("k"), "kept")
-    split = docs.select(whole(docs).alias("d"), _named(_key(F.col("text").cast("string"))).alias("k"), F.split(F.col("text").cast("string"), "\n").alias("raw"))
-    joined = split.join(kept, "k", "left")
+    keyed = docs.select(whole(docs).alias("d"), _named(_key(F.col("text").cast("string"))).alias("k"))
+    # cut into lines after the join, so that a text moves once
+    joined = keyed.join(kept, "k", "left").select("d", "kept", F.split(F.col("d.text").cast("string"), "\n").alias("raw"))
     told = F.transform("raw", lambda x, i: F.struct(x.alias("x"), i.alias("i"), (normal(x) != "").alias("f"), F.coalesce(F.array_contains("kept", i), F.lit(False)).alias("k")))
 
     def judge(lines: Column) -> Column:
