@@ -17,6 +17,7 @@ from siftline.session import new_path
 from siftline.streaming import replay
 
 _SECOND = 1_000_000
+_BUCKETS = 4096
 ACCEPTED, REJECTED, REPEATED, CONFLICT = "accepted", "rejected", "repeated", "conflict"
 
 
@@ -81,7 +82,15 @@ def job_transitions(
 
 
 def submissions(
-    stream: DataFrame, keys: Sequence[str], ts: str, order: str, payload: str, late: str, held_seconds: int, unique: Sequence[str] = ()
+    stream: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    order: str,
+    payload: str,
+    late: str,
+    held_seconds: int,
+    unique: Sequence[str] = (),
+    buckets: int = _BUCKETS,
 ) -> DataFrame:
     """Every submission as ``accepted``, ``repeated`` or ``conflict``, with the one it was held against.
 
@@ -89,7 +98,8 @@ def submissions(
     for ``held_seconds``; another with the same payload repeats it, one with another
     payload is a conflict. A submission at or after that time is accepted anew.
     Rows delivered more than once, equal in ``unique``, are first reduced to one
-    within the watermark. Rows behind the watermark are dropped.
+    within the watermark. Rows behind the watermark are dropped. The states of
+    keys are kept in ``buckets`` (``replay.in_order``; 0: each by itself).
     """
     stream = stream.withWatermark(ts, late)
     if unique:
@@ -108,7 +118,7 @@ def submissions(
     def until(held: tuple) -> int:
         return held[2] + held_seconds * _SECOND
 
-    return replay.in_order(stream, keys, ts, [order, payload], None, step, state, out, until, event_time=ts)
+    return replay.in_order(stream, keys, ts, [order, payload], None, step, state, out, until, event_time=ts, buckets=buckets)
 
 
 def sessions(stream: DataFrame, user: str, ts: str, late: str, idle_seconds: int, absolute_seconds: int) -> DataFrame:

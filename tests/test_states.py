@@ -5,6 +5,7 @@ import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import Row as SqlRow
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -270,3 +271,93 @@ def test_a_keys_turn_makes_few_calls_on_its_state(spark):
     assert [tuple(r) for r in got] == [(1, d.datetime(1970, 1, 1, 0, 0, i, tzinfo=d.timezone.utc), i) for i in range(21)]
     assert handle.held["state"] == (20_000_000,)
     assert max(handle.timers) == 21_000
+
+
+def slow_submissions(events, held_seconds):
+    held, out = {}, []
+    for t, n, key, content in sorted(events, key=lambda e: (e[0], e[1])):
+        if key not in held or t >= held[key][0] + held_seconds:
+            held[key] = (t, n, content)
+        _, first, kept = held[key]
+        out.append((key, n, content, first, "accepted" if first == n else "repeated" if kept == content else "conflict"))
+    return out
+
+
+@pytest.mark.parametrize("buckets", [0, 3])
+def test_submissions_in_buckets_equal_a_replay_in_order(spark, frame, arrive, buckets):
+    rng = random.Random(11)
+    owners, kinds = [*range(40), None], ["a", "b", None]
+    events = [(float(rng.randrange(4000)), i, (rng.choice(owners), rng.choice(kinds)), rng.choice([1, 2, None])) for i in range(700)]
+    schema = "ts timestamp, n int, owner int, kind string, content int"
+    arrival = sorted(events, key=lambda e: e[0] + rng.random() * 299)
+    parts = [frame(schema, *[(at(t), n, *key, c) for t, n, key, c in arrival[i : i + 200]] * 2) for i in range(0, 700, 200)]
+    parts.append(frame(schema, (at(4500), 999, 0, "a", 1)))
+    found, path = arrive(parts, lambda s: states.submissions(s, ["owner", "kind"], "ts", "n", "content", "300 seconds", 900, ["n"], buckets))
+    got = {r.n: ((r.owner, r.kind), r.n, r.content, r.held_by, r.outcome) for r in found.collect()}
+    wanted = slow_submissions(events, 900)
+    assert got == {r[1]: r for r in wanted}
+    assert found.count() == len(events)
+    assert {r[4] for r in wanted} == {"accepted", "repeated", "conflict"}
+    kept = spark.read.format("statestore").option("path", path).option("stateVarName", "state").load().count()
+    # the keys that are still held
+    open_keys = {key for t, n, key, c in events if any(r[1] == n and r[4] == "accepted" for r in wanted) and t + 900 > 4200}
+    assert len(open_keys) > 20
+    assert kept == len(open_keys) if buckets == 0 else kept == buckets
+
+
+def test_keys_that_are_no_plain_values_stand_by_themselves(frame, arrive):
+    schema = "ts timestamp, n int, k double, content int"
+    nan = float("nan")
+    first = frame(schema, (at(1), 1, nan, 1), (at(2), 2, 0.5, 1))
+    second = frame(schema, (at(3), 3, -nan, 2), (at(4), 4, 0.5, 1), (at(999), 5, 7.0, 1))
+    found, _ = arrive([first, second], lambda s: states.submissions(s, ["k"], "ts", "n", "content", "10 seconds", 500, buckets=1))
+    assert {r.n: (r.held_by, r.outcome) for r in found.collect()} == {1: (1, "accepted"), 2: (2, "accepted"), 3: (1, "conflict"), 4: (2, "repeated")}
+
+
+class _CountedTimers(_Counted):
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_calls_on_a_buckets_state_do_not_grow_with_its_keys(spark):
+    handle = _CountedTimers()
+    step = lambda held, at, row: ((at,) if held is None else held, [(at, row[0])])
+    work = replay._InBuckets(step, lambda held: held[0] + 50_000_000, lambda held: [], 1, 2, T.StructType.fromDDL("k int, ts timestamp, n int"))
+    work.init(handle)
+
+    def turn(rows):
+        handle.calls = 0
+        assert list(work.handleInputRows((0,), iter(rows), None)) == []
+        return handle.calls
+
+    class Mark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    def fire(ms):
+        handle.calls = 0
+        expired = sorted(x for x in handle.timers if x <= ms)
+        out = [r for _ in expired for r in work.handleExpiredTimer((0,), Mark(ms), None)]
+        handle.timers -= set(expired)
+        return len(expired), handle.calls, sorted((r.k, r.n) for r in out)
+
+    assert turn([SqlRow(0, k, at(s), s * 1_000_000, k + s) for k in range(500) for s in (30, 10)]) <= 3
+    assert turn([SqlRow(0, k, at(s), s * 1_000_000, k + s) for k in range(500) for s in (5,)]) <= 4
+    # one timer, by the first row
+    assert handle.timers == {5_000}
+    expired, calls, out = fire(20_000)
+    assert (expired, calls <= 5) == (1, True)
+    assert out == sorted((k, k + s) for k in range(500) for s in (5, 10))
+    assert handle.timers == {30_000}
+    # the same states are not written again
+    assert fire(40_000) == (1, 4, [(k, k + 30) for k in range(500)])
+    # all states end at 55 s and leave the store
+    assert handle.timers == {55_000}
+    assert "state" in handle.held
+    assert fire(60_000)[::2] == (1, [])
+    assert "state" not in handle.held
+    assert handle.timers == set()
